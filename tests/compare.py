@@ -30,6 +30,11 @@ def sorted_rows(columns, rows):
     return [columns[i] for i in order], sorted(text, key=lambda r: tuple(x or "" for x in r))
 
 
+# How the two engines name the same types.
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, sf_dir: str, make, sql: str | None) -> str:
     """'' where both agree, else what differs."""
     df = make(spark, sf_dir)
@@ -40,6 +45,10 @@ def compare(spark, con, sf_dir: str, make, sql: str | None) -> str:
     want_names, want = sorted_rows([c[0] for c in res.description], res.fetchall())
     if names != want_names:
         return f"columns {names} != {want_names}"
+    kinds = {c[0]: str(c[1]) for c in res.description}
+    other = [(c, t, kinds[c]) for c, t in df.dtypes if SAME_TYPE.get(t) != kinds[c]]
+    if other:
+        return f"types {other}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     off = [(g, w) for g, w in zip(got, want) if g != w]
