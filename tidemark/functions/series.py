@@ -56,7 +56,13 @@ def trailing(w, rows: int):
 def full_window(agg, x: Column, w, rows: int) -> Column:
     """``agg`` over the last ``rows`` rows, NULL until all of them are there."""
     frame = trailing(w, rows)
-    return F.when(F.count(x).over(frame) == rows, agg(x).over(frame))
+    value = F.sum(x).over(frame) / F.lit(float(rows)) if agg is F.avg else agg(x).over(frame)
+    return F.when(F.count(x).over(frame) == rows, value)
+
+
+def reaches_back(w, rows: int) -> Column:
+    """Whether the series has at least ``rows`` rows up to this one."""
+    return F.lag(F.lit(1), rows - 1).over(w).isNotNull()
 
 
 def prior(x: Column | str, w, rows: int = 1) -> Column:
@@ -114,19 +120,26 @@ def place(prices: DataFrame) -> DataFrame:
     inside = Window.partitionBy(CODE, "span").orderBy("date", *ties)
     return (
         prices.withColumn("rank", F.row_number().over(inside))
-        .join(starts, [CODE, "span"])
+        .join(starts.hint("merge"), [CODE, "span"])
         .withColumn("pos", F.col("start") + F.col("rank") - 1)
         .drop("span", "rank", "start")
     )
 
 
+def slab_of(pos: str, rows_per_slab: int) -> Column:
+    return F.expr(f"{pos} div {int(rows_per_slab)}")
+
+
 def lay_out(prices: DataFrame, rows_per_slab: int = 65536,
             behind: int = BEHIND, ahead: int = AHEAD) -> DataFrame:
-    """Cuts every series into slabs of ``rows_per_slab`` rows plus their margins."""
+    """Cuts every series into slabs of ``rows_per_slab`` rows plus their margins.
+
+    The result is partitioned by code and slab on purpose: a partitioning by code alone
+    would satisfy the windows as well, and would put a whole series into one task."""
     if rows_per_slab < behind + ahead:
         raise ValueError("a slab must be longer than its two margins")
     at = F.col("pos") % rows_per_slab
-    own = F.floor(F.col("pos") / rows_per_slab).cast("long")
+    own = slab_of("pos", rows_per_slab)
     slabs = F.array_compact(F.array(
         own,
         F.when(at >= rows_per_slab - behind, own + 1),
@@ -136,10 +149,11 @@ def lay_out(prices: DataFrame, rows_per_slab: int = 65536,
         place(prices)
         .withColumn("slab", F.explode(slabs))
         .withColumns({
-            "home": F.col("slab") == F.floor(F.col("pos") / rows_per_slab),
+            "home": F.col("slab") == own,
             "late": at >= rows_per_slab - behind,
         })
-        .where(F.col("home") | (F.col("slab") <= F.floor((F.col("n") - 1) / rows_per_slab)))
+        .where(F.col("home") | (F.col("slab") * rows_per_slab < F.col("n")))
+        .repartition(CODE, "slab")
     )
 
 

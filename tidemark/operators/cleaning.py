@@ -42,6 +42,13 @@ def to_number(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def to_date(c: str, date_format: str) -> Column:
+    """A date, or NULL for text that is none. ISO dates need no formatter object."""
+    if date_format != "yyyy-MM-dd":
+        return F.try_to_date(c, date_format)
+    return F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col(c).try_cast("date"))
+
+
 def parse_prices(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Typed columns; rows without a date or without all four prices are dropped."""
     df = standard_headers(raw)
@@ -50,7 +57,7 @@ def parse_prices(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
         raise ValueError(f"price table lacks {absent}")
     numbers = [c for c in OHLC + ("volume", "adj_close") if c in df.columns]
     typed = df.withColumns({
-        "date": F.try_to_date("date", date_format),
+        "date": to_date("date", date_format),
         **{c: to_number(c) for c in numbers},
     })
     return typed.dropna(subset=list(REQUIRED))

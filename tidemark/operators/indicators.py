@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ewm import Ewm, ewm, macd
-from ..functions.series import full_window, prior, safe_ratio, series_window, trailing
+from ..functions.series import (full_window, prior, reaches_back, safe_ratio, series_window,
+                                trailing)
 from ..params import TrendParams
 
 DEFAULT = TrendParams()
@@ -83,9 +84,9 @@ def rsi(prices: DataFrame, window: int = 14, fill: float | None = 50.0) -> DataF
     w = series_window(prices)
     df = prices.withColumn("_delta", F.col("close") - prior("close", w))
     d, frame = F.col("_delta"), trailing(w, window)
-    gain = F.avg(F.when(d > 0, d).otherwise(0.0)).over(frame)
-    loss = F.avg(F.when(d < 0, -d).otherwise(0.0)).over(frame)
-    full = F.count(F.lit(1)).over(frame) == window
+    gain = F.sum(F.when(d > 0, d).otherwise(0.0)).over(frame) / F.lit(float(window))
+    loss = F.sum(F.when(d < 0, -d).otherwise(0.0)).over(frame) / F.lit(float(window))
+    full = reaches_back(w, window)
     value = (F.when(full & (loss > 0), 100 - 100 / (1 + gain / F.when(loss > 0, loss)))
              .when(full & (gain > 0), 100.0))
     if fill is not None:

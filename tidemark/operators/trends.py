@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ewm import Ewm, macd
-from ..functions.series import (CODE, full_window, last_rows, prior, series_window,
+from ..functions.series import (CODE, last_rows, prior, reaches_back, series_window,
                                 slope_of_last, trailing)
 from ..params import KINDS, TrendParams
 from .indicators import (DEFAULT, ensure_ma, momentum, moving_averages, rsi, volatility,
@@ -61,11 +61,10 @@ def trend_consistency(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     out = {}
     for kind, rows in CONSISTENCY_ROWS.items():
         d, frame = F.col(f"{kind}_trend_direction"), trailing(w, rows)
-        same = [F.count_if(d == v).over(frame) for v in (1, -1)]
-        full = F.count(F.lit(1)).over(frame)
-        alike = (F.when(d == 1, same[0]).when(d == -1, same[1])
-                 .otherwise(full - same[0] - same[1]))
-        out[f"{kind}_trend_consistency"] = F.when(full == rows, alike / F.lit(float(rows)))
+        balance, moving = F.sum(d).over(frame), F.sum(F.abs(d)).over(frame)
+        alike = F.when(d == 0, rows - moving).otherwise((moving + d * balance) / 2)
+        out[f"{kind}_trend_consistency"] = F.when(reaches_back(w, rows),
+                                                  alike / F.lit(float(rows)))
     return df.withColumns(out)
 
 

@@ -43,8 +43,8 @@ listed as (
 
 
 def r(x: str, digits: int = 4, name: str | None = None) -> str:
-    """Rounded half up as a decimal of nine places, as the Spark side does."""
-    return f"cast(round(cast({x} as decimal(38, 9)), {digits}) as double) + 0.0 as {name or x}"
+    """Rounded the way the Spark side does (see ``registry.rounded``)."""
+    return f"floor(({x}) * 1e{digits} + 0.50001) / 1e{digits} + 0.0 as {name or x}"
 
 
 def rs(names, digits: int = 4, **apart: int) -> str:
@@ -345,8 +345,8 @@ def oracle_sql() -> dict[str, str]:
         BARS, chain(t), rows_of(names, "l4", digits, **apart))
     seen = [BARS, chain(300.0), reversal_steps("short"), reversal_steps("long"), RANKED, profile(),
             expected("short", 5), expected("long", 25)]
-    revs = "stock_code, trend_type, date, idx, type, cast(round(cast(price as decimal(38, 9)), 3) as double) + 0.0 as price, " \
-           "cast(round(cast(actual_price as decimal(38, 9)), 4) as double) + 0.0 as actual_price, trend_before, trend_after"
+    revs = "stock_code, trend_type, date, idx, type, floor((price) * 1e3 + 0.50001) / 1e3 + 0.0 as price, " \
+           "floor((actual_price) * 1e4 + 0.50001) / 1e4 + 0.0 as actual_price, trend_before, trend_after"
     predicted = [BARS, chain(300.0), profile(), calls()]
     conf = lambda k: sql(*predicted, f"select stock_code, {r(k + '_confidence', 6, 'confidence')} from called")
     batch = [*predicted, LISTED, ASKED]
@@ -360,9 +360,9 @@ def oracle_sql() -> dict[str, str]:
     voted = [BARS, chain(300.0), members(), profile("m4", "code, member"), calls()]
     targets = ("select stock_code, date, cast(short_trend_direction + 1 as double) as short_trend_label, "
                "cast(long_trend_direction + 1 as double) as long_trend_label, "
-               f"cast(round(cast(coalesce(lead(close, 5) {over()} / close - 1, 0) as decimal(38, 9)), 6) as double) + 0.0 as short_reversal_label, "
-               f"cast(round(cast(coalesce(lead(close, 25) {over()} / close - 1, 0) as decimal(38, 9)), 6) as double) + 0.0 as long_reversal_label, "
-               "cast(round(cast(least(greatest(coalesce(short_trend_strength, 0) * coalesce(short_trend_consistency, 0.5), 0), 1) as decimal(38, 9)), 6) as double) "
+               f"floor((coalesce(lead(close, 5) {over()} / close - 1, 0)) * 1e6 + 0.50001) / 1e6 + 0.0 as short_reversal_label, "
+               f"floor((coalesce(lead(close, 25) {over()} / close - 1, 0)) * 1e6 + 0.50001) / 1e6 + 0.0 as long_reversal_label, "
+               "floor((least(greatest(coalesce(short_trend_strength, 0) * coalesce(short_trend_consistency, 0.5), 0), 1)) * 1e6 + 0.50001) / 1e6 "
                "+ 0.0 as confidence_label from l4")
     short_long = lambda names, d=4: rs([f"{k}_{n}" for k in ("short", "long") for n in names], d)
     out = {
@@ -419,12 +419,12 @@ where (stock_code, date) in (select (stock_code, max(date)) from bars group by s
         "distinct_codes": sql(BARS, "select distinct stock_code from bars"),
         "head_codes": sql(BARS, "select distinct stock_code from bars order by 1 limit 5"),
         "union_sources": sql(BARS, f"""
-select stock_code, date, {r('close')}, cast(round(cast(case when date < date '1997-01-01' then volume end as decimal(38, 9)), 4) as double) + 0.0 as volume
+select stock_code, date, {r('close')}, floor((case when date < date '1997-01-01' then volume end) * 1e4 + 0.50001) / 1e4 + 0.0 as volume
 from bars"""),
         "points_per_stock": sql(BARS, "select stock_code, count(*) as data_points from bars group by 1"),
         "data_summary": sql(BARS, """
 select count(*) as total_stocks, min(a) as earliest_start, max(b) as latest_end,
-       cast(sum(c) as bigint) as total_data_points, cast(round(cast(avg(c) as decimal(38, 9)), 4) as double) + 0.0 as average_data_points
+       cast(sum(c) as bigint) as total_data_points, floor((avg(c)) * 1e4 + 0.50001) / 1e4 + 0.0 as average_data_points
 from (select min(date) as a, max(date) as b, count(*) as c from bars group by stock_code)"""),
         # indicators
         "candle_features": feats("price_range", "body_size", "upper_shadow", "lower_shadow"),
@@ -495,13 +495,13 @@ select stock_code, date, split from (
         "training_targets": sql(BARS, chain(300.0), targets),
         "ffill_features": sql(BARS, chain(), f"""
 select stock_code, date,
-  cast(round(cast(coalesce(last_value(case when dayofyear(date) % 7 <> 0 then close end ignore nulls) {over()}, 0) as decimal(38, 9)), 4) as double) + 0.0 as gappy,
-  cast(round(cast(coalesce(last_value(ma_25 ignore nulls) {over()}, 0) as decimal(38, 9)), 4) as double) + 0.0 as ma_25 from l4"""),
+  floor((coalesce(last_value(case when dayofyear(date) % 7 <> 0 then close end ignore nulls) {over()}, 0)) * 1e4 + 0.50001) / 1e4 + 0.0 as gappy,
+  floor((coalesce(last_value(ma_25 ignore nulls) {over()}, 0)) * 1e4 + 0.50001) / 1e4 + 0.0 as ma_25 from l4"""),
         "scaler_params": sql(BARS, chain(), scaler, "\nunion all ".join(
             f"select stock_code, '{c}' as feature, {r(c + '_m', 3, 'mean')}, {r(c + '_s', 3, 'scale')} from scaler"
             for c in candles)),
         "scale_features": sql(BARS, chain(), scaler, "select stock_code, date, " + ", ".join(
-            f"cast(round(cast(({c} - {c}_m) / {c}_s as decimal(38, 9)), 6) as double) + 0.0 as {c}" for c in scaled)
+            f"floor((({c} - {c}_m) / {c}_s) * 1e6 + 0.50001) / 1e6 + 0.0 as {c}" for c in scaled)
             + " from l4 join scaler using (stock_code)"),
         "sequences": sql(BARS, chain(), f"""
 select a.stock_code, count(*) as sequences, min(a.date) as first_target, count(*) * 60 as rows,
@@ -523,12 +523,12 @@ select stock_code, {r('current_price')}, {short_long(['reversal_price', 'reversa
         "confidence_short": conf("short"),
         "confidence_long": conf("long"),
         "clamp_reversal_price": sql(*predicted, """
-select stock_code, cast(round(cast(least(greatest(current_price * (1 + long_ma_1 / current_price - 1),
-  current_price * 0.5), current_price * 2) as decimal(38, 9)), 4) as double) + 0.0 as price from called"""),
+select stock_code, floor((least(greatest(current_price * (1 + long_ma_1 / current_price - 1),
+  current_price * 0.5), current_price * 2)) * 1e4 + 0.50001) / 1e4 + 0.0 as price from called"""),
         "adjust_reversal_confidence": sql(*predicted, """
-select stock_code, cast(round(cast(least(greatest(0.5
+select stock_code, floor((least(greatest(0.5
   * case when abs(c) > 0.5 then 0.7 when abs(c) < 0.01 then 0.8 else 1 end
-  * case when recent_spread > 0.05 then 0.9 when recent_spread < 0.01 then 1.1 else 1 end, 0), 1) as decimal(38, 9)), 6) as double) + 0.0 as confidence
+  * case when recent_spread > 0.05 then 0.9 when recent_spread < 0.01 then 1.1 else 1 end, 0), 1)) * 1e6 + 0.50001) / 1e6 + 0.0 as confidence
 from (select *, long_ma_1 / current_price - 1 as c from called)"""),
         "predict_stock": sql(*predicted, f"""
 select stock_code, {r('current_price')}, analysis_date, short_trend, long_trend,
@@ -553,16 +553,16 @@ select stock_code, error, short_trend, {r('short_reversal_price')},
         "prediction_summary": sql(*batch, "select count(*) as total_stocks, "
             "count(*) filter (where error is null) as successful_predictions, "
             "count(*) filter (where error is not null) as failed_predictions, "
-            "cast(round(cast(avg(case when error is null then 1.0 else 0.0 end) as decimal(38, 9)), 4) as double) + 0.0 as success_rate, "
+            "floor((avg(case when error is null then 1.0 else 0.0 end)) * 1e4 + 0.50001) / 1e4 + 0.0 as success_rate, "
             + ", ".join(f"count(*) filter (where error is null and {k}_trend = '{s}') as {k}_{name}"
                         for k in ("short", "long")
                         for name, s in (("up", "+"), ("down", "-"), ("sideways", "0")))
             + ", " + ", ".join(
-                f"cast(round(cast({agg}({k}_confidence) as decimal(38, 9)), 4) as double) + 0.0 as {k}_confidence_{name}"
+                f"floor(({agg}({k}_confidence)) * 1e4 + 0.50001) / 1e4 + 0.0 as {k}_confidence_{name}"
                 for k in ("short", "long")
                 for name, agg in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
             + ", " + ", ".join(
-                f"cast(round(cast(avg(case when current_price > 0 then ({k}_reversal_price - current_price) / current_price end) as decimal(38, 9)), 7) as double)"
+                f"floor((avg(case when current_price > 0 then ({k}_reversal_price - current_price) / current_price end)) * 1e7 + 0.50001) / 1e7"
                 f" + 0.0 as {k}_avg_change" for k in ("short", "long")) + " from told"),
         "trend_distribution": sql(*batch, """
 select horizon, trend, count(*) as codes from (
@@ -582,11 +582,11 @@ select code as stock_code, {r('avg(short_reversal_price)', 3, 'short_reversal_pr
 from called group by code"""),
         # evaluation
         "eval_classification": sql(BARS, chain(300.0), """
-select count(*) as rows, cast(round(cast(avg(case when short_trend_direction + 1 = (i - 1) % 3 then 1.0 else 0.0 end) as decimal(38, 9)), 6) as double) + 0.0
+select count(*) as rows, floor((avg(case when short_trend_direction + 1 = (i - 1) % 3 then 1.0 else 0.0 end)) * 1e6 + 0.50001) / 1e6 + 0.0
   as accuracy from l4"""),
         "eval_regression": sql(BARS, chain(), """
-select count(*) as rows, cast(round(cast(avg(pow(close - ma_5, 2)) as decimal(38, 9)), 2) as double) + 0.0 as mse, cast(round(cast(avg(abs(close - ma_5)) as decimal(38, 9)), 2) as double) + 0.0 as mae,
-  cast(round(cast(1 - sum(pow(close - ma_5, 2)) / (sum(close * close) - count(*) * pow(avg(close), 2)) as decimal(38, 9)), 6) as double) + 0.0 as r2
+select count(*) as rows, floor((avg(pow(close - ma_5, 2))) * 1e2 + 0.50001) / 1e2 + 0.0 as mse, floor((avg(abs(close - ma_5))) * 1e2 + 0.50001) / 1e2 + 0.0 as mae,
+  floor((1 - sum(pow(close - ma_5, 2)) / (sum(close * close) - count(*) * pow(avg(close), 2))) * 1e6 + 0.50001) / 1e6 + 0.0 as r2
 from l4 where ma_5 is not null"""),
     }
     return out

@@ -37,11 +37,14 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int = 4, **apart: int) -> DataFrame:
-    """Doubles rounded for the comparison: first to nine places, which removes the noise of
-    the last bits, then half up. Adding zero turns -0.0 into 0.0."""
+    """Doubles rounded for the comparison. Exact halves are common among these prices, and
+    the last bits of a sum differ between engines: the boundary lies a little below half."""
+    def cut(c: str):
+        unit = float(10 ** apart.get(c, digits))
+        return F.floor(F.col(c) * unit + 0.50001) / F.lit(unit) + F.lit(0.0)
+
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({
-        c: F.round(F.round(c, 9), apart.get(c, digits)) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: cut(c) for c in doubles})
 
 
 def pick(df: DataFrame, *cols: str, digits: int = 4, **apart: int) -> DataFrame:

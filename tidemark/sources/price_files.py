@@ -78,8 +78,9 @@ def load_prices(raw: DataFrame, codes: DataFrame | None = None, start: str | Non
 
 
 def write_price_files(prices: DataFrame, path: str) -> None:
-    """One folder per code. Rows are brought together by code and year first, so a folder
-    gets few files and a long series is still written by several tasks."""
-    year = F.year(F.to_date("date")) if "date" in prices.columns else F.lit(0)
-    (prices.withColumn("_year", year).repartition(CODE, "_year").drop("_year")
+    """One folder per code. Rows are brought together by code and decade first, so a folder
+    gets few files and no task has to write more than ten years of one code."""
+    day = next((c for c in prices.columns if c.lower() == "date"), None)
+    decade = F.substring(F.col(day).cast("string"), 1, 3) if day else F.lit("")
+    (prices.withColumn("_decade", decade).repartition(CODE, "_decade").drop("_decade")
      .write.partitionBy(CODE).option("header", True).csv(path))
