@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tidemark.functions.series import CODE, lay_out
+from tidemark.operators import forecasts
 from tidemark.operators import reversals as rev
 from tidemark.params import TrendParams
 
@@ -84,6 +85,34 @@ def test_statistics_of_reversals(price_table):
     assert [r.idx for r in s.recent] == [r.idx for r in rows[-3:]]
 
 
-def test_sliced_series_are_refused(price_table):
-    with pytest.raises(ValueError, match="sliced"):
-        rev.reversals(lay_out(price_table(_00001=[1.0] * 30)), "short")
+@pytest.mark.parametrize("kind", ["short", "long"])
+def test_sliced_series_have_the_same(monkeypatch, price_table, kind):
+    """Short slabs, plateaus across their borders and a code without a single turn."""
+    monkeypatch.setattr(rev, "SPAN", 200)
+    rng = np.random.default_rng(9)
+    closes = (100 + rng.integers(-2, 3, 2600).cumsum() * 25.0)
+    closes[1000:1300] = closes[1000]
+    table = price_table(_00001=closes.tolist(), _00002=closes[::-1][:1500].tolist(),
+                        _00003=list(range(1, 1201)))
+    cut = lay_out(table, 1100)
+    show = lambda df: sorted(map(tuple, df.drop("slab").collect()))
+    assert show(rev.reversals(cut, kind)) == show(rev.reversals(table, kind))
+    near = lambda df: [tuple(r) for r in df.orderBy(CODE).collect()]
+    a, b = (near(rev.reversal_stats(rev.reversals(x, kind))) for x in (cut, table))
+    assert len(a) == 2 and [x[2] for x in a] == [x[2] for x in b]
+    for x, y in zip(a, b):
+        assert x[3:7] == pytest.approx(y[3:7]) and x[7] == y[7]
+
+
+def test_forecasts_of_sliced_series(price_table):
+    rng = np.random.default_rng(10)
+    made = {f"_{i:05d}": (500 + rng.normal(0, 3, n).cumsum()).round(2).tolist()
+            for i, n in enumerate((30, 1099, 1100, 1101, 2500))}
+    table = price_table(**made)
+    cut = lay_out(table, 1100)
+    for method in ("basic", "analyzer"):
+        a, b = (forecasts.predict_stock(x, method=method).orderBy(CODE).collect() for x in (cut, table))
+        assert [r.data_quality for r in a] == [r.data_quality for r in b]
+        for c in ("short_reversal_price", "long_reversal_price", "short_confidence", "long_confidence"):
+            assert [r[c] for r in a] == pytest.approx([r[c] for r in b])
+        assert [(r.short_trend, r.long_trend) for r in a] == [(r.short_trend, r.long_trend) for r in b]

@@ -40,15 +40,15 @@ def series_keys(df: DataFrame) -> list[str]:
 
 def series_window(df: DataFrame):
     """The window every trailing operator runs on."""
-    order = "pos" if "pos" in df.columns else "date"
+    if "pos" in df.columns:
+        order = "pos"
+    elif isinstance(df.schema["date"].dataType, T.DateType):
+        order = "date"
+    else:
+        raise ValueError("a series with times of day must be laid out first (lay_out)")
     return Window.partitionBy(*series_keys(df)).orderBy(order)
 
 
-def require_daily(df: DataFrame, what: str) -> None:
-    if is_sliced(df):
-        raise ValueError(f"{what} needs one row per code and date, not a sliced series")
-
-
 def trailing(w, rows: int):
     return w.rowsBetween(1 - rows, 0)
 
@@ -162,6 +162,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.where("home").drop("slab", "home", "late") if is_sliced(df) else df
 
 
+def with_neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
+    """Adds ``prev`` and ``next``: these columns of the row before and after in the whole
+    series, for a sparse table that kept its ``slab``.
+
+    Windows stay inside a slab; for a slab's first and last row the answer is looked up
+    among the ends of the slabs, of which there is one per tens of thousands of rows."""
+    row = F.struct(*cols)
+    inside = Window.partitionBy(*keys, "slab").orderBy(order)
+    across = Window.partitionBy(*keys).orderBy("slab")
+    ends = df.groupBy(*keys, "slab").agg(F.min_by(row, order).alias("first"),
+                                         F.max_by(row, order).alias("last"))
+    ends = ends.select(*keys, "slab", F.lag("last").over(across).alias("_prev"),
+                       F.lead("first").over(across).alias("_next"))
+    return df.withColumns({
+        "prev": F.lag(row).over(inside), "next": F.lead(row).over(inside),
+    }).join(ends.hint("merge"), [*keys, "slab"]).withColumns({
+        "prev": F.coalesce("prev", "_prev"), "next": F.coalesce("next", "_next"),
+    }).drop("_prev", "_next")
+
+
 def recency(df: DataFrame) -> DataFrame:
     """Adds ``rd``: 1 for the last row of a series, 2 for the one before, ..."""
     return with_position(df).withColumn("rd", F.col("n") - F.col("pos"))

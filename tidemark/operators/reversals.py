@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import CODE, require_daily, series_window, with_position
+from ..functions.series import (CODE, is_sliced, prior, series_window, slab_of, with_neighbours,
+                                with_position)
 from ..params import KINDS, TrendParams
 from .indicators import DEFAULT, ensure_ma
 from .selection import union_sources
 
 
+# Positions per slab of the tables of extremes and reversals of a sliced series.
+SPAN = 65536
+
+
 def extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
     """Strict local extremes of the moving average; a plateau counts at its middle row,
     the two ends of a series never count."""
+    if is_sliced(prices):
+        return sliced_extremes(prices, p, kind)
     window, ma = p.window(kind), F.col(f"ma_{p.window(kind)}")
     df = ensure_ma(prices, p)
     up = series_window(df)
@@ -46,6 +53,61 @@ def extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
             .select(CODE, "type", "date", "pos", "v", "close"))
 
 
+def sliced_extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
+    """The same for a series in slabs: the first rows of all plateaus (single rows mostly)
+    meet their neighbours across slabs; a long plateau's middle row is looked up."""
+    window, ma = p.window(kind), F.col(f"ma_{p.window(kind)}")
+    df = ensure_ma(prices, p)
+    before = prior(ma, series_window(df))
+    df = df.select(CODE, "slab", "home", "date", "close", "pos", "n", ma.alias("v"),
+                   before.alias("before"))
+    df = df.where(F.col("home") & F.col("v").isNotNull()
+                  & (F.col("n") - window + 1 >= 2 * window))
+    starts = df.where(F.col("before").isNull() | (F.col("before") != F.col("v")))
+    runs = with_neighbours(starts, [CODE], "pos", ["pos", "v"])
+    v, left, right = F.col("v"), F.col("prev.v"), F.col("next.v")
+    kind_of = (F.when((left < v) & (right < v), "peak")
+               .when((left > v) & (right > v), "trough"))
+    runs = runs.select(CODE, kind_of.alias("type"), "date", "close", "v", "pos",
+                       F.expr("(pos + next.pos - 1) div 2").alias("middle"))
+    runs = runs.where(F.col("type").isNotNull())
+    out = [CODE, "type", "date", "pos", "v", "close"]
+    single = runs.where("middle = pos").select(*out)
+    middles = runs.where("middle <> pos").select(CODE, "type", F.col("middle").alias("pos"))
+    wide = middles.join(df.select(CODE, "pos", "date", "v", "close"), [CODE, "pos"])
+    return single.unionByName(wide.select(*out)).withColumn("slab", slab_of("pos", SPAN))
+
+
+def with_tops(found: DataFrame, distance: int) -> DataFrame:
+    """Adds ``top``, ``beaten`` and ``stretch`` (the position of the last top so far)."""
+    sliced = is_sliced(found)
+    if sliced:
+        margin = 2 * distance
+        at, own = F.col("pos") % SPAN, F.col("slab")
+        copies = F.array_compact(F.array(own, F.when(at < margin, own - 1),
+                                         F.when(at >= SPAN - margin, own + 1)))
+        found = found.withColumn("slab", F.explode(copies))
+    keys = [CODE, "type"] + (["slab"] if sliced else [])
+    order = Window.partitionBy(*keys).orderBy("pos")
+    near = order.rangeBetween(1 - distance, distance - 1)
+    top = F.max(F.struct("h", "pos")).over(near)["pos"] == F.col("pos")
+    found = found.withColumn("top", top).withColumn(
+        "beaten", ~F.col("top") & F.max("top").over(near))
+    if sliced:
+        found = found.where(F.col("slab") == slab_of("pos", SPAN))
+    top_at = F.when(F.col("top"), F.col("pos"))
+    found = found.withColumn("stretch", F.max(top_at).over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    if sliced:
+        tops = found.groupBy(*keys).agg(F.max(top_at).alias("last"))
+        past = (Window.partitionBy(CODE, "type").orderBy("slab")
+                .rowsBetween(Window.unboundedPreceding, -1))
+        tops = tops.select(*keys, F.max("last").over(past).alias("carried"))
+        found = found.join(tops.hint("merge"), keys).withColumn(
+            "stretch", F.coalesce("stretch", "carried"))
+    return found.withColumn("stretch", F.coalesce("stretch", F.lit(-1)))
+
+
 def keep_apart(found: DataFrame, distance: int) -> DataFrame:
     """Drops extremes closer than ``distance`` to a higher one that is kept itself
     (highest first, the later one first among equals).
@@ -56,69 +118,80 @@ def keep_apart(found: DataFrame, distance: int) -> DataFrame:
     if distance <= 2:
         return found  # two strict extremes of one type are never closer than that
     height = F.when(F.col("type") == "peak", F.col("v")).otherwise(-F.col("v"))
-    found = found.withColumn("h", height)
-    order = Window.partitionBy(CODE, "type").orderBy("pos")
-    near = order.rangeBetween(1 - distance, distance - 1)
-    top = F.max(F.struct("h", "pos")).over(near)["pos"] == F.col("pos")
-    found = found.withColumn("top", top).withColumns({
-        "beaten": ~F.col("top") & F.max("top").over(near),
-        "stretch": F.count_if("top").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-    })
+    sliced = is_sliced(found)
+    found = with_tops(found.withColumn("h", height), distance)
     stretch = found.where(~F.col("beaten")).groupBy(CODE, "type", "stretch").agg(
         F.sort_array(F.collect_list(F.struct("h", "pos", "date", "v", "close")), asc=False)
         .alias("all"))
     clear = lambda kept, x: ~F.exists(kept, lambda k: F.abs(k["pos"] - x["pos"]) < distance)
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(
         clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return (stretch.select(CODE, "type", F.explode(kept).alias("x"))
-            .select(CODE, "type", "x.date", "x.pos", "x.v", "x.close"))
+    out = (stretch.select(CODE, "type", F.explode(kept).alias("x"))
+           .select(CODE, "type", "x.date", "x.pos", "x.v", "x.close"))
+    return out.withColumn("slab", slab_of("pos", SPAN)) if sliced else out
 
 
 def reversals(prices: DataFrame, kind: str = "short", p: TrendParams = DEFAULT) -> DataFrame:
-    """One row per reversal of the chosen trend."""
-    require_daily(prices, "finding reversals")
+    """One row per reversal of the chosen trend; of a sliced series with its ``slab``."""
     kept = keep_apart(extremes(prices, p, kind), p.window(kind) // 2)
     peak = F.col("type") == "peak"
     return kept.select(
         CODE, F.lit(kind).alias("trend_type"), "date", F.col("pos").alias("idx"), "type",
         F.col("v").alias("price"), F.col("close").alias("actual_price"),
         F.when(peak, "+").otherwise("-").alias("trend_before"),
-        F.when(peak, "-").otherwise("+").alias("trend_after"))
+        F.when(peak, "-").otherwise("+").alias("trend_after"),
+        *(["slab"] if is_sliced(kept) else []))
 
 
 def all_reversals(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     return union_sources(*[reversals(prices, k, p) for k in KINDS])
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """Adds ``k`` (1 for the latest reversal), the gap in days and the step in price."""
-    order = Window.partitionBy(CODE, "trend_type").orderBy("idx")
-    whole = Window.partitionBy(CODE, "trend_type")
-    return found.withColumns({
-        "k": F.count(F.lit(1)).over(whole) - F.row_number().over(order) + 1,
-        "gap": F.datediff("date", F.lag("date").over(order)),
-        "step": F.abs(F.col("price") - F.lag("price").over(order)),
-    })
+def with_steps(found: DataFrame) -> DataFrame:
+    """Adds the gap in days and the step in price from the reversal before."""
+    if is_sliced(found):
+        near = with_neighbours(found, [CODE, "trend_type"], "idx", ["date", "price"])
+        day, price = F.col("prev.date"), F.col("prev.price")
+    else:
+        order = Window.partitionBy(CODE, "trend_type").orderBy("idx")
+        near, day, price = found, F.lag("date").over(order), F.lag("price").over(order)
+    return near.withColumns({
+        "gap": F.datediff("date", day), "step": F.abs(F.col("price") - price),
+    }).drop("prev", "next")
 
 
 def recent_reversals(found: DataFrame, rows: int = 3) -> DataFrame:
-    return ranked(found).where(F.col("k") <= rows).drop("gap", "step")
-
-
-def reversal_magnitude(found: DataFrame, last: int = 5) -> DataFrame:
-    """Mean absolute price step over the last reversals (one step fewer than those)."""
-    return ranked(found).groupBy(CODE, "trend_type").agg(
-        F.count(F.lit(1)).alias("reversal_count"),
-        F.avg(F.when(F.col("k") <= last - 1, F.col("step"))).alias("avg_magnitude"))
+    """The latest reversals with their rank ``k``; cut down before the shuffle."""
+    last = Window.partitionBy(CODE, "trend_type").orderBy(F.col("idx").desc())
+    df = found.withColumn("k", F.row_number().over(last)).where(F.col("k") <= rows)
+    return df.withColumn("k", F.col("k").cast("long"))
 
 
 def reversal_stats(found: DataFrame, last: int = 5) -> DataFrame:
-    """All that the forecasts need to know about a code's reversals, one row per code."""
+    """All that the forecasts need to know about a code's reversals, one row per code: the
+    rhythm of all of them, and size, price and details of the last ones."""
     told = F.struct("idx", "date", "type", "price", "actual_price", "trend_before", "trend_after")
-    return ranked(found).groupBy(CODE, "trend_type").agg(
-        F.count(F.lit(1)).alias("reversal_count"),
-        F.avg(F.when(F.col("k") <= last - 1, F.col("step"))).alias("avg_magnitude"),
-        F.max(F.when(F.col("k") == 1, F.col("price"))).alias("last_price"),
-        F.avg("gap").alias("gap_mean"),
-        F.stddev_pop("gap").alias("gap_std"),
-        F.sort_array(F.collect_list(F.when(F.col("k") <= 3, told))).alias("recent"))
+    of_all = {
+        "reversal_count": F.count(F.lit(1)),
+        "gap_mean": F.avg("gap"), "gap_std": F.stddev_pop("gap"),
+        "last_price": F.max_by(F.col("price"), F.col("idx")),
+    }
+    of_last = {
+        "avg_magnitude": F.avg(F.when(F.col("k") <= last - 1, F.col("step"))),
+        "recent": F.sort_array(F.collect_list(F.when(F.col("k") <= 3, told))),
+    }
+    made = lambda df, aggs: df.groupBy(CODE, "trend_type").agg(
+        *[a.alias(name) for name, a in aggs.items()])
+    stepped = with_steps(found)
+    if is_sliced(found):
+        latest = recent_reversals(stepped, max(last - 1, 3))
+        return made(stepped, of_all).join(made(latest, of_last), [CODE, "trend_type"])
+    whole = Window.partitionBy(CODE, "trend_type")
+    rank = F.count(F.lit(1)).over(whole) - F.row_number().over(whole.orderBy("idx")) + 1
+    return made(stepped.withColumn("k", rank), {**of_all, **of_last})
+
+
+def reversal_magnitude(found: DataFrame, last: int = 5) -> DataFrame:
+    """Mean absolute price step over the last reversals (one step fewer than those)."""
+    return reversal_stats(found, last).select(
+        CODE, "trend_type", "reversal_count", "avg_magnitude")

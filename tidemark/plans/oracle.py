@@ -267,6 +267,14 @@ def rows_of(names, source: str = "l4", digits: int = 4, **apart) -> str:
     return f"select stock_code, date, {rs(names, digits, **apart)} from {source}"
 
 
+SHARED = """
+shared as (
+  select * exclude (stock_code), lpad(cast(cast(stock_code as bigint) % 25 as varchar), 5, '0') as stock_code
+  from bars),
+ordered as (
+  select *, row_number() over (partition by stock_code order by date, open, high, low, close, volume) - 1 as pos
+  from shared)"""
+
 LIQUID = """
 liquid as (select stock_code from bars group by 1 having median(volume) > 28)"""
 
@@ -348,6 +356,11 @@ def oracle_sql() -> dict[str, str]:
     revs = "stock_code, trend_type, date, idx, type, floor((price) * 1e3 + 0.50001) / 1e3 + 0.0 as price, " \
            "floor((actual_price) * 1e4 + 0.50001) / 1e4 + 0.0 as actual_price, trend_before, trend_after"
     predicted = [BARS, chain(300.0), profile(), calls()]
+    analyzed = f"""
+select c.stock_code, {r('c.current_price', 4, 'current_price')}, analysis_date, short_seen as short_trend,
+  long_seen as long_trend, {r('s.price', 4, 'short_reversal_price')}, {r('l.price', 4, 'long_reversal_price')},
+  {r('c.short_confidence', 4, 'short_confidence')}, {r('c.long_confidence', 4, 'long_confidence')}
+from called c join short_next s using (stock_code) join long_next l using (stock_code)"""
     conf = lambda k: sql(*predicted, f"select stock_code, {r(k + '_confidence', 6, 'confidence')} from called")
     batch = [*predicted, LISTED, ASKED]
     both = "select * from short_next union all select * from long_next"
@@ -451,13 +464,7 @@ select stock_code, date, {rs(('short_trend_strength', 'long_trend_strength'))},
         "trend_consistency": feats("short_trend_consistency", "long_trend_consistency", t=300.0),
         "indicators": sql(BARS, chain(), averages(False), f"""
 select stock_code, date, {rs(FULL, **FINE)}, {r('rsi_filled', 4, 'rsi')}, {DIRECTIONS}, trend_agreement from e2"""),
-        "indicators_sliced": sql(BARS, """
-shared as (
-  select * exclude (stock_code), lpad(cast(cast(stock_code as bigint) % 25 as varchar), 5, '0') as stock_code
-  from bars),
-ordered as (
-  select *, row_number() over (partition by stock_code order by date, open, high, low, close, volume) - 1 as pos
-  from shared)""", chain(0.001, "ordered", "pos"), averages(False), f"""
+        "indicators_sliced": sql(BARS, SHARED, chain(0.001, "ordered", "pos"), averages(False), f"""
 select stock_code, date, pos, {rs(FULL, **FINE)}, {r('rsi_filled', 4, 'rsi')}, {DIRECTIONS}, trend_agreement from e2"""),
         "current_trend": sql(BARS, chain(), f"""
 select stock_code, date as analysis_date, {r('close', 4, 'current_price')},
@@ -535,11 +542,8 @@ select stock_code, {r('current_price')}, analysis_date, short_trend, long_trend,
   {short_long(['reversal_price', 'confidence'])}, short_trend_method, long_trend_method,
   short_reversal_method, long_reversal_method, data_points, data_points >= 5 as sufficient_short,
   data_points >= 25 as sufficient_long, data_points >= 60 as sufficient_ml from called"""),
-        "predict_stock_analyzer": sql(*seen, calls(), f"""
-select c.stock_code, {r('c.current_price', 4, 'current_price')}, analysis_date, short_seen as short_trend,
-  long_seen as long_trend, {r('s.price', 4, 'short_reversal_price')}, {r('l.price', 4, 'long_reversal_price')},
-  {r('c.short_confidence', 4, 'short_confidence')}, {r('c.long_confidence', 4, 'long_confidence')}
-from called c join short_next s using (stock_code) join long_next l using (stock_code)"""),
+        "predict_stock_analyzer": sql(*seen, calls(), analyzed),
+        "predict_sliced": sql(BARS, SHARED, chain(300.0, "ordered", "pos"), *seen[2:], calls(), analyzed),
         "batch_predict": sql(*batch, f"""
 select stock_code, error, short_trend, long_trend, {short_long(['reversal_price', 'confidence'])},
   {r('current_price')}, analysis_date from told"""),

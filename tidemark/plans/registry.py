@@ -379,13 +379,16 @@ def indicators_full(spark, d):
 QUERIES["indicators"] = QUERIES.pop("indicators_full")
 
 
+def cut_bars(spark, d) -> DataFrame:
+    """Series that no calendar bounds: several suppliers share a code, so dates repeat, and
+    the series are cut into short slabs."""
+    shared = F.lpad((F.col(CODE).cast("long") % 25).cast("string"), 5, "0")
+    return lay_out(bars(spark, d).withColumn(CODE, shared), rows_per_slab=1100)
+
+
 @query
 def indicators_sliced(spark, d):
-    """The same set where a series is not bounded by a calendar: several suppliers share a
-    code, so dates repeat, and the series are cut into short slabs."""
-    shared = F.lpad((F.col(CODE).cast("long") % 25).cast("string"), 5, "0")
-    cut = lay_out(bars(spark, d).withColumn(CODE, shared), rows_per_slab=1100)
-    return pick(settle(trends.indicators(cut)), "pos", *INDICATORS, **FINE)
+    return pick(settle(trends.indicators(cut_bars(spark, d))), "pos", *INDICATORS, **FINE)
 
 
 @query
@@ -569,6 +572,14 @@ def predict_stock_analyzer(spark, d):
                              "short_confidence", "long_confidence"), 4)
 
 
+@query
+def predict_sliced(spark, d):
+    df = forecasts.predict_stock(cut_bars(spark, d), WIDE, method="analyzer")
+    return rounded(df.select(CODE, "current_price", "analysis_date", "short_trend", "long_trend",
+                             "short_reversal_price", "long_reversal_price",
+                             "short_confidence", "long_confidence"), 4)
+
+
 def requested(spark, d) -> DataFrame:
     """All listed codes and as many unknown ones as there are nations."""
     listed = cleaning.clean_stock_list(stock_list(spark, d)).select(F.col("code").alias(CODE))
