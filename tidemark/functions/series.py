@@ -54,10 +54,14 @@ def trailing(w, rows: int):
 
 
 def full_window(agg, x: Column, w, rows: int) -> Column:
-    """``agg`` over the last ``rows`` rows, NULL until all of them are there."""
+    """``agg`` over the last ``rows`` rows, NULL until all of them are there.
+
+    Cleaning leaves no gaps in prices, so what is missing stands at the head of a series
+    and the oldest row of the window tells whether it is full; that is cheaper than a
+    second aggregate that counts."""
     frame = trailing(w, rows)
     value = F.sum(x).over(frame) / F.lit(float(rows)) if agg is F.avg else agg(x).over(frame)
-    return F.when(F.count(x).over(frame) == rows, value)
+    return F.when(prior(x, w, rows - 1).isNotNull(), value)
 
 
 def reaches_back(w, rows: int) -> Column:
@@ -89,15 +93,18 @@ def slope_of_last(y: Column, w, rows: int, at_least: int | None = None) -> Colum
     return F.coalesce(*fits)
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """Adds ``pos`` (0-based row in the series) and ``n`` (length of the series)."""
+def position_columns(df: DataFrame) -> dict[str, Column]:
+    """``pos`` (0-based row in the series) and ``n`` (length of the series), unless there."""
     if "pos" in df.columns:
-        return df
-    w = series_window(df)
-    return df.withColumns({
-        "pos": (F.row_number().over(w) - 1).cast("long"),
+        return {}
+    return {
+        "pos": (F.row_number().over(series_window(df)) - 1).cast("long"),
         "n": F.count(F.lit(1)).over(Window.partitionBy(CODE)),
-    })
+    }
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    return df.withColumns(position_columns(df))
 
 
 def place(prices: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import CODE, full_window, recency, series_window, settle
+from ..functions.series import (CODE, full_window, position_columns, recency, series_window,
+                                settle)
 from ..params import KINDS, TrendParams
-from .indicators import DEFAULT, change, ensure_ma
+from .indicators import DEFAULT, change, ma_columns
 from .reversals import reversal_stats, reversals
-from .trends import direction, symbol, trend_as_of
+from .trends import symbol_of_slope, trend_as_of
 
 RECENT = 20
 
@@ -28,7 +29,8 @@ def profile(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     """One row per code (and ensemble member) with the figures forecasts are made of."""
     keys = keys_of(prices)
     w = series_window(prices)
-    df = ensure_ma(prices, p).withColumns({
+    df = prices.withColumns({
+        **position_columns(prices), **ma_columns(prices, p),
         "r": change("close", w),
         "move": F.col("close") - F.lag("close").over(w),
         "pv": full_window(F.stddev_samp, F.col("close"), w, p.volatility_window),
@@ -80,7 +82,7 @@ def basic_trend(kind: str, p: TrendParams) -> dict[str, Column]:
         weak = F.lit(0.7)
     return {
         "trend": F.when(slope.isNull() | short, "0").otherwise(
-            symbol(direction(slope, p.trend_threshold))),
+            symbol_of_slope(slope, p.trend_threshold)),
         "trend_confidence": F.when(slope.isNull() | short, 0.3).otherwise(weak),
         "trend_method": F.when(short, "insufficient_data")
         .when(slope.isNull(), "insufficient_ma").otherwise("fallback_analysis"),
@@ -167,7 +169,14 @@ def regularity(kind: str, p: TrendParams) -> Column:
     return F.when(F.coalesce("reversal_count", F.lit(0)) < 3, 0.3).otherwise(known)
 
 
+def with_code(prices: DataFrame) -> DataFrame:
+    """Said of both sides of a join by code, it lets them share one scan and one shuffle:
+    the optimizer would add the condition to the optional side alone."""
+    return prices.where(F.col(CODE).isNotNull())
+
+
 def with_reversal_stats(prices: DataFrame, kind: str, p: TrendParams) -> DataFrame:
+    prices = with_code(prices)
     stats = reversal_stats(reversals(prices, kind, p)).drop("trend_type")
     return profile(prices, p).join(stats, CODE, "left")
 
@@ -200,6 +209,7 @@ def next_reversal(prices: DataFrame, kind: str, p: TrendParams = DEFAULT) -> Dat
 
 def with_both_next(prices: DataFrame, p: TrendParams) -> DataFrame:
     """The profile with both expected reversals and the latest reversals beside it."""
+    prices = with_code(prices)
     df = profile(prices, p)
     for kind in KINDS:
         stats = reversal_stats(reversals(prices, kind, p)).drop("trend_type")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ewm import Ewm, ewm, macd
 from ..functions.series import (full_window, prior, reaches_back, safe_ratio, series_window,
                                 trailing)
-from ..params import TrendParams
+from ..params import KINDS, TrendParams
 
 DEFAULT = TrendParams()
 
@@ -65,12 +65,15 @@ def moving_averages(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     })
 
 
-def ensure_ma(df: DataFrame, p: TrendParams) -> DataFrame:
+def ma_columns(df: DataFrame, p: TrendParams, kinds=KINDS) -> dict[str, Column]:
+    """The averages of the two trends that the table does not have yet."""
     w = series_window(df)
-    return df.withColumns({
-        f"ma_{k}": full_window(F.avg, F.col("close"), w, k)
-        for k in (p.short_window, p.long_window) if f"ma_{k}" not in df.columns
-    })
+    return {f"ma_{k}": full_window(F.avg, F.col("close"), w, k)
+            for k in map(p.window, kinds) if f"ma_{k}" not in df.columns}
+
+
+def ensure_ma(df: DataFrame, p: TrendParams) -> DataFrame:
+    return df.withColumns(ma_columns(df, p))
 
 
 def ema(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:

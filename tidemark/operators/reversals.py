@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import (CODE, is_sliced, prior, series_window, slab_of, with_neighbours,
-                                with_position)
+from ..functions.series import (CODE, is_sliced, position_columns, prior, series_window,
+                                slab_of, with_neighbours)
 from ..params import KINDS, TrendParams
-from .indicators import DEFAULT, ensure_ma
+from .indicators import DEFAULT, ensure_ma, ma_columns
 from .selection import union_sources
 
 
@@ -22,9 +22,9 @@ def extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
     if is_sliced(prices):
         return sliced_extremes(prices, p, kind)
     window, ma = p.window(kind), F.col(f"ma_{p.window(kind)}")
-    df = ensure_ma(prices, p)
-    up = series_window(df)
-    df = with_position(df.select(CODE, "date", "close", ma.alias("v")))
+    up = series_window(prices)
+    df = prices.withColumns({**position_columns(prices), **ma_columns(prices, p, (kind,))})
+    df = df.select(CODE, "date", "close", "pos", "n", ma.alias("v"))
     df = df.where(F.col("v").isNotNull() & (F.col("n") - window + 1 >= 2 * window))
 
     left, right = F.lag("v").over(up), F.lead("v").over(up)

@@ -19,6 +19,10 @@ def direction(slope: Column, threshold: float) -> Column:
     return F.when(slope > threshold, 1).when(slope < -threshold, -1).otherwise(0)
 
 
+def symbol_of_slope(slope: Column, threshold: float) -> Column:
+    return F.when(slope > threshold, "+").when(slope < -threshold, "-").otherwise("0")
+
+
 def symbol(direction: Column) -> Column:
     return F.when(direction == 1, "+").when(direction == -1, "-").otherwise("0")
 
@@ -82,7 +86,7 @@ def trend_as_of(df: DataFrame, kind: str, p: TrendParams) -> Column:
     """What :func:`current_trend` would have said on each row."""
     y = F.col(f"ma_{p.window(kind)}")
     slope = slope_of_last(y, series_window(df), p.slope_rows(kind), at_least=2)
-    return symbol(direction(slope, p.trend_threshold))
+    return symbol_of_slope(slope, p.trend_threshold)
 
 
 def current_trend(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:

@@ -73,7 +73,9 @@ def raw_files(spark, d) -> str:
 @query
 def load_prices(spark, d):
     listed = cleaning.clean_stock_list(stock_list(spark, d)).select(F.col("code").alias(CODE))
-    raw = price_files.read_price_files(spark, raw_files(spark, d))
+    path = workspace(spark, "raw")
+    raw_prices(spark, d).write.option("header", True).csv(path)
+    raw = price_files.read_price_files(spark, path)
     df = price_files.load_prices(raw, listed, "1995-01-01", "2001-06-30", 400)
     return pick(df, "open", "high", "low", "close", "volume")
 

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 MB = 1024 * 1024
 
+# The JVM does not compile methods above this size; Spark then runs the operators of a wide
+# stage one by one instead of interpreting one huge method.
+COMPILED_METHOD = "8000"
+
 
 def recommended_conf(input_bytes: int, cores: int, partition_mb: int = 128) -> dict[str, str]:
     """Settings for an input of this size: shuffle partitions that fit an executor's
@@ -21,6 +25,7 @@ def recommended_conf(input_bytes: int, cores: int, partition_mb: int = 128) -> d
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_mb * MB),
+        "spark.sql.codegen.hugeMethodLimit": COMPILED_METHOD,
         "spark.sql.session.timeZone": "UTC",
     }
 
@@ -35,6 +40,7 @@ def local_session(cores: int | str = 8, name: str = "tidemark", **extra: str) ->
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD)
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

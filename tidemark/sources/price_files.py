@@ -29,9 +29,14 @@ def discover_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_price_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files of a folder that share one header, every column as text."""
+    """All files of a folder that share one header, every column as text. The code is taken
+    from the column of that name where the files have one, else from the file's place:
+    thousands of instruments are better kept in few large files."""
     df = (spark.read.option("header", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.csv").csv(path))
+    held = next((c for c in ("Code", "code", CODE) if c in df.columns), None)
+    if held:
+        return df.withColumn(held, norm_code(F.col(held))).withColumnRenamed(held, CODE)
     return df.withColumn(CODE, code_of_file(F.col("_metadata.file_path")))
 
 
