@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.series import CODE, is_sliced, series_keys, series_window, with_position
+from ..functions.series import CODE, is_sliced, series_window, with_position
 from ..params import KINDS, MODEL_FEATURES, SplitParams, TrendParams
 from .indicators import DEFAULT
 
