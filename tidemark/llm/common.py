@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def hashed_sample(df: DataFrame, rows: int, *columns: str) -> list:
+    """So many rows with the smallest hashes of the columns (more only where hashes are equal), on the
+    driver: first the hashes alone are compared, then only the chosen rows travel."""
+    keyed = df.withColumn("_h", F.xxhash64(*columns))
+    last = keyed.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).head()[0]
+    return [] if last is None else keyed.filter(F.col("_h") <= last).drop("_h").dropDuplicates().limit(rows).collect()
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """The doc_ids and texts of the batches in runs of about `limit` bytes; a longer text is a run of its own."""
     ids: list = []
@@ -58,6 +68,17 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         yield ids, texts
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit numbers as differences, their first bytes together, their second bytes together, ..."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(6).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def block_number() -> Iterator[int]:
     """Numbers for the blocks of this task; they hold once the blocks are written."""
     from pyspark import TaskContext
