@@ -9,6 +9,7 @@ are joined to the documents' pre-token frequencies."""
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import asked, block_number, slices, stored, text_bytes, texts_of, tokenizer_path
+from tidemark.llm.common import asked, block_number, slices, squeezed, stored, text_bytes, texts_of, tokenizer_path, unsqueezed
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -65,22 +66,25 @@ def _blocks(path: str, buckets: int):
                 all_freqs.append(np.fromiter(counts.values(), np.uint32, len(counts)))
                 ends.append(len(counts))
             by_bucket: dict[int, list[str]] = {}
-            where = np.zeros(len(codes), np.int64)
-            for word, code in codes.items():
-                b = _crc(word) % buckets
-                mine = by_bucket.setdefault(b, [])
-                where[code] = b << 32 | len(mine)
-                mine.append(word)
-            pack = zstandard.ZstdCompressor(3).compress
-            asks = [{"bucket": b, "data": pack(_join(words))} for b, words in sorted(by_bucket.items())]
-            # the answers come in order of bucket and place
-            rank = np.empty(len(codes), np.uint32)
-            rank[np.argsort(where, kind="stable")] = np.arange(len(codes), dtype=np.uint32)
-            flat = rank[np.concatenate(all_codes)] if codes else np.zeros(0, np.uint32)
+            for word in codes:
+                by_bucket.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+            # a pre-token's number is its place among the answers, which come in order of the bucket
+            pack = zstandard.ZstdCompressor(9).compress
+            asks, place = [], np.empty(len(codes), np.uint64)
+            at = 0
+            for b, words in sorted(by_bucket.items()):
+                words.sort()
+                asks.append({"bucket": b, "data": pack(_join(words))})
+                place[[codes[w] for w in words]] = np.arange(at, at + len(words), dtype=np.uint64)
+                at += len(words)
+            # ascending within a document, and from one document to the next
+            flat = place[np.concatenate(all_codes)] + np.repeat(np.arange(len(ends), dtype=np.uint64) * np.uint64(len(codes)), ends) if codes else np.zeros(0, np.uint64)
+            order = np.argsort(flat, kind="stable")
+            freqs = np.concatenate(all_freqs)[order]
             number = next(numbers)
             yield pa.RecordBatch.from_pylist([{
                 "block": number, "asks": asks, "doc_ids": ids, "n_bytes": [len(t) for t in texts], "sizes": ends,
-                "codes": pack(flat.tobytes()), "freqs": pack(np.concatenate(all_freqs).tobytes()),
+                "codes": squeezed(flat[order]), "freqs": pack(freqs.tobytes()),
             }], schema=BLOCKS)
 
     return make
@@ -97,12 +101,6 @@ BLOCKS_DDL = (
 )
 
 
-def _crc(word: str) -> int:
-    import zlib
-
-    return zlib.crc32(word.encode())
-
-
 def _join(words: list[str]) -> bytes:
     """Lengths and texts: a pre-token may be any character, so no separator would do."""
     data = [w.encode() for w in words]
@@ -138,8 +136,8 @@ def _sums(batches):
     for batch in batches:
         for row in batch.to_pylist():
             pieces = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(unpack(a["data"]), np.uint32) for a in row["answers"] or ())]).astype(np.int64)
-            codes, freqs = (np.frombuffer(unpack(row[k]), np.uint32) for k in ("codes", "freqs"))
-            total = np.concatenate([[0], np.cumsum(pieces[codes] * freqs)])
+            freqs = np.frombuffer(unpack(row["freqs"]), np.uint32)
+            total = np.concatenate([[0], np.cumsum(pieces[(unsqueezed(row["codes"]) % np.uint64(max(1, len(pieces)))).astype(np.int64)] * freqs)])
             ends = np.cumsum(np.array(row["sizes"], np.int64))
             sums = total[ends] - total[ends - np.array(row["sizes"], np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
