@@ -14,7 +14,7 @@ from tidemark.llm.common import numbered, stored
 #: Bins of a pass, passes of a split at most, and the share of its node that a split may be off.
 BINS, PASSES, NEAR = 1024, 8, 2e-4
 #: Copies of one text stay together up to this share of a shard; a larger group is split by a hash.
-GROUP_SHARE = 1 / 64
+GROUP_SHARE = 1 / 20
 #: Rows of a shard that are numbered in one task.
 PART_ROWS = 100_000
 #: Width of a coordinate: each dimension is an integer from 0 to SCALE, the hash of a group below it.
