@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kd_sharding, mixing
 from tidemark.llm.common import numbered
 from tidemark.llm.kd_sharding import kd_shards
-from tidemark.llm.mixing import mix, mixed_documents, solve_tilts, targets
+from tidemark.llm.mixing import histograms, mix, mixed_documents, solve_tilts, targets
 
 
 def shared_out(sizes):
@@ -44,7 +44,8 @@ def test_tilts_solve_the_constraints(spark):
     sizes = [("0a", s, n) for s, n in ((1, 5), (10, 40), (100, 7), (5000, 1))] + [("0b", 3, 10), ("0c", 7, 1), ("0c", 9, 2)]
     whole = {s: sum(x * n for a, x, n in sizes if a == s) for s in ("0a", "0b", "0c")}
     wanted = [("0a", whole["0a"], whole["0a"] * 0.4), ("0b", whole["0b"], whole["0b"] * 3.0), ("0c", whole["0c"], whole["0c"] * 1.7)]
-    out = {r._source: r for r in solve_tilts(spark.createDataFrame(sizes, "_source string, size long, n long"), spark.createDataFrame(wanted, "_source string, source_size long, target double")).collect()}
+    sources = histograms(spark.createDataFrame(sizes, "_source string, size long, n long"), spark.createDataFrame(wanted, "_source string, source_size long, target double"))
+    out = {r._source: r for r in solve_tilts(sources).collect()}
     for s, _, t in wanted:
         made = sum(n * x * min(3, math.exp(out[s].tilt * x / out[s]._mean)) for a, x, n in sizes if a == s)
         assert math.isclose(made, t, rel_tol=1e-6)

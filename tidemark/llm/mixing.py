@@ -3,11 +3,14 @@
 Each document gets a rate: how often it is to be taken. Of all rates between 0 and MOST that meet
 every source's token target, balancing takes those nearest to 1 in relative entropy. They are
 exponentially tilted, exp(tilt * size), and the tilts solve a convex dual problem, one unknown for
-each source, by Newton steps over sums that Spark computes. Rates are then rounded into copies, and
+each source, by Newton steps over the sources' histograms of sizes. Rates are then rounded into copies, and
 what one size rounds off is handed on to the next smaller size of the source."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,68 +58,76 @@ def targets(sources: DataFrame) -> DataFrame:
     return left.select("_source", "source_size", F.least(full.cast("double"), F.coalesce(F.col("_level") * F.col("_w"), full.cast("double"))).alias("target"))
 
 
-def _exact_sum(x: Column) -> Column:
-    """The same to the last bit whatever the order of the rows, so that reruns agree."""
-    return F.sum(x.cast("decimal(38,6)")).cast("double")
+def histograms(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each source with words: its target, the mean and the least size, and its documents as
+    (size, n), the largest size first. A source has a row, however many documents it has."""
+    steps = sizes.filter("size > 0").groupBy("_source").agg(
+        (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("_mean"), F.min("size").alias("_least"),
+        F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("_steps"))
+    return wanted.select("_source", "target").join(steps, "_source")
+
+
+def _rate(tilt: Column, size: Column, mean: Column) -> Column:
+    return F.least(F.lit(float(MOST)), F.exp(tilt * size / mean))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def solve_tilts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_source and tilt, from sizes(_source, size, n) and wanted(_source, source_size, target).
+def solve_tilts(sources: DataFrame) -> DataFrame:
+    """sources (see `histograms`) and their tilt.
 
     For one source, tokens(tilt) = sum of n * size * min(MOST, exp(tilt * x)), x being size over the
     source's mean size, rise with the tilt: the gradient of its dual. A Newton step that leaves the
-    bounds known so far is replaced by their middle. Sources step together, one job a step."""
-    spark = sizes.sparkSession
-    from math import log
-
-    scale = sizes.filter("size > 0").groupBy("_source").agg(
-        (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("_mean"), F.min("size").alias("_least"))
-    state = stored(
-        wanted.join(scale, "_source").select(
-            "_source", "target", "_mean", F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("_low"),
-            # here every document is at MOST
-            (F.lit(log(MOST)) * F.col("_mean") / F.col("_least") + 1e-9).alias("_high")), "mixing-tilts")
-    sizes = stored(sizes.filter("size > 0").join(wanted.select("_source"), "_source", "left_semi"), "mixing-sizes")
-    for _ in range(STEPS):
-        x = F.col("size") / F.col("_mean")
-        rate = F.least(F.lit(float(MOST)), F.exp(F.col("tilt") * x))
-        sums = sizes.join(state, "_source").groupBy("_source").agg(
-            _exact_sum(F.col("n") * F.col("size") * rate).alias("_tokens"),
-            _exact_sum(F.when(F.exp(F.col("tilt") * x) < MOST, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("_slope"))
-        over = F.col("_tokens") > F.col("target")
-        done = F.abs(F.col("_tokens") - F.col("target")) <= NEAR * F.col("target")
-        low, high = F.when(over, F.col("_low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("_high"))
-        newton = F.col("tilt") + (F.col("target") - F.col("_tokens")) / F.when(F.col("_slope") > 0, F.col("_slope"))
-        inside = (newton > F.col("_to_low")) & (newton < F.col("_to_high"))
-        state = stored(
-            state.join(sums, "_source").withColumn("_to_low", low).withColumn("_to_high", high).withColumn("_done", done)
-            .select("_source", "target", "_mean",
-                    F.when(F.col("_done"), F.col("tilt")).when(inside, newton).otherwise((F.col("_to_low") + F.col("_to_high")) / 2).alias("tilt"),
-                    F.col("_to_low").alias("_low"), F.col("_to_high").alias("_high"), "_done"), "mixing-tilts")
-        if state.filter(~F.col("_done")).isEmpty():
-            break
-        state = state.drop("_done")
-    return state.select("_source", "tilt", "_mean")
-
-
-def copies_by_size(sizes: DataFrame, tilts: DataFrame) -> DataFrame:
+    bounds known so far is replaced by their middle. All sources iterate side by side, each where its
+    histogram lies, and the sums go over (size, n) in a fixed order, so reruns agree to the last bit."""
+    mean, target = F.col("_mean"), F.col("target")
+    start = F.struct(
+        F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("low"),
+        # here every document is at MOST
+        (F.lit(log(MOST)) * mean / F.col("_least") + 1e-9).alias("high"), F.lit(False).alias("done"))
+
+    def sums(tilt: Column) -> Column:
+        def add(a: Column, s: Column) -> Column:
+            return _bound(_rate(tilt, s["size"], mean), lambda rate: F.struct(
+                (a.tokens + s.n * s["size"] * rate).alias("tokens"),
+                (a.slope + F.when(rate < MOST, s.n * s["size"] * rate * s["size"] / mean).otherwise(0.0)).alias("slope")))
+
+        return F.aggregate("_steps", F.struct(F.lit(0.0).alias("tokens"), F.lit(0.0).alias("slope")), add)
+
+    def stepped(a: Column, x: Column) -> Column:
+        over = x.tokens > target
+        low, high = F.when(over, a.low).otherwise(a.tilt), F.when(over, a.tilt).otherwise(a.high)
+        newton = a.tilt + (target - x.tokens) / F.when(x.slope > 0, x.slope)
+        done = F.abs(x.tokens - target) <= NEAR * target
+        tilt = F.when(done, a.tilt).when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        return F.struct(tilt.alias("tilt"), low.alias("low"), high.alias("high"), done.alias("done"))
+
+    def iterate(a: Column, _: Column) -> Column:
+        return F.when(a.done, a).otherwise(_bound(sums(a.tilt), lambda x: stepped(a, x)))
+
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, iterate, lambda a: a.tilt)
+    return sources.withColumn("tilt", solved)
+
+
+def copies_by_size(tilted: DataFrame) -> DataFrame:
     """_source, size, n and copies, the copies of all n documents of one source and size together.
 
     Sizes are rounded from the largest down, and each takes on the tokens that those before rounded
     off, so that a source ends off its target by about half of its smallest document. The fold holds
     the distinct sizes of a source, whatever the number of its documents."""
-    rate = F.least(F.lit(float(MOST)), F.exp(F.col("tilt") * F.col("size") / F.col("_mean")))
-    rated = sizes.filter("size > 0").join(tilts, "_source").withColumn("_real", F.col("n") * rate)
-    steps = rated.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("size", "n", F.col("_real").alias("real"))), asc=False).alias("_steps"))
     start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("made"))
 
     def step(a: Column, s: Column) -> Column:
-        copies = F.greatest(F.lit(0), F.least(s.n * MOST, F.round(s.real + a.carry / s.size).cast("long"))).cast("long")
-        return F.struct(
-            (a.carry + (s.real - copies) * s.size).alias("carry"),
-            F.concat(a.made, F.array(F.struct(s["size"].alias("size"), s.n.alias("n"), copies.alias("copies")))).alias("made"))
+        real = s.n * _rate(F.col("tilt"), s["size"], F.col("_mean"))
+        copies = F.greatest(F.lit(0), F.least(s.n * MOST, F.round(real + a.carry / s["size"]).cast("long"))).cast("long")
+        return _bound(copies, lambda c: F.struct(
+            (a.carry + (real - c) * s["size"]).alias("carry"),
+            F.concat(a.made, F.array(F.struct(s["size"].alias("size"), s.n.alias("n"), c.alias("copies")))).alias("made")))
 
-    made = steps.select("_source", F.explode(F.aggregate("_steps", start, step, lambda a: a.made)).alias("m"))
+    made = tilted.select("_source", F.explode(F.aggregate("_steps", start, step, lambda a: a.made)).alias("m"))
     return made.select("_source", "m.size", "m.n", "m.copies")
 
 
@@ -137,9 +148,9 @@ def mix(docs: DataFrame) -> DataFrame:
     of any share of the rows is split by size, and one size by the hash."""
     light = stored(
         _row_keys(docs).select("doc_id", source_key(F.col("source")).alias("_source"), size_of(F.col("text")).alias("size"), "_h", "_c"), "mixing-rows")
-    sizes = stored(light.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-sizes")
+    sizes = light.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n"))
     wanted = stored(targets(sizes.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "mixing-targets")
-    copies = copies_by_size(sizes, solve_tilts(sizes, wanted))
+    copies = copies_by_size(solve_tilts(histograms(sizes, wanted)))
     plan = stored(
         sizes.join(copies.drop("n"), ["_source", "size"], "left").join(wanted, "_source")
         .select("_source", "size", "n", F.coalesce("copies", F.lit(0)).alias("_copies"), "source_size", "target"), "mixing-copies")
