@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored, text_bytes, texts_of, tokenizer_path
+from tidemark.llm.common import hashed_sample, slices, stored, text_bytes, texts_of, tokenizer_path
 from tidemark.llm.encoding import encoder
 from tidemark.session import workspace
 
@@ -40,12 +40,8 @@ BLOCK_SCHEMA = pa.schema([
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from the ids of a bounded sample; empty where the sample has nothing to train on."""
-    some = (
-        docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT))
-        .select(F.col("text").cast("string").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h").limit(SAMPLE).collect()
-    )
-    samples = encoder(path, "words")([bytes(r.text) for r in some])
+    short = docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT)).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    samples = encoder(path, "words")([bytes(r.text) for r in hashed_sample(short, SAMPLE, "doc_id", "text")])
     samples = [s for s in samples if len(s) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -83,7 +79,7 @@ def _blocker(name: str, width: int):
 
         def made():
             return pa.RecordBatch.from_pylist([{
-                "shard": shard, "block": number, "first_id": ids[0], "last_id": ids[-1], "dictionary": name, "width": width,
+                "shard": shard, "block": number, "first_id": next((i for i in ids if i is not None), None), "last_id": ids[-1], "dictionary": name, "width": width,
                 "doc_ids": ids, "offsets": offsets, "n_tokens": counts, "frames": b"".join(frames)}], schema=BLOCK_SCHEMA)
 
         for batch in batches:
@@ -140,20 +136,19 @@ def dictionary_of(spark: SparkSession, folder: str) -> bytes:
 def fetch(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
     """doc_id and ids of the documents asked for: only blocks whose range holds one are read, and of
     those only the documents' own frames are decompressed."""
-    dictionary, wanted = dictionary_of(spark, folder), sorted(doc_ids)
+    dictionary, wanted = dictionary_of(spark, folder), set(doc_ids)
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                places = np.flatnonzero(np.isin(np.array(row["doc_ids"], object), wanted))
-                for doc, ids in _opened(row, dictionary, places.tolist()):
+                places = [i for i, doc in enumerate(row["doc_ids"]) if doc in wanted]
+                for doc, ids in _opened(row, dictionary, places):
                     yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     blocks = spark.read.parquet(f"{folder}/blocks")
-    spans = [(F.col("first_id") <= d) & (F.col("last_id") >= d) for d in wanted]
     inside = F.lit(False)
-    for s in spans:
-        inside = inside | s
+    for d in sorted(wanted):
+        inside = inside | (F.col("first_id") <= d) & (F.col("last_id") >= d)
     return blocks.filter(inside).mapInArrow(read, "doc_id long, ids array<long>")
 
 
