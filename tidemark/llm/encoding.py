@@ -6,19 +6,31 @@ used here, so the ids of a text are those of its stretches one after another:
 * words: a model that drops white space. Stretches lie between ASCII white space.
 * spaced: a byte-level model. A stretch is a run of white space and the run of other characters
   after it; white space at the end of the text is a stretch of its own. Python and the model differ
-  on the characters 1C to 1F, so a text that holds one is encoded whole."""
+  on the characters 1C to 1F, so a text that holds one is encoded whole.
+
+A stretch of plain letters is one part for either model, and so is the punctuation after it: they go
+to the model's merges at once, without the general cutting. Any other stretch is encoded in full."""
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Distinct stretches whose ids a worker keeps at a time.
-KEPT = 400_000
-
+KEPT = 500_000
+
+# Letters that are one code point in any form, and punctuation but for the apostrophe, which may belong to letters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PUNCTUATION = "!-&(-/:-@[-`{-~"
+simple = {
+    "words": re.compile(f"()([{LETTERS}]+)([{PUNCTUATION}]*)").fullmatch,
+    "spaced": re.compile(f"(\n?)( ?[{LETTERS}]+)([{PUNCTUATION}]*)").fullmatch,
+}
 spaced = re.compile(r"\s*\S+|\s+").findall
 unsure = re.compile("[\x1c-\x1f]").search
 
@@ -34,33 +46,97 @@ def tokenizer(path: str):
     return found
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: printable ones stand for themselves, the
+    others, in order, for what follows the 256th code point."""
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+class Kept(dict):
+    """The ids of stretches, as bytes. What is missing is made when it is asked for; at half of
+    KEPT the older half goes, but for what is asked for again."""
+
+    def __init__(self, made):
+        self.made, self.older = made, {}
+
+    def __missing__(self, key) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.made(key)
+        if len(self) >= KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned numbers, of 16 bits if the vocabulary allows it."""
 
     def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
-        self.dtype = np.dtype("<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.kept: dict = {}
-
-    def stretches(self, text: bytes) -> list:
-        if self.kind == "words":
-            return text.split()
-        whole = text.decode()
-        return [whole] if whole and unsure(whole) else spaced(whole)
+        self.kind, self.tokenizer = kind, tokenizer(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters, self.fits = byte_letters(), simple[kind]
+        if kind == "words":
+            self.kept = Kept(lambda word: self.word(word.decode()))
+            self.of = self.of_words
+        else:
+            self.kept = Kept(self.stretch)
+            self.after_space = Kept(lambda word: self.stretch(" " + word))
+            self.of = self.of_spaced
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+
+    def full(self, stretch: str) -> bytes:
+        return self.packed(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+
+    def merged(self, part: str) -> bytes:
+        """Of one part that nothing cuts."""
+        if not part.isascii() or part[0] == " ":
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(part)])
+
+    def word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalpha()):
+            m = self.fits(word)
+            if not m:
+                return self.full(word)
+            if m[3]:
+                return self.kept[m[2].encode()] + self.kept[m[3].encode()]
+        low = word.lower()
+        return self.merged(word) if low == word else self.kept[low.encode()]
+
+    def stretch(self, stretch: str) -> bytes:
+        m = self.fits(stretch)
+        if not m:
+            return self.full(stretch)
+        if not (m[1] or m[3]):
+            return self.merged(stretch)
+        letters = self.after_space[m[2][1:]] if m[2][0] == " " else self.kept[m[2]]
+        return (self.kept[m[1]] if m[1] else b"") + letters + (self.kept[m[3]] if m[3] else b"")
+
+    def of_words(self, text: bytes) -> bytes:
+        return b"".join(map(self.kept.__getitem__, text.split()))
+
+    def of_spaced(self, text: bytes) -> bytes:
+        whole, kept = text.decode(), self.kept.__getitem__
+        if len(whole.split()) != whole.count(" ") + whole.count("\n") + 1:
+            return b"".join(map(kept, [whole] if whole and unsure(whole) else spaced(whole)))
+        # single spaces and line ends between words, and no other white space
+        out, after_space = [], self.after_space.__getitem__
+        for line in whole.split("\n"):
+            words = line.split(" ")
+            out.append(kept("\n"))
+            out.append(kept(words[0]))
+            out.extend(map(after_space, words[1:]))
+        return b"".join(out[1:])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        parts = [self.stretches(t) for t in texts]
-        new = list(set().union(*parts).difference(self.kept))
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = list(set().union(*parts))
-        encode = tokenizer(self.path).encode_batch_fast
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            asked = [w.decode() for w in some] if self.kind == "words" else some
-            self.kept.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, encode(asked, add_special_tokens=False)))
-        of = self.kept.__getitem__
-        return [b"".join(map(of, p)) for p in parts]
+        return [self.of(t) for t in texts]
 
 
 _encoders: dict = {}
