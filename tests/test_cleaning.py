@@ -110,3 +110,46 @@ def test_landed_pages(spark, tmp_path):
 
 def test_output_path():
     assert [tables.csv_path(x) for x in ("a.csv", "a.json", "a")] == ["a.csv", "a.csv", "a.csv"]
+
+
+def test_many_columns_and_other_orders(spark, tmp_path):
+    notes = ",".join(f"n{i}" for i in range(70))
+    write(tmp_path / "1.csv", f"{notes},Close,Open,High,Low,Date\n" + ",".join("x" * 70) + ",11,10,12,9,2025-01-02\r\n")
+    write(tmp_path / "2.csv", 'date,low,high,open,close,volume,"a ""b"", c"\n2025-01-02,9,12,10,11,5,"1,""2"",3"\n')
+    raw = price_files.read_mixed_price_files(spark, str(tmp_path))
+    out = {r[CODE]: (r.open, r.high, r.low, r.close, r.volume) for r in cleaning.clean_prices(raw).collect()}
+    assert out == {"00001": (10.0, 12.0, 9.0, 11.0, 0.0), "00002": (10.0, 12.0, 9.0, 11.0, 5.0)}
+    with pytest.raises(Exception, match="(?i)header"):
+        price_files.read_price_files(spark, str(tmp_path)).collect()
+
+
+def test_first_readable_layout(spark, tmp_path):
+    line = "2025-01-02,10,12,9,{},1\n"
+    head = "date,open,high,low,close,volume\n"
+    write(tmp_path / "00001.csv", head + line.format(10))
+    write(tmp_path / "00001_price.csv", head + line.format(11))
+    write(tmp_path / "00002.csv", "date,open,high,low\n2025-01-02,10,12,9\n")
+    write(tmp_path / "00002_price.csv", head + line.format(11))
+    write(tmp_path / "prices" / "00001.csv", head + line.format(12))
+    write(tmp_path / "prices" / "00003.csv", head + line.format(12))
+    out = cleaning.clean_prices(price_files.read_price_layouts(spark, str(tmp_path)))
+    assert {(r[CODE], r.source, r.close) for r in out.collect()} == {
+        ("00001", 0, 10.0), ("00002", 1, 11.0), ("00003", 2, 12.0)}
+
+
+def test_landed_fields_are_kept(spark, tmp_path):
+    write(tmp_path / "a.json", '{"info":[{"Code":"7","MarketCode":"0111"},{"Code":"8","Scale":3}]}')
+    out = landed_json.read_listing(spark, str(tmp_path)).orderBy("Code").collect()
+    assert [(r.Code, r.CompanyName, r.MarketCode, r.Scale) for r in out] == [
+        ("00007", None, "0111", None), ("00008", None, None, 3)]
+
+
+def test_numbers_are_not_java_literals(spark):
+    rows = [("a", "2025-01-02", x, "3", "1", "2") for x in ("1.5", "1.5d", "2f", "1e0", " 2 ", "inf")]
+    df = spark.createDataFrame(rows, "stock_code string, Date string, Open string, High string, Low string, Close string")
+    assert sorted(r.open for r in cleaning.parse_prices(df).collect()) == [1.0, 1.5, 2.0, float("inf")]
+
+
+def test_last_day_with_times(spark):
+    df = spark.sql("select timestamp_ntz'2025-01-02 15:00:00' as date union all select timestamp_ntz'2025-01-03 00:00:00'")
+    assert selection.date_filter(df, "2025-01-02", "2025-01-02").count() == 1

@@ -36,10 +36,12 @@ def missing_columns(df: DataFrame) -> list[str]:
     return [c for c in REQUIRED if c not in standard_headers(df).columns]
 
 
-def to_number(c: str) -> Column:
-    """A double, or NULL for text that is none; NaN counts as missing."""
+def to_number(c: str, text: bool = True) -> Column:
+    """A double, or NULL for text that is none; NaN counts as missing. A digit or point with
+    a type letter behind it (1.5d) is no number, though Java reads one."""
     x = F.col(c).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    known = ~F.isnan(x)
+    return F.when(known & ~F.col(c).rlike(r"[0-9.][dDfF]\s*$") if text else known, x)
 
 
 def to_date(c: str, date_format: str) -> Column:
@@ -56,9 +58,10 @@ def parse_prices(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     if absent:
         raise ValueError(f"price table lacks {absent}")
     numbers = [c for c in OHLC + ("volume", "adj_close") if c in df.columns]
+    kinds = dict(df.dtypes)
     typed = df.withColumns({
         "date": to_date("date", date_format),
-        **{c: to_number(c) for c in numbers},
+        **{c: to_number(c, kinds[c] == "string") for c in numbers},
     })
     return typed.dropna(subset=list(REQUIRED))
 

@@ -31,11 +31,9 @@ def prediction_rows(predictions: DataFrame, run_ts: str) -> DataFrame:
 
 
 def csv_path(path: str) -> str:
-    """The output path with a ``.csv`` ending."""
-    if path.endswith(".csv"):
-        return path
-    path = path.replace(".json", ".csv")
-    return path if path.endswith(".csv") else path + ".csv"
+    """The output path with a ``.csv`` ending in place of a ``.json`` one."""
+    stem = path.removesuffix(".json")
+    return stem if stem.endswith(".csv") else f"{stem}.csv"
 
 
 def write_predictions_csv(predictions: DataFrame, path: str, run_ts: str) -> str:
