@@ -15,9 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import series_keys, series_window
-
-FORGOTTEN = 1e-20
+from .series import check_margins, memory_rows, series_keys, series_window
 
 
 @dataclass(frozen=True)
@@ -32,14 +30,26 @@ class Ewm:
 
 
 def block_rows(spans) -> int:
-    """Block length shared by these spans."""
-    widest, narrowest = max(spans), min(spans)
-    if narrowest < 2:
-        raise ValueError("a span must be at least 2")
-    rows = math.ceil(math.log(FORGOTTEN) / math.log(1.0 - 2.0 / (widest + 1.0)))
-    if -rows * math.log(1.0 - 2.0 / (narrowest + 1.0)) > 690:
-        raise ValueError(f"spans {narrowest} and {widest} lie too far apart for one pass")
-    return rows
+    """Block length shared by these spans, all above 1."""
+    return memory_rows(max(spans))
+
+
+def share_blocks(spans) -> bool:
+    """Whether the powers of the narrowest span stay normal doubles over the blocks that the
+    widest one needs."""
+    narrowest = min(spans)
+    return narrowest > 1 and -block_rows(spans) * math.log(1.0 - 2.0 / (narrowest + 1.0)) <= 690
+
+
+def passes(averages: dict[str, Ewm]) -> list[dict[str, Ewm]]:
+    """The averages in groups that can share blocks, the widest spans first."""
+    groups: list[dict[str, Ewm]] = []
+    for name, e in sorted(averages.items(), key=lambda x: -x[1].span):
+        if groups and share_blocks([e.span, *[o.span for o in groups[-1].values()]]):
+            groups[-1][name] = e
+        else:
+            groups.append({name: e})
+    return groups
 
 
 def with_blocks(df: DataFrame, rows: int) -> DataFrame:
@@ -79,17 +89,33 @@ def add_ewm(df: DataFrame, averages: dict[str, Ewm]) -> DataFrame:
 
 
 def ewm(df: DataFrame, averages: dict[str, Ewm]) -> DataFrame:
-    """Adds several averages in one pass over the series."""
-    blocked = with_blocks(df, block_rows([e.span for e in averages.values()]))
-    return add_ewm(blocked, averages).drop("_at", "_block", "_in")
+    """Adds several averages, those of like spans in one pass over the series. A span of 1
+    gives the values themselves."""
+    if any(e.span < 1 for e in averages.values()):
+        raise ValueError("a span must be at least 1")
+    check_margins(df, max((memory_rows(e.span) for e in averages.values()), default=0))
+    df = df.withColumns({name: F.col(e.value) for name, e in averages.items() if e.span == 1})
+    for group in passes({name: e for name, e in averages.items() if e.span > 1}):
+        blocked = with_blocks(df, block_rows([e.span for e in group.values()]))
+        df = add_ewm(blocked, group).drop("_at", "_block", "_in")
+    return df
 
 
 def macd(df: DataFrame, close: str = "close", fast: int = 12, slow: int = 26,
          signal: int = 9, adjust: bool = False, also: dict[str, Ewm] | None = None) -> DataFrame:
-    """Adds ``macd`` and ``macd_signal``; ``also`` are averages taken in the same pass."""
-    first = {"_fast": Ewm(close, fast, adjust), "_slow": Ewm(close, slow, adjust), **(also or {})}
-    rows = block_rows([e.span for e in first.values()] + [signal])
-    out = add_ewm(with_blocks(df, rows), first)
+    """Adds ``macd`` and ``macd_signal``; ``also`` are averages taken in the same pass where
+    their spans allow it."""
+    own = {"_fast": Ewm(close, fast, adjust), "_slow": Ewm(close, slow, adjust)}
+    after = {"macd_signal": Ewm("macd", signal, adjust)}
+    spans, rest = [fast, slow, signal], dict(also or {})
+    if not share_blocks(spans):
+        out = ewm(df, {**own, **rest}).withColumn("macd", F.col("_fast") - F.col("_slow"))
+        return ewm(out.drop("_fast", "_slow"), after)
+    for name, e in (also or {}).items():
+        if share_blocks([*spans, e.span]):
+            own[name] = rest.pop(name)
+            spans.append(e.span)
+    check_margins(df, max(memory_rows(max(fast, slow)) + memory_rows(signal), memory_rows(max(spans))))
+    out = add_ewm(with_blocks(df, block_rows(spans)), own)
     out = out.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    out = add_ewm(out, {"macd_signal": Ewm("macd", signal, adjust)})
-    return out.drop("_at", "_block", "_in")
+    return ewm(add_ewm(out, after).drop("_at", "_block", "_in"), rest)

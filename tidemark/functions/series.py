@@ -14,6 +14,7 @@ Two layouts of a price table are supported by the same operators:
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +24,35 @@ from pyspark.sql import types as T
 CODE = "stock_code"
 TIES = ("open", "high", "low", "close", "volume")
 
-# Rows a slab carries from its neighbours. Behind: the longest chain of indicators (an
-# exponential average of span 26 smoothed by span 9 forgets 1e-20 of itself within 850
-# rows; every other one looks back at most 120). Ahead: forward returns look 25 rows on.
+# Rows a slab carries from its neighbours at least. Behind: the longest chain of indicators
+# with the default windows (an exponential average of span 26 smoothed by span 9 forgets
+# 1e-20 of itself within 850 rows; every other one looks back at most 120). Ahead: forward
+# returns look 25 rows on. Wider windows ask for wider margins, see ``margins``.
 BEHIND = 1024
 AHEAD = 64
+FORGOTTEN = 1e-20
+
+
+def memory_rows(span: int) -> int:
+    """Rows after which an exponential average of this span has forgotten all that a double
+    can tell."""
+    return 0 if span < 2 else math.ceil(math.log(FORGOTTEN) / math.log(1.0 - 2.0 / (span + 1.0)))
+
+
+def margins(p, lookback: int = 0) -> tuple[int, int]:
+    """The margins behind and ahead that all operators need with these windows."""
+    averages = max(map(memory_rows, (p.short_window, p.long_window)))
+    spreads = p.long_window + p.volatility_window + 50 + 25
+    return max(BEHIND, averages, spreads, lookback + 1), max(AHEAD, p.long_window)
+
+
+def check_margins(df: DataFrame, behind: int, ahead: int = 0) -> None:
+    """Refuses a table whose slabs carry fewer rows than an operator looks at."""
+    if not is_sliced(df):
+        return
+    told = df.schema["slab"].metadata
+    if told.get("behind", BEHIND) < behind or told.get("ahead", AHEAD) < ahead:
+        raise ValueError(f"lay_out with margins of {behind} and {ahead} rows or more (see margins)")
 
 
 def is_sliced(df: DataFrame) -> bool:
@@ -39,14 +64,21 @@ def series_keys(df: DataFrame) -> list[str]:
 
 
 def series_window(df: DataFrame):
-    """The window every trailing operator runs on."""
+    """The window every trailing operator runs on. Rows of one date stand in the order of
+    their figures, so that the order of the input does not matter."""
+    return Window.partitionBy(*series_keys(df)).orderBy(*series_order(df))
+
+
+def series_order(df: DataFrame) -> list[str]:
     if "pos" in df.columns:
-        order = "pos"
-    elif isinstance(df.schema["date"].dataType, T.DateType):
-        order = "date"
-    else:
+        return ["pos"]
+    if not isinstance(df.schema["date"].dataType, T.DateType):
         raise ValueError("a series with times of day must be laid out first (lay_out)")
-    return Window.partitionBy(*series_keys(df)).orderBy(order)
+    return ["date", *ties(df)]
+
+
+def ties(df: DataFrame) -> list[str]:
+    return [c for c in TIES if c in df.columns]
 
 
 def trailing(w, rows: int):
@@ -56,12 +88,10 @@ def trailing(w, rows: int):
 def full_window(agg, x: Column, w, rows: int) -> Column:
     """``agg`` over the last ``rows`` rows, NULL until all of them are there.
 
-    Cleaning leaves no gaps in prices, so what is missing stands at the head of a series
-    and the oldest row of the window tells whether it is full; that is cheaper than a
-    second aggregate that counts."""
+    The count shares its frame with the aggregate, so both see each row once."""
     frame = trailing(w, rows)
     value = F.sum(x).over(frame) / F.lit(float(rows)) if agg is F.avg else agg(x).over(frame)
-    return F.when(prior(x, w, rows - 1).isNotNull(), value)
+    return F.when(F.count(x).over(frame) == rows, value)
 
 
 def reaches_back(w, rows: int) -> Column:
@@ -123,8 +153,7 @@ def place(prices: DataFrame) -> DataFrame:
         (F.sum("rows").over(along) - F.col("rows")).alias("start"),
         F.sum("rows").over(Window.partitionBy(CODE)).alias("n"),
     )
-    ties = [c for c in TIES if c in prices.columns]
-    inside = Window.partitionBy(CODE, "span").orderBy("date", *ties)
+    inside = Window.partitionBy(CODE, "span").orderBy("date", *ties(prices))
     return (
         prices.withColumn("rank", F.row_number().over(inside))
         .join(starts.hint("merge"), [CODE, "span"])
@@ -138,11 +167,14 @@ def slab_of(pos: str, rows_per_slab: int) -> Column:
 
 
 def lay_out(prices: DataFrame, rows_per_slab: int = 65536,
-            behind: int = BEHIND, ahead: int = AHEAD) -> DataFrame:
-    """Cuts every series into slabs of ``rows_per_slab`` rows plus their margins.
+            behind: int = BEHIND, ahead: int = AHEAD, p=None) -> DataFrame:
+    """Cuts every series into slabs of ``rows_per_slab`` rows plus their margins, which the
+    parameters ``p`` widen to what their windows need.
 
     The result is partitioned by code and slab on purpose: a partitioning by code alone
     would satisfy the windows as well, and would put a whole series into one task."""
+    if p is not None:
+        behind, ahead = map(max, (behind, ahead), margins(p, p.lookback))
     if rows_per_slab < behind + ahead:
         raise ValueError("a slab must be longer than its two margins")
     at = F.col("pos") % rows_per_slab
@@ -161,6 +193,7 @@ def lay_out(prices: DataFrame, rows_per_slab: int = 65536,
         })
         .where(F.col("home") | (F.col("slab") * rows_per_slab < F.col("n")))
         .repartition(CODE, "slab")
+        .withMetadata("slab", {"behind": behind, "ahead": ahead})
     )
 
 
@@ -201,5 +234,12 @@ def last_rows(prices: DataFrame, rows: int) -> DataFrame:
     task sends at most ``rows`` rows per code, however long the series is."""
     if "pos" in prices.columns:
         return settle(recency(prices)).where(F.col("rd") <= rows)
-    w = Window.partitionBy(CODE).orderBy(F.col("date").desc())
+    w = Window.partitionBy(CODE).orderBy(*[F.col(c).desc() for c in series_order(prices)])
     return prices.withColumn("rd", F.row_number().over(w)).where(F.col("rd") <= rows)
+
+
+def tail(prices: DataFrame, rows: int) -> DataFrame:
+    """The last rows of each series as series of their own, with their ``pos`` and ``n``."""
+    df = last_rows(prices, rows).drop("pos", "n")
+    df = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(CODE)))
+    return df.withColumn("pos", (F.col("n") - F.col("rd")).cast("long")).drop("rd")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.series import CODE, is_sliced, series_window, with_position
+from ..functions.series import (CODE, check_margins, is_sliced, series_window, settle,
+                                with_position)
 from ..params import KINDS, MODEL_FEATURES, SplitParams, TrendParams
 from .indicators import DEFAULT
 
@@ -76,7 +77,7 @@ def fit_scaler(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     that never changes is scaled by 1."""
     cols = cols or numeric_columns(df)
     scale = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
-    return df.groupBy(CODE).agg(
+    return settle(df).groupBy(CODE).agg(
         *[F.struct(F.avg(c).alias("mean"), scale(c).alias("scale")).alias(c) for c in cols])
 
 
@@ -102,6 +103,7 @@ def scale_features(df: DataFrame, scaler: DataFrame | None = None,
 
 def training_targets(features: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     """The five labels: two trend classes, two forward returns, one confidence."""
+    check_margins(features, 0, p.long_window)
     w = series_window(features)
     ahead = lambda k: F.coalesce(F.lead("close", k).over(w) / F.col("close") - 1, F.lit(0.0))
     sure = (F.coalesce("short_trend_strength", F.lit(0.0))
@@ -126,6 +128,7 @@ def sequences(features: DataFrame, lookback: int, cols: list[str] | None = None)
     """For each row the features of the ``lookback`` rows before it, within its own series.
     Series shorter than ``lookback + 10`` rows are left out."""
     cols = cols or model_features(features)
+    check_margins(features, lookback)
     df = long_enough(ffill_features(features, cols), lookback + 10)
     before = series_window(df).rowsBetween(-lookback, -1)
     df = df.withColumn("sequence", F.collect_list(feature_array(cols)).over(before))
@@ -135,7 +138,7 @@ def sequences(features: DataFrame, lookback: int, cols: list[str] | None = None)
 def last_sequences(features: DataFrame, lookback: int, cols: list[str] | None = None) -> DataFrame:
     """The most recent sequence of each code, its last row included."""
     cols = cols or model_features(features)
-    df = ffill_features(features, cols)
+    df = settle(ffill_features(features, cols))
     df = with_position(df).where(F.col("pos") >= F.col("n") - lookback)
     rows = F.sort_array(F.collect_list(F.struct("pos", feature_array(cols).alias("x"))))
     return (df.groupBy(CODE).agg(F.max("n").alias("n"), rows.alias("rows"))

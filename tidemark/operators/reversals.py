@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import (CODE, is_sliced, position_columns, prior, series_window,
-                                slab_of, with_neighbours)
+                                slab_of, ties, with_neighbours)
 from ..params import KINDS, TrendParams
 from .indicators import DEFAULT, ensure_ma, ma_columns
 from .selection import union_sources
@@ -24,7 +24,8 @@ def extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
     window, ma = p.window(kind), F.col(f"ma_{p.window(kind)}")
     up = series_window(prices)
     df = prices.withColumns({**position_columns(prices), **ma_columns(prices, p, (kind,))})
-    df = df.select(CODE, "date", "close", "pos", "n", ma.alias("v"))
+    df = df.select(CODE, "date", "close", *[c for c in ties(prices) if c != "close"], "pos", "n",
+                   ma.alias("v"))
     df = df.where(F.col("v").isNotNull() & (F.col("n") - window + 1 >= 2 * window))
 
     left, right = F.lag("v").over(up), F.lead("v").over(up)
@@ -41,7 +42,7 @@ def extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
     turns = (F.col("left") - F.col("v")) * (F.col("right") - F.col("v")) > 0
     df = df.where(~F.col("single") | turns)
 
-    down = Window.partitionBy(CODE).orderBy(F.col("date").desc())
+    down = Window.partitionBy(CODE).orderBy(F.col("pos").desc())
     until = F.when(F.col("ends"), F.struct(F.col("pos").alias("at"), F.col("right").alias("v")))
     df = df.withColumn("to", F.last(until, ignorenulls=True).over(
         down.rowsBetween(Window.unboundedPreceding, 0)))

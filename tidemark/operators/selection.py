@@ -8,20 +8,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import CODE
+from ..functions.series import CODE, settle
 
 
 def date_filter(prices: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Inclusive range; a plain comparison, so it reaches a parquet scan."""
+    """Inclusive range of days; a plain comparison, so it reaches a parquet scan. Times of
+    the last day belong to it."""
     if start:
         prices = prices.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
-        prices = prices.where(F.col("date") <= F.lit(end).cast("date"))
+        prices = prices.where(F.col("date") < F.date_add(F.lit(end).cast("date"), 1))
     return prices
 
 
 def points_per_stock(prices: DataFrame) -> DataFrame:
-    return prices.groupBy(CODE).agg(F.count(F.lit(1)).alias("data_points"))
+    return settle(prices).groupBy(CODE).agg(F.count(F.lit(1)).alias("data_points"))
 
 
 def min_history(prices: DataFrame, rows: int) -> DataFrame:
@@ -36,7 +37,7 @@ def median_above(prices: DataFrame, threshold: float) -> DataFrame:
     four numbers per code: more than half of the volumes lie above it, or exactly half do
     and the two middle ones average above it."""
     v = F.col("volume")
-    stats = prices.groupBy(CODE).agg(
+    stats = settle(prices).groupBy(CODE).agg(
         F.count(v).alias("known"),
         F.count_if(v > threshold).alias("above"),
         F.max(F.when(v <= threshold, v)).alias("below_it"),
@@ -60,7 +61,7 @@ def median_volume(prices: DataFrame) -> DataFrame:
 
     Equal volumes are counted before the shuffle and a code's distinct volumes are ranked
     by a window, which spills; no group of raw rows is held in memory."""
-    counts = (prices.where(F.col("volume").isNotNull())
+    counts = (settle(prices).where(F.col("volume").isNotNull())
               .groupBy(CODE, "volume").agg(F.count(F.lit(1)).alias("rows")))
     up = Window.partitionBy(CODE).orderBy("volume").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumns({
@@ -97,6 +98,7 @@ def latest_data(prices: DataFrame, codes: Iterable[str] | None = None) -> DataFr
 
 def latest_row(prices: DataFrame) -> DataFrame:
     """The last row of each series, by an aggregate that is combined before the shuffle."""
+    prices = settle(prices)
     rest = [c for c in prices.columns if c != CODE]
     by = [c for c in ("date", "open", "high", "low", "close", "volume") if c in rest]
     row = F.max_by(F.struct(*rest), F.struct(*by)).alias("row")
@@ -113,7 +115,7 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 
 def data_summary(prices: DataFrame) -> DataFrame:
-    per_code = prices.groupBy(CODE).agg(
+    per_code = settle(prices).groupBy(CODE).agg(
         F.min("date").alias("first"), F.max("date").alias("last"),
         F.count(F.lit(1)).alias("rows"))
     return per_code.agg(

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ewm import Ewm, macd
-from ..functions.series import (CODE, last_rows, prior, reaches_back, series_window,
-                                slope_of_last, trailing)
+from ..functions.series import (CODE, prior, reaches_back, series_window, slope_of_last,
+                                tail, trailing)
 from ..params import KINDS, TrendParams
 from .indicators import (DEFAULT, ensure_ma, momentum, moving_averages, rsi, volatility,
                          volatility_features)
@@ -95,8 +95,8 @@ def current_trend(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     Only the rows the last slope can see leave the map side: the long window plus the
     values the slope is fitted on."""
     need = p.long_window + p.slope_rows("long") - 1
-    tail = ensure_ma(last_rows(prices, need).select(CODE, "date", "close", "rd"), p)
-    tail = tail.withColumns({f"{k}_trend": trend_as_of(tail, k, p) for k in KINDS})
-    return tail.where("rd = 1").select(
+    end = ensure_ma(tail(prices, need).select(CODE, "date", "close", "pos", "n"), p)
+    end = end.withColumns({f"{k}_trend": trend_as_of(end, k, p) for k in KINDS})
+    return end.where("pos = n - 1").select(
         CODE, F.col("date").alias("analysis_date"), F.col("close").alias("current_price"),
         "short_trend", "long_trend")
