@@ -1,7 +1,6 @@
 """Predictions repeated on slightly disturbed prices, and their vote.
 
-A forecast without a model looks at the end of a series only, so each member is made of
-the last rows: they are cut off before the shuffle and copied after it. The disturbance is
+Each member is predicted by the method that predicts the series itself. The disturbance is
 a normal number derived from a hash of code, date, member and column; it is the same in
 every run and after a lost task."""
 
@@ -9,12 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import CODE, last_rows
+from ..functions.series import CODE, tail, with_position
 from ..params import KINDS, TrendParams
-from .forecasts import basic_reversal, basic_trend, profile
+from .forecasts import ANSWER, Answer, answer_of
 from .indicators import DEFAULT
 
 NOISE = 0.001
@@ -29,11 +28,12 @@ def hashed_normal(*parts: Column) -> Column:
     return F.sqrt(-2 * F.log(first)) * F.cos(F.lit(2 * math.pi) * second)
 
 
-def members(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    """The disturbed copies of the end of every series."""
-    df = last_rows(prices, 2 * p.long_window + 1).drop("pos", "n")
-    df = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(CODE)))
-    df = df.withColumn("pos", F.col("n") - F.col("rd")).drop("rd")
+def members(prices: DataFrame, p: TrendParams = DEFAULT, method: str | Answer = "basic") -> DataFrame:
+    """The disturbed copies of every series, told apart by ``member``.
+
+    Without a model the ``basic`` method looks at the last rows only, and only those are
+    copied, after the shuffle; any other method sees whole series."""
+    df = tail(prices, 2 * p.long_window + 1) if method == "basic" else with_position(prices)
     df = df.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(p.ensemble_size - 1))))
     parts = [F.col(CODE), F.date_format("date", "yyyy-MM-dd"), F.col("member").cast("string")]
     factor = lambda c: F.when(F.col("n") > MIN_ROWS,
@@ -42,11 +42,17 @@ def members(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
                            for c in ("open", "high", "low", "close") if c in df.columns})
 
 
-def member_predictions(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    made = profile(members(prices, p), p)
-    cols = [c.alias(f"{k}_{name}") for k in KINDS
-            for name, c in {**basic_trend(k, p), **basic_reversal(k, p)}.items()]
-    return made.select(CODE, "member", *cols)
+def member_predictions(prices: DataFrame, p: TrendParams = DEFAULT,
+                       method: str | Answer = "basic") -> DataFrame:
+    """The answers on each copy. A method that knows nothing of members is given copies that are
+    series of their own, ``<code>#<member>``."""
+    cols = [f"{k}_{name}" for k in KINDS for name in ANSWER]
+    copies, answer = members(prices, p, method), answer_of(method)
+    if method == "basic":
+        return answer(copies, p).select(CODE, "member", *cols)
+    made = answer(copies.withColumn(CODE, F.concat_ws("#", CODE, "member")).drop("member"), p)
+    return made.select(F.regexp_extract(CODE, "^(.*)#([0-9]+)$", 1).alias(CODE),
+                       F.regexp_extract(CODE, "#([0-9]+)$", 1).cast("int").alias("member"), *cols)
 
 
 def vote(c: str) -> Column:
@@ -71,17 +77,20 @@ def reversal_votes() -> list[Column]:
             + [F.stddev_pop(f"{k}_reversal_price").alias(f"{k}_price_std") for k in KINDS])
 
 
-def ensemble_trend(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    return member_predictions(prices, p).groupBy(CODE).agg(*trend_votes())
+def ensemble_trend(prices: DataFrame, p: TrendParams = DEFAULT,
+                   method: str | Answer = "basic") -> DataFrame:
+    return member_predictions(prices, p, method).groupBy(CODE).agg(*trend_votes())
 
 
-def ensemble_reversal(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    return member_predictions(prices, p).groupBy(CODE).agg(*reversal_votes())
+def ensemble_reversal(prices: DataFrame, p: TrendParams = DEFAULT,
+                      method: str | Answer = "basic") -> DataFrame:
+    return member_predictions(prices, p, method).groupBy(CODE).agg(*reversal_votes())
 
 
-def ensemble_structs(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
+def ensemble_structs(prices: DataFrame, p: TrendParams = DEFAULT,
+                     method: str | Answer = "basic") -> DataFrame:
     """Both votes as two structs, from one pass over the members."""
     trend, reversal = trend_votes(), reversal_votes()
-    named = member_predictions(prices, p).groupBy(CODE)
+    named = member_predictions(prices, p, method).groupBy(CODE)
     return named.agg(F.struct(*trend).alias("ensemble_trends"),
                      F.struct(*reversal).alias("ensemble_reversals"))

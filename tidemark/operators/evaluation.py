@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def eval_classification(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    hit = F.when(F.col(label) == F.col(pred), 1.0).otherwise(0.0)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.avg(hit).alias("accuracy"))
+def classification_metrics(label: str, pred: str) -> dict[str, Column]:
+    return {"accuracy": F.avg(F.when(F.col(label) == F.col(pred), 1.0).otherwise(0.0))}
 
 
-def eval_regression(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+def regression_metrics(label: str, pred: str) -> dict[str, Column]:
     """MSE, MAE and R2 in one pass; the label's variance gives the total sum of squares."""
     miss = F.col(label) - F.col(pred)
     total = F.var_pop(label)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(miss * miss).alias("mse"),
-        F.avg(F.abs(miss)).alias("mae"),
-        (1 - F.avg(miss * miss) / F.when(total > 0, total)).alias("r2"))
+    return {"mse": F.avg(miss * miss), "mae": F.avg(F.abs(miss)),
+            "r2": 1 - F.avg(miss * miss) / F.when(total > 0, total)}
+
+
+def judged(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(name) for name, x in metrics.items()])
+
+
+def eval_classification(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    return judged(df, classification_metrics(label, pred))
+
+
+def eval_regression(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    return judged(df, regression_metrics(label, pred))

@@ -6,13 +6,14 @@ aggregates are combined before any shuffle and columns nobody asks for are prune
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import (CODE, full_window, position_columns, recency, series_window,
-                                settle)
+                                settle, tail)
 from ..params import KINDS, TrendParams
 from .indicators import DEFAULT, change, ma_columns
 from .reversals import reversal_stats, reversals
@@ -26,7 +27,7 @@ def keys_of(df: DataFrame) -> list[str]:
 
 
 def profile(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    """One row per code (and ensemble member) with the figures forecasts are made of."""
+    """One row per code (and member of an ensemble) with the figures forecasts are made of."""
     keys = keys_of(prices)
     w = series_window(prices)
     df = prices.withColumns({
@@ -108,12 +109,17 @@ def for_kinds(make, p: TrendParams) -> list[Column]:
     return [c.alias(f"{k}_{name}") for k in KINDS for name, c in make(k, p).items()]
 
 
+def end_profile(prices: DataFrame, p: TrendParams) -> DataFrame:
+    """The profile of the last rows, all that the forecasts without a model look at."""
+    return profile(tail(prices, 2 * p.long_window + 1), p)
+
+
 def fallback_trend(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    return profile(prices, p).select(*keys_of(prices), *for_kinds(basic_trend, p))
+    return end_profile(prices, p).select(CODE, *for_kinds(basic_trend, p))
 
 
 def fallback_reversal(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
-    return profile(prices, p).select(*keys_of(prices), "current_price",
+    return end_profile(prices, p).select(CODE, "current_price",
                                      *for_kinds(basic_reversal, p))
 
 
@@ -215,11 +221,29 @@ def with_both_next(prices: DataFrame, p: TrendParams) -> DataFrame:
         stats = reversal_stats(reversals(prices, kind, p)).drop("trend_type")
         df = df.join(stats, CODE, "left").withColumns({
             f"{kind}_next": next_reversal_of(kind, p),
+            f"{kind}_rated": F.struct(
+                F.coalesce("reversal_count", F.lit(0)).alias("reversal_count"),
+                regularity(kind, p).alias("confidence")),
             f"{kind}_recent": F.coalesce("recent", F.slice("recent", 1, 0)),
         }).drop(*[c for c in stats.columns if c != CODE])
     return df
 
 
+def stacked(df: DataFrame, part: str) -> DataFrame:
+    """A row for each kind, from one profile."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("trend_type"), F.col(f"{k}_{part}").alias("x"))
+                               for k in KINDS]))
+    return df.select(CODE, each.alias("k")).select(CODE, "k.trend_type", "k.x.*")
+
+
+def next_reversals(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
+    return stacked(with_both_next(prices, p), "next")
+
+
+def reversal_confidences(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
+    return stacked(with_both_next(prices, p), "rated")
+
+
 def trend_summary(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
     return with_both_next(prices, p).select(
         CODE, "current_price", "analysis_date",
@@ -231,47 +255,78 @@ def trend_summary(prices: DataFrame, p: TrendParams = DEFAULT) -> DataFrame:
                  F.col("long_recent").alias("long")).alias("recent_reversals"))
 
 
-def predict_stock(prices: DataFrame, p: TrendParams = DEFAULT, method: str = "basic",
-                  ensembles: bool = False) -> DataFrame:
-    """The complete prediction of every code, one row each, without a trained model.
+# The confidence of a trend that was fitted, not modelled; and what the methods are called.
+FITTED_CONFIDENCE = 0.6
+METHODS = ("basic", "analyzer")
+ANSWER = ("trend", "trend_confidence", "trend_method", "reversal_price", "reversal_confidence",
+          "reversal_method")
 
-    ``basic`` calls the trend from the last averages and the reversal from recent
-    volatility; ``analyzer`` uses the fitted trend and the series' own reversals."""
-    if method == "basic":
-        df = profile(prices, p)
-        parts = {k: {**basic_trend(k, p), **basic_reversal(k, p)} for k in KINDS}
-    elif method == "analyzer":
-        df = with_both_next(prices, p)
-        parts = {k: {
-            "trend": F.col(f"{k}_seen"), "trend_method": F.lit("fallback_analysis"),
-            "reversal_price": F.col(f"{k}_next.price"),
-            "reversal_method": F.lit("fallback_analysis"),
-        } for k in KINDS}
-    else:
+Answer = Callable[[DataFrame, TrendParams], DataFrame]
+
+
+def answer_columns(parts: dict[str, dict[str, Column]], p: TrendParams,
+                   base: Column | float = 0.5) -> list[Column]:
+    """The columns that every method answers with, from a table with the codes' profile."""
+    return [CODE, "data_points", "current_price", "analysis_date",
+            *[parts[k][name].alias(f"{k}_{name}") for k in KINDS for name in ANSWER],
+            *[confidence_of(k, p, base).alias(f"{k}_confidence") for k in KINDS]]
+
+
+def basic_answers(prices: DataFrame, p: TrendParams) -> DataFrame:
+    parts = {k: {**basic_trend(k, p), **basic_reversal(k, p)} for k in KINDS}
+    keys = keys_of(prices)
+    return profile(prices, p).select(*keys[1:], *answer_columns(parts, p))
+
+
+def analyzer_answers(prices: DataFrame, p: TrendParams) -> DataFrame:
+    """The fitted trend, and the price that the series' own reversals let expect."""
+    parts = {k: {
+        "trend": F.col(f"{k}_seen"), "trend_confidence": F.lit(FITTED_CONFIDENCE),
+        "trend_method": F.lit("fallback_analysis"),
+        "reversal_price": F.col(f"{k}_next.price"),
+        "reversal_confidence": F.col(f"{k}_next.confidence"),
+        "reversal_method": F.lit("fallback_analysis"),
+    } for k in KINDS}
+    return with_both_next(prices, p).select(*answer_columns(parts, p))
+
+
+def answer_of(method: str | Answer) -> Answer:
+    """The answers of a method by name, or those of models (see ``learning.model_answers``)."""
+    if callable(method):
+        return method
+    if method not in METHODS:
         raise ValueError("method must be 'basic' or 'analyzer'")
+    return basic_answers if method == "basic" else analyzer_answers
+
+
+def predict_stock(prices: DataFrame, p: TrendParams = DEFAULT, method: str | Answer = "basic",
+                  ensembles: bool = True) -> DataFrame:
+    """The complete prediction of every code, one row each.
+
+    ``basic`` calls the trend from the last averages and the reversal from recent
+    volatility; ``analyzer`` uses the fitted trend and the series' own reversals; models
+    answer where they were given. Ensembles repeat the same method on disturbed prices."""
     n = F.col("data_points")
-    out = df.select(
+    out = answer_of(method)(prices, p).select(
         CODE, "current_price", "analysis_date",
-        *[parts[k]["trend"].alias(f"{k}_trend") for k in KINDS],
-        *[parts[k]["reversal_price"].alias(f"{k}_reversal_price") for k in KINDS],
-        *[confidence_of(k, p).alias(f"{k}_confidence") for k in KINDS],
-        F.struct(*[parts[k][f"{m}_method"].alias(f"{k}_{m}_method")
-                   for m in ("trend", "reversal") for k in KINDS]).alias("prediction_methods"),
+        *[f"{k}_{part}" for part in ("trend", "reversal_price", "confidence") for k in KINDS],
+        F.struct(*[f"{k}_{m}_method" for m in ("trend", "reversal") for k in KINDS])
+        .alias("prediction_methods"),
         F.struct(n.alias("data_points"),
                  (n >= p.short_window).alias("sufficient_short"),
                  (n >= p.long_window).alias("sufficient_long"),
                  (n >= p.lookback).alias("sufficient_ml")).alias("data_quality"))
     if ensembles and p.ensemble_size > 1:
         from .ensembles import ensemble_structs
-        out = out.join(ensemble_structs(prices, p), CODE, "left")
+        out = out.join(ensemble_structs(prices, p, method), CODE, "left")
     return out
 
 
 def batch_predict(prices: DataFrame, codes: DataFrame, p: TrendParams = DEFAULT,
-                  method: str = "basic") -> DataFrame:
+                  method: str | Answer = "basic", ensembles: bool = True) -> DataFrame:
     """A row for every requested code; ``error`` tells why one has no prediction."""
     asked = codes.select(CODE).distinct()
-    made = predict_stock(prices.join(asked, CODE, "left_semi"), p, method)
+    made = predict_stock(prices.join(asked, CODE, "left_semi"), p, method, ensembles)
     n = F.coalesce("data_quality.data_points", F.lit(0))
     error = F.when(n == 0, "no price data").when(n < p.min_data_points, "insufficient data")
     df = asked.join(made, CODE, "left").withColumn("error", error)

@@ -2,12 +2,14 @@
 
 Two classifiers call the trends, two regressors the forward returns and one rates the
 confidence. All read the flattened sequence of a code's last standardised feature rows.
-The learning table is written once and read back, so that the passes of an iterative
-fit, and lost executors, do not repeat the indicators."""
+The feature rows are written once and read back, so that the passes of an iterative fit,
+and lost executors, do not repeat the indicators. Sequences hold each row many times over:
+they are stored for the bounded number of rows that a model is fitted on, and no others."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (MultilayerPerceptronClassificationModel,
@@ -19,16 +21,16 @@ from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor,
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.series import CODE
+from ..functions.series import CODE, settle
 from ..params import KINDS, MODEL_FEATURES, LearnParams, SplitParams, TrendParams
 from ..sources.tables import stored
-from .evaluation import eval_classification, eval_regression
-from .features import (fit_scaler, last_sequences, rows_before, scale_features, sequences,
-                       time_split, training_targets)
-from .forecasts import (adjust_reversal_confidence, basic_reversal, basic_trend,
-                        clamp_reversal_price, confidence_of, profile)
+from .evaluation import classification_metrics, regression_metrics
+from .features import (feature_array, ffill_features, fit_scaler, last_sequences, long_enough,
+                       rows_before, scale_features, sequences, time_split, training_targets)
+from .forecasts import (Answer, adjust_reversal_confidence, answer_columns, basic_reversal,
+                        basic_trend, clamp_reversal_price, profile)
 from .indicators import DEFAULT
-from .selection import min_history, union_sources
+from .selection import min_history
 from .trends import indicators, symbol
 
 MODELS = {
@@ -44,32 +46,58 @@ FEATURES = list(MODEL_FEATURES)
 
 @dataclass(frozen=True)
 class Learning:
-    """The learning table and the scaler that made it."""
-    rows: DataFrame
+    """The standardised feature rows with their labels, the scaler that made them, and the
+    sequences of the bounded number of rows that models are fitted on."""
+    table: DataFrame
     scaler: DataFrame
     params: LearnParams
+    trends: TrendParams
+    fitted: DataFrame
+
+    def sequences(self, split: str) -> DataFrame:
+        """One sequence for every row of a part, made where they are read and never stored."""
+        made = sequences(self.table, self.params.lookback, FEATURES)
+        return made.where(F.col("split") == split).select(
+            CODE, "date", "split", "validates", flat().alias("features"), *LABELS)
 
 
 def flat(c: str = "sequence"):
     return array_to_vector(F.flatten(c))
 
 
+def chosen_sequences(table: DataFrame, l: LearnParams) -> DataFrame:
+    """The sequences of about ``fit_rows`` training rows with the smallest hashes. Each asks for
+    its rows by position, so that no other row's sequence is built."""
+    able = long_enough(table, l.lookback + 10).where(
+        (F.col("split") == "train") & (F.col("pos") >= l.lookback))
+    share = min(1.0, l.fit_rows / max(1, able.count()))
+    near = F.pmod(F.xxhash64(CODE, "pos", F.lit(l.seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = able.where(near).select(CODE, F.col("pos").alias("of"), "date", "split", "validates", *LABELS)
+    asked = chosen.withColumn("pos", F.explode(F.sequence(F.col("of") - l.lookback, F.col("of") - 1)))
+    row = F.struct("pos", feature_array(FEATURES).alias("x"))
+    filled = ffill_features(table, FEATURES).select(CODE, "pos", row.alias("row"))
+    rest = ["date", "split", "validates", *LABELS]
+    made = asked.join(filled, [CODE, "pos"]).groupBy(CODE, "of").agg(
+        F.sort_array(F.collect_list("row")).alias("rows"), *[F.first(c).alias(c) for c in rest])
+    return made.select(CODE, "date", "split", "validates",
+                       flat(F.transform("rows", lambda r: r["x"])).alias("features"), *LABELS)
+
+
 def prepare_learning(prices: DataFrame, p: TrendParams = DEFAULT,
                      s: SplitParams = SplitParams(), l: LearnParams = LearnParams()) -> Learning:
     """Indicators over whole series, a chronological cut, scaling by the training part
-    only, and one sequence per row. The last fifth of a training part validates."""
+    only. The last fifth of a training part validates."""
     made = training_targets(indicators(min_history(prices, p.min_data_points), p), p)
-    made = time_split(made, s.train_ratio)
+    made = settle(time_split(made, s.train_ratio))
     train = rows_before(s.train_ratio)
     made = made.withColumn("validates", (F.col("split") == "train")
                            & (F.col("pos") >= rows_before(0.8, train)))
     made = made.fillna(0.0, FEATURES)
     made = stored(made.select(CODE, "date", "pos", "n", "split", "validates", *FEATURES, *LABELS),
                   "learning")
-    scaler = fit_scaler(made.where("split = 'train'"), FEATURES)
-    rows = sequences(scale_features(made, scaler, FEATURES), l.lookback, FEATURES)
-    rows = rows.select(CODE, "date", "split", "validates", flat().alias("features"), *LABELS)
-    return Learning(stored(rows, "sequences"), scaler, l)
+    scaler = stored(fit_scaler(made.where("split = 'train'"), FEATURES), "scaler")
+    table = stored(scale_features(made, scaler, FEATURES), "standardised")
+    return Learning(table, scaler, l, p, stored(chosen_sequences(table, l), "sequences"))
 
 
 def train_trend_classifier(data: Learning, kind: str) -> Model:
@@ -77,7 +105,7 @@ def train_trend_classifier(data: Learning, kind: str) -> Model:
     layers = [l.lookback * len(FEATURES), *l.hidden_layers, 3]
     learner = MultilayerPerceptronClassifier(
         labelCol=f"{kind}_trend_label", layers=layers, maxIter=l.max_iter, seed=l.seed)
-    return learner.fit(data.rows.where("split = 'train' and not validates"))
+    return learner.fit(data.fitted.where("not validates"))
 
 
 def train_reversal_regressor(data: Learning, kind: str) -> Model:
@@ -86,14 +114,14 @@ def train_reversal_regressor(data: Learning, kind: str) -> Model:
     learner = GBTRegressor(
         labelCol=f"{kind}_reversal_label", maxIter=l.tree_iter, maxDepth=l.tree_depth,
         validationIndicatorCol="validates", seed=l.seed)
-    return learner.fit(data.rows.where("split = 'train'"))
+    return learner.fit(data.fitted)
 
 
 def train_confidence(data: Learning) -> Model:
     learner = GeneralizedLinearRegression(
         labelCol="confidence_label", family="binomial", link="logit", regParam=0.01,
         maxIter=max(1, data.params.max_iter // 2))
-    return learner.fit(data.rows.where("split = 'train'"))
+    return learner.fit(data.fitted)
 
 
 def train_models(data: Learning) -> dict[str, Model]:
@@ -104,17 +132,35 @@ def train_models(data: Learning) -> dict[str, Model]:
 
 
 def evaluate_models(models: dict[str, Model], rows: DataFrame) -> DataFrame:
-    """One row of metrics per model."""
-    out = []
-    for name, model in models.items():
+    """One row of metrics per model, from one pass over the rows."""
+    told = apply_models(models, rows)
+    parts = []
+    for name in models:
         label = MODELS[name][0]
-        told = model.transform(rows.select("features", label))
         classifies = name.endswith("classifier")
-        judge = eval_classification if classifies else eval_regression
-        out.append(judge(told, label, "prediction").withColumns({
-            "model": F.lit(name),
-            "type": F.lit("classification" if classifies else "regression")}))
-    return union_sources(*out)
+        judge = classification_metrics if classifies else regression_metrics
+        of = judge(label, f"{name}_class" if classifies else name)
+        parts.append(F.struct(
+            F.lit(name).alias("model"), F.lit("classification" if classifies else "regression").alias("type"),
+            F.count(F.lit(1)).alias("rows"),
+            *[of.get(m, F.lit(None).cast("double")).alias(m) for m in ("accuracy", "mse", "mae", "r2")]))
+    return told.agg(F.array(*parts).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+
+
+def histories(models: dict[str, Model], fitted: DataFrame) -> DataFrame:
+    """How each model's loss fell while it was trained, where its learner tells."""
+    rows = []
+    for name, m in models.items():
+        losses: list[float] = []
+        if isinstance(m, MultilayerPerceptronClassificationModel) and m.hasSummary:
+            losses = list(m.summary().objectiveHistory)
+        elif isinstance(m, GBTRegressionModel):
+            held = fitted.where("validates").select("features", F.col(MODELS[name][0]).alias(m.getLabelCol()))
+            losses = list(m.evaluateEachIteration(held, "squared")) if not held.isEmpty() else []
+        elif m.hasSummary:
+            losses = [m.summary.deviance]
+        rows += [(name, i, float(x)) for i, x in enumerate(losses)]
+    return fitted.sparkSession.createDataFrame(rows, "model string, step int, loss double")
 
 
 def model_summary(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
@@ -133,12 +179,27 @@ def model_summary(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
         rows, "model string, parameters long, layers int, inputs int, outputs int")
 
 
-def save_models(spark: SparkSession, models: dict[str, Model], metrics: DataFrame,
-                root: str, run_ts: str) -> None:
-    """Every model in a folder of its own beside its metrics and a table of contents."""
+@dataclass(frozen=True)
+class Saved:
+    """All that a prediction needs."""
+    models: dict[str, Model]
+    scaler: DataFrame
+    params: LearnParams
+    trends: TrendParams
+
+
+def save_models(models: dict[str, Model], metrics: DataFrame, data: Learning, root: str,
+                run_ts: str) -> None:
+    """Every model in a folder of its own beside its metrics, the history of its training, the
+    scaler and the parameters, and a table of contents, which is written last."""
+    spark = metrics.sparkSession
     for name, model in models.items():
         model.write().save(f"{root}/{name}")
     metrics.write.json(f"{root}/metrics")
+    histories(models, data.fitted).write.json(f"{root}/history")
+    data.scaler.write.parquet(f"{root}/scaler")
+    told = json.dumps({"learning": asdict(data.params), "trends": asdict(data.trends)})
+    spark.createDataFrame([(told,)], "parameters string").write.text(f"{root}/parameters")
     spark.createDataFrame([(name, run_ts) for name in models],
                           "model string, training_date string").write.json(f"{root}/contents")
 
@@ -150,6 +211,13 @@ def load_models(spark: SparkSession, root: str) -> dict[str, Model]:
     return {name: MODELS[name][1].load(f"{root}/{name}") for name in names}
 
 
+def load_saved(spark: SparkSession, root: str) -> Saved:
+    told = json.loads(spark.read.text(f"{root}/parameters").head()[0])
+    learned = {**told["learning"], "hidden_layers": tuple(told["learning"]["hidden_layers"])}
+    return Saved(load_models(spark, root), spark.read.parquet(f"{root}/scaler"),
+                 LearnParams(**learned), TrendParams(**told["trends"]))
+
+
 def prediction_input(prices: DataFrame, scaler: DataFrame, l: LearnParams,
                      p: TrendParams = DEFAULT) -> DataFrame:
     """The latest standardised sequence of each code as a vector."""
@@ -198,23 +266,33 @@ def predict_reversal(answers: DataFrame, stats: DataFrame, kind: str) -> DataFra
         .alias("confidence"), F.lit("model").alias("method"))
 
 
-def predict_with_models(prices: DataFrame, models: dict[str, Model], scaler: DataFrame,
-                        l: LearnParams, p: TrendParams = DEFAULT) -> DataFrame:
-    """One prediction per code from the models, and without a model where a code is too
-    short for a sequence or a model is missing."""
-    answers = apply_models(models, prediction_input(prices, scaler, l, p))
-    df = profile(prices, p).join(answers.drop("features"), CODE, "left")
-    cols = []
-    for k in KINDS:
-        cls, reg = f"{k}_trend_classifier_class", f"{k}_reversal_regressor"
-        trend, reversal = basic_trend(k, p), basic_reversal(k, p)
-        told = F.col(cls) if cls in df.columns else F.lit(None).cast("double")
-        change = F.col(reg) if reg in df.columns else F.lit(None).cast("double")
-        cols += [
-            F.when(told.isNotNull(), symbol((told - 1).cast("int")))
-            .otherwise(trend["trend"]).alias(f"{k}_trend"),
-            F.when(change.isNotNull(), clamp_reversal_price(F.col("current_price"), change))
-            .otherwise(reversal["reversal_price"]).alias(f"{k}_reversal_price"),
-            confidence_of(k, p, base_confidence(df)).alias(f"{k}_confidence"),
-        ]
-    return df.select(CODE, "current_price", "analysis_date", *cols)
+def model_answers(saved: Saved) -> Answer:
+    """The answers of models as a method for ``predict_stock``: what a code is too short for, or
+    a missing model does not say, is answered without models."""
+    def answer(prices: DataFrame, p: TrendParams) -> DataFrame:
+        scaler = saved.scaler
+        if not prices.select(CODE).where(F.col(CODE).contains("#")).isEmpty():
+            # the copies of an ensemble are scaled as the series they are copies of
+            of = prices.select(CODE).distinct().withColumn("_of", F.regexp_replace(CODE, "#[0-9]+$", ""))
+            scaler = of.join(scaler.withColumnRenamed(CODE, "_of"), "_of").drop("_of")
+        told = apply_models(saved.models, prediction_input(prices, scaler, saved.params, p))
+        df = profile(prices, p).join(told.drop("features"), CODE, "left")
+        has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("double")
+        base, parts = base_confidence(df), {}
+        for k in KINDS:
+            plain = {**basic_trend(k, p), **basic_reversal(k, p)}
+            cls, change = has(f"{k}_trend_classifier_class"), has(f"{k}_reversal_regressor")
+            sure = (F.array_max(f"{k}_trend_classifier_p") if f"{k}_trend_classifier_p" in df.columns
+                    else F.lit(None).cast("double"))
+            either = lambda known, x, name: F.when(known.isNotNull(), x).otherwise(plain[name])
+            parts[k] = {
+                "trend": either(cls, symbol((cls - 1).cast("int")), "trend"),
+                "trend_confidence": either(cls, sure, "trend_confidence"),
+                "trend_method": either(cls, F.lit("model"), "trend_method"),
+                "reversal_price": either(change, clamp_reversal_price(F.col("current_price"), change), "reversal_price"),
+                "reversal_confidence": either(change, adjust_reversal_confidence(
+                    base, change, F.col("recent_spread")), "reversal_confidence"),
+                "reversal_method": either(change, F.lit("model"), "reversal_method"),
+            }
+        return df.select(*answer_columns(parts, p, base))
+    return answer

@@ -78,7 +78,10 @@ class LearnParams:
     tree_iter: int = 20
     tree_depth: int = 4
     seed: int = 42
+    # Labelled rows, chosen by a hash, whose sequences are built to fit the models. What is
+    # counted, scaled, judged and predicted covers all rows whatever this bound.
+    fit_rows: int = 2000
 
     def __post_init__(self):
-        if self.lookback < 1 or self.max_iter < 1 or self.tree_iter < 1:
-            raise ValueError("lookback, max_iter and tree_iter must be positive")
+        if min(self.lookback, self.max_iter, self.tree_iter, self.fit_rows) < 1:
+            raise ValueError("lookback, max_iter, tree_iter and fit_rows must be positive")

@@ -321,6 +321,17 @@ m4 as (
   from noisy)"""
 
 
+NOISED = """
+noised as (
+  select code || '#' || cast(member as varchar) as stock_code, date, open, high, low, volume,
+    close * case when n > 10 then 1 + 0.001
+      * sqrt(-2 * ln((cast('0x' || substr(h, 1, 8) as bigint) + 1) / (pow(2, 32) + 1)))
+      * cos(2 * pi() * (cast('0x' || substr(h, 9, 8) as bigint) / pow(2, 32))) else 1 end as close
+  from (select * exclude (stock_code), stock_code as code, count(*) over (partition by stock_code) as n,
+          md5(stock_code || '|' || strftime(date, '%Y-%m-%d') || '|' || cast(member as varchar) || '|close') as h
+        from bars, range(5) x(member)))"""
+
+
 def vote(c: str) -> str:
     count = lambda s: f"count(*) filter (where {c} = '{s}')"
     return f"""(select x.t from (values ('+', 1, {count('+')}), ('-', 2, {count('-')}),
@@ -371,6 +382,7 @@ from called c join short_next s using (stock_code) join long_next l using (stock
                      for c in candles)
     scaler = f"scaler as (select stock_code, {stat} from l4 group by 1)"
     voted = [BARS, chain(300.0), members(), profile("m4", "code, member"), calls()]
+    noised = [BARS, NOISED, chain(300.0, "noised"), *seen[2:]]
     targets = ("select stock_code, date, cast(short_trend_direction + 1 as double) as short_trend_label, "
                "cast(long_trend_direction + 1 as double) as long_trend_label, "
                f"floor((coalesce(lead(close, 5) {over()} / close - 1, 0)) * 1e6 + 0.50001) / 1e6 + 0.0 as short_reversal_label, "
@@ -393,8 +405,9 @@ select stock_code, case when cast(stock_code as bigint) % 3 = 0 then 1 else 2 en
        count(*) as rows from raw group by 1, 2"""),
         "ingest_listing": sql(LISTED, """
 select '2025-05-01' as "Date", code as "Code", name as "CompanyName", sector_name as "Sector",
-       market_name as "Market" from listed"""),
-        "ingest_quotes": bars_of(OHLCV),
+       market_name as "Market", lower(name) as "CompanyNameLower", length(name) as "NameLength" from listed"""),
+        "ingest_quotes": sql(BARS, f"""
+select stock_code, date, {rs(OHLCV)}, {r("close * volume", 2, "\"TurnoverValue\"")} from bars"""),
         "features_roundtrip": sql(BARS, chain(), averages(True), rows_of(
             ("price_range", "volatility_20d", "rsi", "volume_ratio"),
             f"({NOT_BROKEN})", volatility_20d=7)),
@@ -451,6 +464,9 @@ from (select min(date) as a, max(date) as b, count(*) as c from bars group by st
         "momentum": feats("roc_5", "roc_25", "ma_convergence", "ma_convergence_pct", digits=6,
                           ma_convergence=4),
         "ema": sql(BARS, chain(), averages(True), rows_of(("ema_5", "ema_25"), "e2")),
+        "ema_wide": sql(BARS, chain(), "w as (select stock_code, date, " + ", ".join(
+            f"{fold('close', k, True)} as ema_{k}" for k in (10, 100, 20, 200)) + " from l1)",
+            rows_of(("ema_10", "ema_100", "ema_20", "ema_200"), "w")),
         "macd": sql(BARS, chain(), averages(False), rows_of(("macd", "macd_signal"), "e2")),
         "macd_adjusted": sql(BARS, chain(), averages(True), rows_of(("macd", "macd_signal"), "e2")),
         "basic_features": sql(BARS, chain(), averages(True),
@@ -466,6 +482,23 @@ select stock_code, date, {rs(('short_trend_strength', 'long_trend_strength'))},
 select stock_code, date, {rs(FULL, **FINE)}, {r('rsi_filled', 4, 'rsi')}, {DIRECTIONS}, trend_agreement from e2"""),
         "indicators_sliced": sql(BARS, SHARED, chain(0.001, "ordered", "pos"), averages(False), f"""
 select stock_code, date, pos, {rs(FULL, **FINE)}, {r('rsi_filled', 4, 'rsi')}, {DIRECTIONS}, trend_agreement from e2"""),
+        "repeated_dates": sql(BARS, SHARED, chain(0.001, "ordered", "pos"),
+                              rows_of(("close", "ma_5", "ma_25"), "l4")),
+        "missing_volumes": sql(BARS, """
+holed as (select * replace (case when dayofyear(date) % 7 <> 0 then volume end as volume) from bars)""",
+            chain(0.001, "holed"), rows_of(("volume_ma_5", "volume_ratio"), "l4", 6)),
+        "current_trend_sliced": sql(BARS, SHARED, chain(0.001, "ordered", "pos"), f"""
+select stock_code, date as analysis_date, {r('close', 4, 'current_price')},
+       short_seen as short_trend, long_seen as long_trend from l4 where i = n"""),
+        "last_sequences_sliced": sql(BARS, SHARED, "select distinct stock_code, 60 as rows from ordered"),
+        "data_summary_sliced": sql(BARS, SHARED, """
+select count(*) as total_stocks, min(a) as earliest_start, max(b) as latest_end,
+       cast(sum(c) as bigint) as total_data_points, floor((avg(c)) * 1e4 + 0.50001) / 1e4 + 0.0 as average_data_points
+from (select min(date) as a, max(date) as b, count(*) as c from shared group by stock_code)"""),
+        "targets_wide_sliced": sql(BARS, SHARED, chain(0.001, "ordered", "pos"), f"""
+w as (select stock_code, date, pos, {fold('close', 100, True)} as ema_100, {full('avg', 'close', 100)} as ma_100,
+        coalesce(lead(close, 100) {over()} / close - 1, 0) as long_reversal_label from l1)""",
+            f"select stock_code, date, pos, {rs(('ema_100', 'ma_100', 'long_reversal_label'), 6)} from w"),
         "current_trend": sql(BARS, chain(), f"""
 select stock_code, date as analysis_date, {r('close', 4, 'current_price')},
        short_seen as short_trend, long_seen as long_trend from l4 where i = n"""),
@@ -577,6 +610,29 @@ select code as stock_code, {vote('short_trend')} as short_trend, {vote('long_tre
   {r('avg(short_trend_confidence)', 5, 'short_confidence')}, {r('avg(long_trend_confidence)', 5, 'long_confidence')},
   {r('avg((short_trend_confidence + long_trend_confidence) / 2)', 5, 'ensemble_confidence')}
 from called group by code"""),
+        "predict_with_ensembles": "with " + ",".join([*voted, LISTED]) + f""",
+votes as (select code as stock_code, {vote('short_trend')} as voted_trend, avg(long_reversal_price) as voted_price
+          from called group by code),
+whole as (select stock_code, max(n) as data_points, max(case when i = n then close end) as current_price,
+    max(case when i = n then ma_5 end) as a, max(case when i = n - 2 then ma_5 end) as c,
+    max(case when i = n then ma_25 end) as la, max(case when i = n - 2 then ma_25 end) as lc,
+    stddev_samp(case when n - i < 50 then return_1d end) as spread from l4 group by 1),
+wanted as (select code as stock_code from listed union all select 'N' || cast(n_nationkey as varchar) from nation)
+select stock_code, case when data_points is null then 'no price data'
+                        when data_points < 520 then 'insufficient data' end as error,
+  case when data_points >= 520 then case when (a - c) / 3 > 300 then '+' when (a - c) / 3 < -300 then '-' else '0' end end as short_trend,
+  case when data_points >= 520 then {r('current_price * (1 + spread * case when (la - lc) / 3 < -300 then -1 else 1 end)', 3, '_').removesuffix(' as _')} end as long_reversal_price,
+  case when data_points >= 520 then voted_trend end as voted_trend,
+  case when data_points >= 520 then {r('voted_price', 3, '_').removesuffix(' as _')} end as voted_price
+from wanted left join whole using (stock_code) left join votes using (stock_code)""",
+        "ensemble_analyzer": sql(*noised, f"""
+both_next as (
+  select split_part(p.stock_code, '#', 1) as code, p.short_seen, p.long_seen, s.price as sp, l.price as lp,
+    s.confidence as sc, l.confidence as lc
+  from prof p join short_next s using (stock_code) join long_next l using (stock_code))""", f"""
+select code as stock_code, {vote('short_seen')} as short_trend, {vote('long_seen')} as long_trend,
+  cast(0.6 as double) as trend_confidence, {r('avg(sp)', 3, 'short_price')}, {r('avg(lp)', 3, 'long_price')},
+  {r('avg((sc + lc) / 2)', 3, 'reversal_confidence')} from both_next group by code"""),
         "ensemble_reversal": sql(*voted, f"""
 select code as stock_code, {r('avg(short_reversal_price)', 3, 'short_reversal_price')},
   {r('avg(long_reversal_price)', 3, 'long_reversal_price')},
@@ -584,6 +640,28 @@ select code as stock_code, {r('avg(short_reversal_price)', 3, 'short_reversal_pr
   {r('avg((short_reversal_confidence + long_reversal_confidence) / 2)', 3, 'ensemble_confidence')},
   {r('stddev_pop(short_reversal_price)', 3, 'short_price_std')}, {r('stddev_pop(long_reversal_price)', 3, 'long_price_std')}
 from called group by code"""),
+        # learning
+        "learning_rows": sql(BARS, chain(300.0), f"""
+cut as (select *, i > floor(n * cast(0.8 as double)) as test,
+  i - 1 >= floor(floor(n * cast(0.8 as double)) * cast(0.8 as double)) as late,
+  coalesce(lead(close, 25) {over()} / close - 1, 0) as ahead from l4)""", f"""
+select case when test then 'test' else 'train' end as split, not test and late as validates, count(*) as rows,
+  {r('sum(cast(short_trend_direction + 1 as double))', 3, 'short_trends')},
+  {r('sum(cast(long_trend_direction + 1 as double))', 3, 'long_trends')}, {r('sum(ahead)', 3, 'long_returns')}
+from cut group by 1, 2"""),
+        "learning_scaler": sql(BARS, chain(300.0), f"""
+select stock_code, {r('avg(close)', 3, 'close_mean')}, {r('stddev_pop(close)', 3, 'close_scale')}, {r('avg(volume)', 3, 'volume_mean')}
+from l1 where i <= floor(n * cast(0.8 as double)) group by 1"""),
+        "model_shapes": sql(BARS, chain(), """
+judged_rows as (select count(*) as rows from l1 where i > floor(n * cast(0.8 as double)))""", """
+select model, cast(1020 as integer) as inputs, cast(outputs as integer) as outputs, rows from judged_rows,
+  (values ('short_trend_classifier', 3), ('long_trend_classifier', 3), ('short_reversal_regressor', 1),
+          ('long_reversal_regressor', 1), ('confidence_estimator', 1)) m(model, outputs)"""),
+        "model_roundtrip": sql(LISTED, """
+select (select count(*) from listed) + (select count(*) from nation) as codes, cast(0 as bigint) as differing"""),
+        "full_pipeline_errors": sql(LISTED, """
+select code as stock_code, cast(null as varchar) as error, true as complete, 'model' as method from listed
+union all select 'N' || cast(n_nationkey as varchar), 'no price data', false, null from nation"""),
         # evaluation
         "eval_classification": sql(BARS, chain(300.0), """
 select count(*) as rows, floor((avg(case when short_trend_direction + 1 = (i - 1) % 3 then 1.0 else 0.0 end)) * 1e6 + 0.50001) / 1e6 + 0.0

@@ -14,7 +14,7 @@ from ..operators import cleaning, ensembles, features, forecasts, indicators, le
 from ..operators import reversals as turns
 from ..operators import selection, trends
 from ..operators.evaluation import eval_classification, eval_regression
-from ..params import KINDS, LearnParams, TrendParams
+from ..params import KINDS, TrendParams
 from ..session import workspace
 from ..sources import landed_json, price_files, tables
 from .fixtures import bars, raw_prices, stock_list, table
@@ -25,7 +25,6 @@ WIDE = TrendParams(trend_threshold=300.0)
 LIQUID = 28.0
 LONG_HISTORY = 533
 RUN_TS = "2025-01-01T00:00:00"
-SMALL = LearnParams(lookback=5, hidden_layers=(16, 8), max_iter=15, tree_iter=4, tree_depth=3)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,9 +105,10 @@ def ingest_listing(spark, d):
     s = stock_list(spark, d).select(
         F.lit("2025-05-01").alias("Date"), F.col("code").alias("Code"),
         F.col("name").alias("CompanyName"), F.col("industry_name").alias("Sector"),
-        F.col("market_name").alias("Market"))
+        F.col("market_name").alias("Market"), F.lower("name").alias("CompanyNameLower"),
+        F.length("name").cast("long").alias("NameLength"))
     page = F.floor(F.col("Code").cast("long") / 20).alias("page")
-    rows = F.struct("Date", "Code", "CompanyName", "Sector", "Market")
+    rows = F.struct(*s.columns)
     s.groupBy(page).agg(F.collect_list(rows).alias("info")).select("info").write.json(path)
     return landed_json.read_listing(spark, path)
 
@@ -118,12 +118,14 @@ def ingest_quotes(spark, d):
     path = workspace(spark, "quote-pages")
     b = bars(spark, d).select(
         F.col(CODE).alias("Code"), F.date_format("date", "yyyy-MM-dd").alias("Date"),
-        *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+        *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")],
+        (F.col("close") * F.col("volume")).alias("TurnoverValue"))
     quarter = F.trunc(F.col("Date").cast("date"), "quarter").alias("page")
-    rows = F.struct("Code", "Date", "Open", "High", "Low", "Close", "Volume")
+    rows = F.struct(*b.columns)
     (b.groupBy("Code", quarter).agg(F.collect_list(rows).alias("daily_quotes"))
      .select("daily_quotes").write.json(path))
-    return pick(landed_json.read_quotes(spark, path), "open", "high", "low", "close", "volume")
+    return pick(landed_json.read_quotes(spark, path), "open", "high", "low", "close", "volume",
+                "TurnoverValue", TurnoverValue=2)
 
 
 @query
@@ -281,9 +283,8 @@ def volatility_features(spark, d):
 @query
 def rsi(spark, d):
     b = bars(spark, d)
-    return pick(indicators.rsi(b).withColumnRenamed("rsi", "rsi_filled")
-                .join(indicators.rsi(b, fill=None).select(CODE, "date", "rsi"), [CODE, "date"]),
-                "rsi_filled", "rsi", digits=6)
+    df = indicators.rsi(b, fill=None).withColumn("rsi_filled", F.coalesce("rsi", F.lit(50.0)))
+    return pick(df, "rsi_filled", "rsi", digits=6)
 
 
 @query
@@ -307,6 +308,17 @@ def ema(spark, d):
     return pick(indicators.ema(bars(spark, d)), "ema_5", "ema_25")
 
 
+# Windows so far apart that their averages cannot share one pass.
+FAR = TrendParams(short_window=10, long_window=100, lookback=120)
+FARTHER = TrendParams(short_window=20, long_window=200, lookback=220)
+
+
+@query
+def ema_wide(spark, d):
+    df = indicators.ema(bars(spark, d), FAR)
+    return pick(indicators.ema(df, FARTHER), "ema_10", "ema_100", "ema_20", "ema_200")
+
+
 @query
 def macd_recursive(spark, d):
     return pick(macd(bars(spark, d)), "macd", "macd_signal")
@@ -381,11 +393,45 @@ def indicators_full(spark, d):
 QUERIES["indicators"] = QUERIES.pop("indicators_full")
 
 
-def cut_bars(spark, d) -> DataFrame:
-    """Series that no calendar bounds: several suppliers share a code, so dates repeat, and
-    the series are cut into short slabs."""
+def shared_bars(spark, d) -> DataFrame:
+    """Series that no calendar bounds: several suppliers share a code, so dates repeat."""
     shared = F.lpad((F.col(CODE).cast("long") % 25).cast("string"), 5, "0")
-    return lay_out(bars(spark, d).withColumn(CODE, shared), rows_per_slab=1100)
+    return bars(spark, d).withColumn(CODE, shared)
+
+
+def cut_bars(spark, d) -> DataFrame:
+    """The same cut into short slabs."""
+    return lay_out(shared_bars(spark, d), rows_per_slab=1100)
+
+
+@query
+def repeated_dates(spark, d):
+    """Series with repeated dates as they are: equal dates stand in the order of the figures."""
+    df = indicators.moving_averages(shared_bars(spark, d))
+    return pick(df, "close", "ma_5", "ma_25")
+
+
+@query
+def missing_volumes(spark, d):
+    """Averages where every seventh day's volume is missing inside a series."""
+    b = bars(spark, d).withColumn("volume", F.when(F.dayofyear("date") % 7 != 0, F.col("volume")))
+    return pick(indicators.volume_features(b), "volume_ma_5", "volume_ratio", digits=6)
+
+
+@query
+def current_trend_sliced(spark, d):
+    return rounded(trends.current_trend(cut_bars(spark, d)))
+
+
+@query
+def last_sequences_sliced(spark, d):
+    df = features.last_sequences(cut_bars(spark, d), 60, ["close", "volume"])
+    return df.select(CODE, F.size("sequence").alias("rows"))
+
+
+@query
+def data_summary_sliced(spark, d):
+    return rounded(selection.data_summary(cut_bars(spark, d)))
 
 
 @query
@@ -424,20 +470,14 @@ def reversal_magnitude(spark, d):
     return rounded(turns.reversal_magnitude(turns.all_reversals(bars(spark, d))))
 
 
-def both_kinds(make) -> DataFrame:
-    return selection.union_sources(*[make(k).withColumn("trend_type", F.lit(k)) for k in KINDS])
-
-
 @query
 def reversal_confidence(spark, d):
-    b = bars(spark, d)
-    return rounded(both_kinds(lambda k: forecasts.reversal_confidence(b, k, WIDE)), 6)
+    return rounded(forecasts.reversal_confidences(bars(spark, d), WIDE), 6)
 
 
 @query
 def next_reversal(spark, d):
-    b = bars(spark, d)
-    return rounded(both_kinds(lambda k: forecasts.next_reversal(b, k, WIDE)), 4, confidence=6)
+    return rounded(forecasts.next_reversals(bars(spark, d), WIDE), 4, confidence=6)
 
 
 @query
@@ -472,6 +512,14 @@ def training_targets(spark, d):
                 "long_reversal_label", "confidence_label", digits=6)
 
 
+@query
+def targets_wide_sliced(spark, d):
+    """Forward returns over 100 rows of series in slabs."""
+    df = lay_out(shared_bars(spark, d), rows_per_slab=2500, p=FAR)
+    df = features.training_targets(trends.indicators(df, FAR), FAR)
+    return pick(settle(df), "pos", "ema_100", "ma_100", "long_reversal_label", digits=6)
+
+
 @query
 def ffill_features(spark, d):
     """Known gaps: prices of every seventh day and the warm-up of the averages."""
@@ -561,22 +609,42 @@ def adjust_reversal_confidence(spark, d):
 
 @query
 def predict_stock(spark, d):
-    df = forecasts.predict_stock(bars(spark, d), WIDE)
+    df = forecasts.predict_stock(bars(spark, d), WIDE, ensembles=False)
     return rounded(df.select("*", "prediction_methods.*", "data_quality.*")
                    .drop("prediction_methods", "data_quality"), 4)
 
 
 @query
 def predict_stock_analyzer(spark, d):
-    df = forecasts.predict_stock(bars(spark, d), WIDE, method="analyzer")
+    df = forecasts.predict_stock(bars(spark, d), WIDE, "analyzer", ensembles=False)
     return rounded(df.select(CODE, "current_price", "analysis_date", "short_trend", "long_trend",
                              "short_reversal_price", "long_reversal_price",
                              "short_confidence", "long_confidence"), 4)
 
 
+@query
+def predict_with_ensembles(spark, d):
+    """All codes asked for, each with the vote of its disturbed copies beside it."""
+    df = forecasts.batch_predict(bars(spark, d), requested(spark, d), STRICT)
+    return rounded(df.select(CODE, "error", "short_trend", "long_reversal_price",
+                             F.col("ensemble_trends.short_trend").alias("voted_trend"),
+                             F.col("ensemble_reversals.long_reversal_price").alias("voted_price")), 3)
+
+
+@query
+def ensemble_analyzer(spark, d):
+    """Both votes of the fitted trends and the series' own reversals."""
+    df = ensembles.ensemble_structs(bars(spark, d), WIDE, "analyzer")
+    return rounded(df.select(
+        CODE, *[F.col(f"ensemble_trends.{k}_trend").alias(f"{k}_trend") for k in KINDS],
+        F.col("ensemble_trends.ensemble_confidence").alias("trend_confidence"),
+        *[F.col(f"ensemble_reversals.{k}_reversal_price").alias(f"{k}_price") for k in KINDS],
+        F.col("ensemble_reversals.ensemble_confidence").alias("reversal_confidence")), 3)
+
+
 @query
 def predict_sliced(spark, d):
-    df = forecasts.predict_stock(cut_bars(spark, d), WIDE, method="analyzer")
+    df = forecasts.predict_stock(cut_bars(spark, d), WIDE, "analyzer", ensembles=False)
     return rounded(df.select(CODE, "current_price", "analysis_date", "short_trend", "long_trend",
                              "short_reversal_price", "long_reversal_price",
                              "short_confidence", "long_confidence"), 4)
@@ -594,7 +662,7 @@ STRICT = TrendParams(trend_threshold=300.0, min_data_points=520)
 
 
 def batch(spark, d) -> DataFrame:
-    return forecasts.batch_predict(bars(spark, d), requested(spark, d), STRICT)
+    return forecasts.batch_predict(bars(spark, d), requested(spark, d), STRICT, ensembles=False)
 
 
 @query
@@ -667,57 +735,77 @@ def eval_regression_fixed(spark, d):
 QUERIES["eval_regression"] = QUERIES.pop("eval_regression_fixed")
 
 
-def learned(spark, d) -> learning.Learning:
-    return learning.prepare_learning(bars(spark, d), WIDE, l=SMALL)
+# What one session has trained on one folder: the queries that look at models share it.
+_TRAINED: dict[tuple[str, str], tuple] = {}
+
+
+def trained(spark, d):
+    """The folder of the saved models, the models, the learning data and the metrics."""
+    from .pipeline import update_models as update
+    key = spark.sparkContext.applicationId, d
+    if key not in _TRAINED:
+        root = workspace(spark, "models")
+        _TRAINED[key] = (root, *update(bars(spark, d), root, RUN_TS, WIDE))
+    return _TRAINED[key]
+
+
+def judged(spark, d, name: str) -> DataFrame:
+    _, models, data, _ = trained(spark, d)
+    return learning.evaluate_models({name: models[name]}, data.sequences("test"))
 
 
-def judged(spark, d, name: str, train) -> DataFrame:
-    data = learned(spark, d)
-    model = train(data)
-    return learning.evaluate_models({name: model}, data.rows.where("split = 'test'"))
+@query
+def learning_rows(spark, d):
+    """Rows and sums of labels of each part that models learn from or are judged on."""
+    table = trained(spark, d)[2].table
+    return rounded(table.groupBy("split", "validates").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("short_trend_label").alias("short_trends"),
+        F.sum("long_trend_label").alias("long_trends"),
+        F.sum("long_reversal_label").alias("long_returns")), 3)
+
+
+@query
+def learning_scaler(spark, d):
+    """Mean and deviation of what only training rows were allowed to say."""
+    scaler = trained(spark, d)[2].scaler
+    return rounded(scaler.select(CODE, F.col("close.mean").alias("close_mean"),
+                                 F.col("close.scale").alias("close_scale"),
+                                 F.col("volume.mean").alias("volume_mean")), 3)
 
 
 @query
 def train_trend_classifier(spark, d):
-    return judged(spark, d, "short_trend_classifier",
-                  lambda x: learning.train_trend_classifier(x, "short"))
+    return judged(spark, d, "short_trend_classifier")
 
 
 @query
 def train_reversal_regressor(spark, d):
-    return judged(spark, d, "short_reversal_regressor",
-                  lambda x: learning.train_reversal_regressor(x, "short"))
+    return judged(spark, d, "short_reversal_regressor")
 
 
 @query
 def train_confidence(spark, d):
-    return judged(spark, d, "confidence_estimator", learning.train_confidence)
+    return judged(spark, d, "confidence_estimator")
+
+
+def model_inputs(spark, d) -> tuple[dict, DataFrame]:
+    _, models, data, _ = trained(spark, d)
+    return models, learning.prediction_input(bars(spark, d), data.scaler, data.params, WIDE)
 
 
 @query
 def predict_trend_model(spark, d):
-    data = learned(spark, d)
-    models = {"long_trend_classifier": learning.train_trend_classifier(data, "long")}
-    inputs = learning.prediction_input(bars(spark, d), data.scaler, SMALL, WIDE)
+    models, inputs = model_inputs(spark, d)
     return learning.predict_trend(learning.apply_models(models, inputs), "long")
 
 
 @query
 def predict_reversal_model(spark, d):
-    data = learned(spark, d)
-    models = {"long_reversal_regressor": learning.train_reversal_regressor(data, "long"),
-              "confidence_estimator": learning.train_confidence(data)}
-    inputs = learning.prediction_input(bars(spark, d), data.scaler, SMALL, WIDE)
+    models, inputs = model_inputs(spark, d)
     answers = learning.apply_models(models, inputs)
     return learning.predict_reversal(answers, forecasts.profile(bars(spark, d), WIDE), "long")
 
 
-def trained(spark, d):
-    from .pipeline import update_models as update
-    root = workspace(spark, "models")
-    return (root, *update(bars(spark, d), root, RUN_TS, WIDE, l=SMALL))
-
-
 @query
 def update_models(spark, d):
     return trained(spark, d)[3]
@@ -728,17 +816,47 @@ def model_summary(spark, d):
     return learning.model_summary(spark, trained(spark, d)[1])
 
 
+@query
+def model_shapes(spark, d):
+    """What goes into each model and comes out, for all rows that it was judged on."""
+    _, _, data, metrics = trained(spark, d)
+    shapes = model_summary(spark, d).select("model", "inputs", "outputs")
+    return shapes.join(metrics.select("model", "rows"), "model")
+
+
 @query
 def model_roundtrip(spark, d):
-    """Predictions of models that were saved and loaded again."""
-    root, _, data, _ = trained(spark, d)
-    models = learning.load_models(spark, root)
-    return learning.predict_with_models(bars(spark, d), models, data.scaler, SMALL, WIDE)
+    """Predictions of the models in memory beside those from the saved folder alone."""
+    from .pipeline import Saved, make_predictions
+    root, models, data, _ = trained(spark, d)
+    b, asked = bars(spark, d), requested(spark, d)
+    told = [make_predictions(b, asked, WIDE, models=m, ensembles=False).select(
+        CODE, *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"{c}_{i}")
+                for c in ("error", "short_trend", "long_reversal_price", "long_confidence")])
+        for i, m in enumerate((root, Saved(models, data.scaler, data.params, WIDE)))]
+    both = told[0].join(told[1], CODE, "full")
+    same = F.lit(True)
+    for c in told[0].columns[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c[:-2]}_1"))
+    return both.agg(F.count(F.lit(1)).alias("codes"), F.count_if(~same).alias("differing"))
 
 
 @query
 def full_pipeline(spark, d):
-    from .pipeline import run_full_pipeline
-    run = run_full_pipeline(bars(spark, d), requested(spark, d), workspace(spark, "models"),
-                            RUN_TS, WIDE, l=SMALL)
-    return run.predictions
+    """All codes asked for; models predict, and their disturbed copies vote."""
+    from .pipeline import make_predictions
+    df = make_predictions(bars(spark, d), requested(spark, d), models=trained(spark, d)[0])
+    return df
+
+
+@query
+def full_pipeline_errors(spark, d):
+    """Which codes the run could not predict, and that all others have every figure."""
+    df = full_pipeline(spark, d)
+    parts = ("short_trend", "long_trend", "short_reversal_price", "long_confidence",
+             "ensemble_trends.long_trend", "ensemble_reversals.long_reversal_price")
+    whole = F.lit(True)
+    for c in parts:
+        whole = whole & F.col(c).isNotNull()
+    return df.select(CODE, "error", whole.alias("complete"),
+                     F.col("prediction_methods.long_trend_method").alias("method"))
