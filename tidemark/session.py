@@ -14,9 +14,15 @@ MB = 1024 * 1024
 COMPILED_METHOD = "8000"
 
 
+# Beyond this many partitions a shuffle's map-output table becomes a burden on the driver.
+MOST_PARTITIONS = 50_000
+
+
 def recommended_conf(input_bytes: int, cores: int, partition_mb: int = 128) -> dict[str, str]:
     """Settings for an input of this size: shuffle partitions that fit an executor's
-    memory, runtime coalescing of the small ones and splitting of the skewed ones."""
+    memory, runtime coalescing of the small ones and splitting of the skewed ones. Of a
+    very large input the partitions grow instead of their number."""
+    partition_mb = max(partition_mb, -(-input_bytes // (MOST_PARTITIONS * MB)))
     partitions = max(cores, -(-input_bytes // (partition_mb * MB)))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
