@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.kd_sharding import kd_shards
 from tidemark.llm.learned_ann import nearest
 from tidemark.llm.mixing import mix
+from tidemark.llm.oracle import ORACLE_SQL
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_dedup import without_repeats
 from tidemark.llm.quality import quality_features
@@ -69,5 +70,4 @@ QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_store, op3_phrase_dedup, op4_simhash_dedup, op5_learned_ann,
     op6_quality_cascade, op7_kd_sharding, op8_entropy_mixing, op9_packing, op10_secret_scan)}
 
-#: What DuckDB can say of an operator's whole result.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
