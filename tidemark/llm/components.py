@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
+#: Links of a written file at most.
+FILE_LINKS = 1 << 19
+
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
     """a and the least of a and all b that it is linked to; sums up before the shuffle."""
@@ -38,6 +41,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        now = stored(_small_star(_large_star(now)), "links")
+        # a round has no more links than the one before; small ones need few files
+        now = stored(_small_star(_large_star(now)).coalesce(1 + state[0] // FILE_LINKS), "links")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
