@@ -24,7 +24,10 @@ def staged(spark, docs):
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_stages(spark):
-    docs, good, distinct, clean, mixed, packed = staged(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    told = " ".join(f"word{a}{b}" for a in "abcdefgh" for b in "klmno") + " password=hunter2hunter"
+    one = spark.createDataFrame([(10**6, told, "en", "src1", len(told))], given.schema)
+    docs, good, distinct, clean, mixed, packed = staged(spark, given.unionByName(one))
     for df in (good, distinct, clean, mixed):
         assert df.columns == docs.columns
     ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())

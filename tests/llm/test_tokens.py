@@ -115,3 +115,10 @@ def test_first_fit_decreasing_is_first_fit():
         assert list(zip(bins, offsets)) == want
     with pytest.raises(ValueError):
         FreeRoom(2, 5).first(6)
+
+
+def test_white_space_that_only_adds_up():
+    """As many spaces and line ends as there are gaps between words, but not one in each gap."""
+    texts = ["a b\n\nc", "a b c  d", "　a b ", "a\tb\n\nc d", "x  y", "\n a"]
+    made = encoding.encoder(public_tokenizers.path("byte_bpe_50k.json"), "spaced")([t.encode() for t in texts])
+    assert [np.frombuffer(m, "<u2").tolist() for m in made] == [x[:-1] for x in ids_of("byte_bpe_50k.json", texts)]

@@ -18,6 +18,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -124,12 +125,12 @@ class Encoder:
 
     def of_spaced(self, text: bytes) -> bytes:
         whole, kept = text.decode(), self.kept.__getitem__
-        if len(whole.split()) != whole.count(" ") + whole.count("\n") + 1:
+        lines = [line.split(" ") for line in whole.split("\n")]
+        if list(chain.from_iterable(lines)) != whole.split():
             return b"".join(map(kept, [whole] if whole and unsure(whole) else spaced(whole)))
         # single spaces and line ends between words, and no other white space
         out, after_space = [], self.after_space.__getitem__
-        for line in whole.split("\n"):
-            words = line.split(" ")
+        for words in lines:
             out.append(kept("\n"))
             out.append(kept(words[0]))
             out.extend(map(after_space, words[1:]))
