@@ -156,6 +156,8 @@ def mix(docs: DataFrame) -> DataFrame:
         .select("_source", "size", "n", F.coalesce("copies", F.lit(0)).alias("_copies"), "source_size", "target"), "mixing-copies")
     parts = F.ceil(F.col("n") / PART_ROWS)
     rows = light.join(plan, ["_source", "size"]).withColumn("_part", F.pmod(F.xxhash64("_h", "_c"), parts))
+    # dealt anew by part: else the join's dealing would do for the numbering, and keep a hot size together
+    rows = rows.repartition("_source", "size", "_part")
     some = numbered(rows, ["_source", "size"], ["_h", "_c", "doc_id"], "_part", "_number")
     each = F.floor(F.col("_copies") / F.col("n")) + F.when(F.col("_number") < F.col("_copies") % F.col("n"), 1).otherwise(0)
     return some.withColumn("copies", each.cast("long")).select(
