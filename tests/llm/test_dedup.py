@@ -53,13 +53,13 @@ def test_words_longer_than_what_is_hashed_at_a_time(monkeypatch):
 
 
 def test_automata_in_shards(monkeypatch):
-    monkeypatch.setattr(phrase_dedup, "SHARD_PASSAGES", 2)
+    monkeypatch.setattr(phrase_dedup, "SHARD_WORDS", 30)
     words = [b"%d" % (i % 20) for i in range(100)]
-    passages = {b" ".join(words[i:i + 13]): 5 for i in range(7)}
-    found = phrase_dedup.Automata(passages)
-    assert len(found.shards) == 4
-    want = [i + 12 for i in range(88) if b" ".join(words[i:i + 13]) in passages]
-    assert sorted(found.ends(words, 9)) == want and found.ends(words, 5) == []
+    passages = {tuple(words[i:i + 13 + i]): 5 for i in range(7)}
+    made = phrase_dedup.Automata(passages)
+    assert len(made.shards) > 3
+    want = [(i, i + len(p)) for p in passages for i in range(100) if tuple(words[i:i + len(p)]) == p]
+    assert sorted(made.found(words, 9)) == sorted(want) and made.found(words, 5) == []
 
 
 def groups_by_force(rows):

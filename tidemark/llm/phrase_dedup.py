@@ -6,9 +6,9 @@ its anchor, so equal windows have equal anchors, wherever they stand.
 1. Blocks of documents ask hash buckets which of their anchors occur in two documents.
 2. Windows with such an anchor go to the buckets as text; those found in two documents are confirmed
    recurring passages, and each block learns the smallest doc_id of its own.
-3. Each block compiles its confirmed passages to Aho-Corasick automata, in shards of bounded size,
-   and streams all its documents through them: every occurrence of a passage that a smaller doc_id
-   holds is removed. A hash only proposes; what is removed has been compared word by word."""
+3. Windows one after another make passages. Each block compiles its passages to Aho-Corasick
+   automata, in shards of bounded size, and streams all its documents through them: every
+   occurrence of a passage whose windows smaller doc_ids hold is removed. A hash only proposes; what is removed has been compared word by word."""
 
 from __future__ import annotations
 
@@ -27,12 +27,15 @@ WIDTH = 13
 #: Words of a run whose hash may be an anchor.
 GRAM = 7
 #: Text bytes of a block, and for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
-#: Passages in one automaton.
-SHARD_PASSAGES = 40_000
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+#: Words of the passages in one automaton.
+SHARD_WORDS = 300_000
 #: Bytes whose words are hashed at a time.
 HASH_BYTES = 1 << 20
 
+#: Bits of a hash that give way to a place within a window.
+PLACE_BITS = 3
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # Odd, so that their powers have inverses modulo 2**64.
@@ -99,28 +102,29 @@ class Windows:
         for j in range(GRAM):
             value = (value ^ hashes[j:grams + j]) * BASE + np.uint64(j)
         value = _mixed(value)
-        least, place = value[:n].copy(), np.arange(n)
-        for j in range(1, WIDTH - GRAM + 1):
-            other = value[j:n + j]
-            less = other < least
-            least[less] = other[less]
-            place[less] = np.flatnonzero(less) + j
+        # the place within a window in the lowest bits, so that one minimum finds hash and place
+        reach = WIDTH - GRAM + 1
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        value = value & ~low
+        least = value[:n].copy()
+        for j in range(1, reach):
+            np.minimum(least, value[j:n + j] | np.uint64(j), out=least)
         self.starts = np.flatnonzero(doc[:n] == doc[WIDTH - 1:])
-        self.doc, self.anchor, self.place = doc[self.starts], least[self.starts], place[self.starts]
-
-    def text(self, start: int, words: int) -> bytes:
-        """The words from `start`, all of one document, with a space between them."""
-        d = int(np.searchsorted(self.firsts, start, "right")) - 1
-        at = start - int(self.firsts[d])
-        return b" ".join(self.words[d][at:at + words])
+        least = least[self.starts]
+        self.doc, self.anchor, self.place = doc[self.starts], least & ~low, self.starts + (least & low).astype(np.int64)
 
     def asks(self) -> np.ndarray:
         """The distinct anchors in order; their last bit says whether two documents here have it."""
         if not len(self.anchor):
             return np.zeros(0, np.uint64)
-        pairs = np.unique(np.stack([self.anchor >> np.uint64(1), self.doc.astype(np.uint64)], axis=1), axis=0)
-        values, counts = np.unique(pairs[:, 0], return_counts=True)
-        return values << np.uint64(1) | (counts > 1).astype(np.uint64)
+        # windows one after another mostly have the same anchor, and documents stay in order
+        new = np.flatnonzero(np.concatenate([[True], self.place[1:] != self.place[:-1]]))
+        values = self.anchor[new] >> np.uint64(1)
+        order = np.argsort(values, kind="stable")
+        values, doc = values[order], self.doc[new][order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        last = np.concatenate([first[1:], [len(values)]]) - 1
+        return values[first] << np.uint64(1) | (doc[first] != doc[last]).astype(np.uint64)
 
 
 def _boxed(ids: list, texts: list[bytes]) -> bytes:
@@ -189,23 +193,63 @@ class Stretches:
         bits = [np.unpackbits(np.frombuffer(a["data"], np.uint8), count=b - s) for a, (_, s, b) in zip(answers or (), _split(_bucket_of(anchors, buckets)))]
         often = anchors[np.concatenate(bits).astype(bool)] >> np.uint64(1) if bits else np.zeros(0, np.uint64)
         known = np.array([i is not None for i in ids], bool)
-        mine = np.flatnonzero(known[w.doc] & np.isin(w.anchor >> np.uint64(1), often)) if len(w.doc) else np.zeros(0, np.int64)
-        place, start = w.place[mine], w.starts[mine]
-        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)])) if len(mine) else np.zeros(0, np.int64)
-        last = np.concatenate([new[1:], [len(mine)]]) if len(mine) else new
+        # the windows of one anchor in a row: where each run begins and ends among all windows
+        new = np.flatnonzero(np.concatenate([[True], w.place[1:] != w.place[:-1]])) if len(w.doc) else np.zeros(0, np.int64)
+        end = np.concatenate([new[1:], [len(w.doc)]]) if len(new) else new
+        anchor = w.anchor[new] >> np.uint64(1)
+        near = np.minimum(np.searchsorted(often, anchor), max(0, len(often) - 1))
+        mine = known[w.doc[new]] & (often[near] == anchor) if len(often) else np.zeros(len(new), bool)
+        self.new, self.end = new[mine], end[mine]
+        of = w.doc[self.new]
+        at, size = w.starts[self.new] - w.firsts[of], self.end - self.new + WIDTH - 1
         found: dict[tuple[int, bytes], list[int]] = {}
-        for a, b in zip(new.tolist(), last.tolist()):
-            key = int(w.anchor[mine[a]] >> np.uint64(1)), w.text(int(start[a]), b - a + WIDTH - 1)
-            doc = ids[w.doc[mine[a]]]
-            span = found.setdefault(key, [doc, doc])
-            span[0], span[1] = min(span[0], doc), max(span[1], doc)
-        self.rows = sorted((anchor, text, *span) for (anchor, text), span in found.items())
+        keys = []
+        for d, h, a, n in zip(of.tolist(), anchor[mine].tolist(), at.tolist(), size.tolist()):
+            key = h, b" ".join(w.words[d][a:a + n])
+            keys.append(key)
+            doc = ids[d]
+            span = found.get(key)
+            if span is None:
+                found[key] = [doc, doc]
+            elif doc < span[0]:
+                span[0] = doc
+            elif doc > span[1]:
+                span[1] = doc
+        order = sorted(found)
+        self.rows = [(*key, *found[key]) for key in order]
+        number = {key: i for i, key in enumerate(order)}
+        self.row_of = np.fromiter((number[k] for k in keys), np.int64, len(keys))
 
     def parts(self, buckets: int):
         anchors = np.array([r[0] for r in self.rows], np.uint64) << np.uint64(1)
         return _split(_bucket_of(anchors, buckets))
 
 
+    def passages(self, ids: list, least: np.ndarray) -> dict[tuple[bytes, ...], int]:
+        """From the smallest doc_id of each window of `rows`: the longest runs of windows that each
+        document shares with smaller ones, and the largest of those doc_ids. A run in a document
+        is one of its own passages, so passages cover what their windows would."""
+        w = self.windows
+        counts = np.array([len(r[1].split(b" ")) - WIDTH + 1 for r in self.rows], np.int64)
+        firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        sizes = self.end - self.new
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        window = np.repeat(self.new, sizes) + inside
+        low = least[np.repeat(firsts[self.row_of], sizes) + inside] if len(window) else np.zeros(0, np.int64)
+        own = np.array([0 if i is None else i for i in ids], np.int64)[w.doc[window]]
+        window, low = window[low < own], low[low < own]
+        if not len(window):
+            return {}
+        start, doc = w.starts[window], w.doc[window]
+        edge = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])]))
+        lasts = np.concatenate([edge[1:], [len(window)]])
+        most = np.maximum.reduceat(low, edge)
+        out: dict[tuple[bytes, ...], int] = {}
+        for d, a, n, m in zip(doc[edge].tolist(), (start[edge] - w.firsts[doc[edge]]).tolist(), (lasts - edge + WIDTH - 1).tolist(), most.tolist()):
+            out[tuple(w.words[d][a:a + n])] = m
+        return out
+
+
 def _windows_of(text: bytes) -> list[bytes]:
     words = text.split(b" ")
     return [b" ".join(words[i:i + WIDTH]) for i in range(len(words) - WIDTH + 1)]
@@ -257,30 +301,47 @@ def _confirmed(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
 
 
-def _coded(i: int) -> str:
-    """A character for each word of the passages; the surrogates are left out."""
-    return chr(i + 2 if i + 2 < 0xD800 else i + 2 + 0x800)
+#: Stands for a word of no passage.
+OTHER = "\x00\x01"
+
+
+def _codes(words: set[bytes]) -> dict[bytes, str]:
+    """Two characters for each word, the first from one small alphabet and the second from another:
+    a node of an automaton looks its children up one by one, so it must not have many."""
+    base = int(len(words) ** 0.5) + 1
+    return {w: chr(2 + i // base) + chr(2 + base + i % base) for i, w in enumerate(sorted(words))}
 
 
 class Automata:
-    """Shards of passages, each an automaton over characters that stand for words."""
+    """Shards of passages (their words, and a doc_id), each an automaton over characters that stand
+    for words; a shard has so many words, or is one passage."""
 
-    def __init__(self, passages: dict[bytes, int]):
+    def __init__(self, passages: dict[tuple[bytes, ...], int]):
+        self.shards = []
+        some, size = [], 0
+        for words, most in sorted(passages.items()):
+            if some and size + len(words) > SHARD_WORDS:
+                self._compile(some)
+                some, size = [], 0
+            some.append((words, most))
+            size += len(words)
+        if some:
+            self._compile(some)
+
+    def _compile(self, some: list[tuple[tuple[bytes, ...], int]]) -> None:
         import ahocorasick
 
-        self.shards = []
-        items = sorted(passages.items())
-        for at in range(0, len(items), SHARD_PASSAGES):
-            codes: dict[bytes, str] = {}
-            automaton = ahocorasick.Automaton()
-            for text, least in items[at:at + SHARD_PASSAGES]:
-                automaton.add_word("".join([codes.setdefault(w, _coded(len(codes))) for w in text.split(b" ")]), least)
-            automaton.make_automaton()
-            self.shards.append((codes, automaton))
+        codes = _codes({w for words, _ in some for w in words})
+        automaton = ahocorasick.Automaton()
+        for words, most in some:
+            automaton.add_word("".join([codes[w] for w in words]), (len(words), most))
+        automaton.make_automaton()
+        self.shards.append((codes, automaton))
 
-    def ends(self, words: list[bytes], doc: int) -> list[int]:
-        """Where a passage that a smaller doc_id holds ends in the words."""
-        return [end for codes, automaton in self.shards for end, least in automaton.iter("".join([codes.get(w, "\x01") for w in words])) if least < doc]
+    def found(self, words: list[bytes], doc: int) -> list[tuple[int, int]]:
+        """Where in the words a passage begins and ends that smaller doc_ids hold."""
+        return [(end // 2 + 1 - n, end // 2 + 1) for codes, automaton in self.shards
+                for end, (n, most) in automaton.iter("".join([codes.get(w, OTHER) for w in words])) if most < doc]
 
 
 def _removed(buckets: int):
@@ -290,24 +351,17 @@ def _removed(buckets: int):
             for row in batch.to_pylist():
                 ids, texts = _unboxed(row["docs"])
                 found = Stretches(ids, texts, buckets, row["answers"])
-                least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpack(a["data"]), np.int64) for a in row["confirmed"] or ())]).tolist()
-                passages, at = {}, 0
-                for _, text, _, high in found.rows:
-                    windows = _windows_of(text)
-                    passages.update((w, m) for w, m in zip(windows, least[at:at + len(windows)]) if m < high)
-                    at += len(windows)
-                automata = Automata(passages)
+                least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpack(a["data"]), np.int64) for a in row["confirmed"] or ())])
+                automata = Automata(found.passages(ids, least))
                 n_words, n_removed, kept = [], [], []
                 for doc, words in zip(ids, found.windows.words):
-                    ends = automata.ends(words, doc) if doc is not None and len(words) >= WIDTH else []
-                    if ends:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, np.array(ends) - WIDTH + 1, 1)
-                        np.add.at(edge, np.array(ends) + 1, -1)
-                        stays = np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()
-                        left = [words[i] for i in stays]
-                    else:
-                        left = words
+                    spans = automata.found(words, doc) if doc is not None and len(words) >= WIDTH else []
+                    left, at = [] if spans else words, 0
+                    for a, b in sorted(spans):
+                        left += words[at:a]
+                        at = max(at, b)
+                    if spans:
+                        left += words[at:]
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(left))
                     kept.append(b" ".join(left))
