@@ -47,7 +47,10 @@ def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     sums = light.groupBy("_text", "text_crc32").agg(F.sum("size").alias("_bytes"))
     # a group above the limit is dealt to parts by the row's hash
     large = sums.filter(F.col("_bytes") > most).select("_text", "text_crc32", F.ceil(F.col("_bytes") / most * 2).alias("_parts"))
-    rows = light.join(large, ["_text", "text_crc32"], "left").withColumn("_part", F.coalesce(F.pmod(F.col("_row"), F.col("_parts")), F.lit(0))).drop("_parts")
+    # such groups hold more than a fixed share of all bytes, so there are at most shards / GROUP_SHARE
+    rows = light.join(F.broadcast(large), ["_text", "text_crc32"], "left").withColumn("_part", F.coalesce(F.pmod(F.col("_row"), F.col("_parts")), F.lit(0))).drop("_parts")
+    # dealt anew by part: else the join's dealing would do for the sums, and keep a hot text together
+    rows = rows.repartition("_text", "text_crc32", "_part")
     first = F.min_by(F.struct("source", "lang", "size", "doc_id"), F.struct(F.coalesce("doc_id", F.lit(0)), "_row"))
     points = rows.groupBy("_text", "text_crc32", "_part").agg(F.sum("size").alias("weight"), first.alias("_first"))
     points = points.select("_text", "text_crc32", "_part", "weight", "_first.*").withColumn("_least", F.lit(total[1]).cast("double")).withColumn("_most", F.lit(total[2]).cast("double"))
