@@ -64,6 +64,17 @@ def test_encoded_tokens(kind):
     assert (start, end) == (6, 6 + len(LAYERS[kind]))
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u202f", "\u3000", "\u200b", "\ufeff", "\u00ad", "\f", "\x1b[31m", "\0", b"caf\xe9 ", b"\xff\xfe"])
+@pytest.mark.parametrize("times", [1, 2])
+def test_base64_of_odd_characters(odd, times):
+    token = (odd if isinstance(odd, bytes) else odd.encode()) + b" " + SECRET.encode()
+    for _ in range(times):
+        token = b64(token).encode()
+    text = f"go {token.decode()} on"
+    assert scan(text) == ([], [(3, "assign", 3 + len(token))])
+    assert blacked_out(text, "-") == "go - on"
+
+
 @pytest.mark.parametrize("text, what", [
     ("go password%3Dhunter22 on", "password%3Dhunter22"), ("go password%253Dhunter22 on", "password%253Dhunter22"),
     ("go \\" + "u0070assword=hunter22 on", "\\" + "u0070assword=hunter22"), ("go &#112;assword&#x3D;hunter22 on", "&#112;assword&#x3D;hunter22"),

@@ -37,6 +37,8 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: One of these stands in any bytes that hold a secret or a further encoding.
+SIGN = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
 #: What a compressed layer is unpacked into at a time, and how much of it the next part repeats.
 PART, OVERLAP = 1 << 20, 1 << 16
 
@@ -125,12 +127,9 @@ def _base64(token: str) -> bytes | None:
         return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _worth(data: bytes) -> bool:
+    """Whether decoded bytes can hold a secret or a further encoding; noise hardly ever can."""
+    return SIGN.search(data) is not None
 
 
 def _replaced(layer: Layer, line: tuple[int, int], pieces: list[tuple[int, int, str]]) -> Layer:
@@ -205,8 +204,10 @@ def unwrap(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
         if not data:
             continue
         span = layer.span(a, b)
-        plain = _readable(data)
-        for below in [plain] if plain is not None else _unpacked(data):
+        if _worth(data):
+            # a character a byte: no byte, whatever the text's encoding, hides those beside it
+            yield Layer(data.decode("latin-1"), token=span, depth=layer.depth + 1)
+        for below in _unpacked(data):
             yield Layer(below, token=span, depth=layer.depth + 1)
 
 
