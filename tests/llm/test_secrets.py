@@ -10,6 +10,7 @@ import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from tidemark.llm import secret_scan
 from tidemark.llm.secret_scan import blacked_out, digest, scan, secret_spans, without_secrets
@@ -75,6 +76,54 @@ def test_base64_of_odd_characters(odd, times):
     assert blacked_out(text, "-") == "go - on"
 
 
+LONG = ("some words before it, " * 5 + SECRET + " and behind" * 9).encode()
+
+
+def noisy(n):
+    return "".join(hashlib.sha256(str(i).encode()).hexdigest()[:9] + " " for i in range(n)).encode()
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress])
+@pytest.mark.parametrize("width, line_end", [(64, "\n"), (76, "\r\n  "), (64, "\n\t"), (20, "\n")])
+def test_wrapped_base64(pack, width, line_end):
+    token = b64(pack(noisy(60) + LONG + noisy(20)))
+    wrapped = line_end.join(token[i:i + width] for i in range(0, len(token), width))
+    for before, after in (("ünder ", " end"), ("key\n", "\nThen we"), ("-----BEGIN X-----\n", "\n-----END X-----")):
+        base, added = scan(before + wrapped + after)
+        assert base == [] and [x for x in added if x[1] == "assign"] and all(a <= len(before) and b >= len(before + wrapped) for a, _, b in added)
+    assert scan("ünder " + wrapped + " end")[1] == [(6, "assign", 6 + len(wrapped))]
+
+
+def test_secret_over_the_line_break_of_base64():
+    token = b64("x" * 40 + " " + SECRET)
+    wrapped = token[:64] + "\n" + token[64:]
+    assert scan("ünder " + wrapped + " end")[1] == [(6, "assign", 6 + len(wrapped))]
+
+
+def test_line_behind_a_token_is_not_its_own():
+    for token in (b64("the " + SECRET).rstrip("="), b64(gzip.compress(SECRET.encode())).rstrip("=")):
+        assert scan(f"go {token}\nThen we")[1] == [(3, "assign", 3 + len(token))]
+
+
+@pytest.mark.parametrize("before", ["https://x.org/cb/", "https://x.org/a/cb/", "https://x.org/abc/cb/", "id-", "my_", "a-b_c/"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lzma.compress])
+@pytest.mark.parametrize("after", ["", "/more", "?q=1"])
+def test_base64_inside_a_run(before, pack, after):
+    token = b64(pack(SECRET.encode()))
+    base, added = scan(f"go {before}{token}{after} on")
+    assert base == [] and {x[1] for x in added} == {"assign"}
+    at = 3 + len(before)
+    assert all(3 <= a and b <= at + len(token + after) for a, _, b in added)
+    if pack is bytes:
+        assert any(a <= at and b >= at + len(token.rstrip("=")) for a, _, b in added)
+
+
+def test_run_with_a_character_too_many():
+    whole = b64("abc" + SECRET + "ab")
+    assert len(whole) % 4 == 0 and "=" not in whole
+    assert scan(f"go {whole}Q on")[1] == [(3, "assign", 3 + len(whole) + 1)]
+
+
 @pytest.mark.parametrize("text, what", [
     ("go password%3Dhunter22 on", "password%3Dhunter22"), ("go password%253Dhunter22 on", "password%253Dhunter22"),
     ("go \\" + "u0070assword=hunter22 on", "\\" + "u0070assword=hunter22"), ("go &#112;assword&#x3D;hunter22 on", "&#112;assword&#x3D;hunter22"),

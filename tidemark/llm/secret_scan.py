@@ -1,19 +1,20 @@
 """Secrets in texts, also under layers of encoding.
 
 A worklist holds layers of a text: the text itself, and what its URL escapes, Unicode escapes, base64
-tokens and compressed base64 tokens decode to. Each layer is scanned and searched for further
+tokens and compressed base64 tokens decode to. Base64 is also read over line breaks and from inside a
+run of its alphabet. Each layer is scanned and searched for further
 encodings until nothing new turns up; a layer seen before is not opened again, so cycles end. Every
 layer knows which characters of the text each of its own came from."""
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,24 +36,33 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: A maximal run of these holds any hex run and any base64 token.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+BREAK = re.compile(r"[\r\n][ \t\r\n]*")
+WORD = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+BETWEEN = re.compile("[/_-]")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: One of these stands in any bytes that hold a secret or a further encoding.
 SIGN = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
 #: What a compressed layer is unpacked into at a time, and how much of it the next part repeats.
 PART, OVERLAP = 1 << 20, 1 << 16
+#: Bytes that an unpacker is given at a time.
+CHUNK, ZSTD_CHUNK = 1 << 16, 1 << 8
 
 
 @dataclass
 class Layer:
     """starts and ends: for each character, the span in the text that it came from; None: itself.
-    A whole layer that came from one token has the token's span."""
+    A whole layer that came from one token has the token's span. part: read from inside a run, so that
+    what the token itself shows goes before it."""
 
     text: str
     starts: np.ndarray | None = None
     ends: np.ndarray | None = None
     token: tuple[int, int] | None = None
     depth: int = 0
+    part: bool = False
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.token:
@@ -79,52 +89,66 @@ def find(text: str, runs: list[tuple[int, int]] | None = None) -> Iterator[tuple
                 yield "hex", m.start(), m.end()
 
 
-def _unpacked(data: bytes) -> Iterator[str]:
-    """The parts of a compressed layer, each with the end of the one before it."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
+    """The parts of the compressed member that begins at `at`, and where it ends once that is known.
+    One that breaks off or is none ends with what came before."""
+    first = data[at:at + 6]
+    if first[:2] == b"\x1f\x8b" or first[:1] == b"\x78":
         opened = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
+    elif first[:3] == b"BZh":
         opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
+    elif first == b"\xfd7zXZ\x00":
         opened = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+    elif first[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        reader = zstandard.ZstdDecompressor().stream_reader(data)
-        opened = None
+        opened = zstandard.ZstdDecompressor().decompressobj()
     else:
         return
-    tail, rest = "", data
-    while True:
-        try:
-            if opened is None:
-                part, more = reader.read(PART), True
-            elif isinstance(opened, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-                part, more = opened.decompress(rest, PART), not opened.eof
-                rest = b""
-            else:
-                part = opened.decompress(rest, PART)
-                rest, more = opened.unconsumed_tail, not opened.eof
-        except Exception:  # not what its first bytes promised, or cut off: what came before stays
-            return
-        if not part:
-            return
-        text = tail + part.decode("utf-8", "replace")
-        yield text
-        if not more:
-            return
-        tail = text[-OVERLAP:]
-
-
-def _base64(token: str) -> bytes | None:
-    bare = token.rstrip("=")
-    if len(bare) % 4 == 1:
-        return None
-    plain = bare.replace("-", "+").replace("_", "/")
+    zlibs, fully = first[:1] in (b"\x1f", b"\x78"), hasattr(opened, "needs_input")
+    step = CHUNK if zlibs or fully else ZSTD_CHUNK  # the last has no limit of its own
     try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    except binascii.Error:
-        return None
+        while at < len(data):
+            rest = data[at:at + step]
+            at += len(rest)
+            while True:
+                part = opened.decompress(rest, PART) if zlibs or fully else opened.decompress(rest)
+                rest = opened.unconsumed_tail if zlibs else b""
+                yield part, at - len(opened.unused_data) if opened.eof else None
+                if opened.eof:
+                    return
+                if opened.needs_input if fully else not rest and (not zlibs or len(part) < PART):
+                    break
+    except Exception:  # not what its first bytes promised
+        return
+
+
+def _unpacked(data: bytes, at: int = 0) -> Iterator[str]:
+    """The parts of a compressed layer, each with the end of the one before it."""
+    tail, new = b"", 0
+    for part, end in _inflated(data, at):
+        tail += part
+        new += len(part)
+        if new >= PART or end is not None:
+            yield tail.decode("utf-8", "replace")
+            tail, new = tail[-OVERLAP:], 0
+    if new:
+        yield tail.decode("utf-8", "replace")
+
+
+def _ends(data: bytes, at: int = 0) -> int:
+    """Where the compressed data that begins at `at` ends; all of it, if it breaks off."""
+    end = None
+    for _, end in _inflated(data, at):
+        pass
+    return len(data) if end is None else end
+
+
+def _base64(token: str) -> bytes:
+    """What a token decodes to; a character too many is left out."""
+    bare = token.rstrip("=").replace("-", "+").replace("_", "/")
+    bare = bare[:len(bare) - (len(bare) % 4 == 1)]
+    return binascii.a2b_base64(bare + "=" * (-len(bare) % 4))
 
 
 def _worth(data: bytes) -> bool:
@@ -151,7 +175,7 @@ def _replaced(layer: Layer, line: tuple[int, int], pieces: list[tuple[int, int,
         ends.append(np.full(len(text), e))
         at = b
     keep(at, b0)
-    return Layer("".join(out), np.concatenate(starts), np.concatenate(ends), layer.token, layer.depth + 1)
+    return Layer("".join(out), np.concatenate(starts), np.concatenate(ends), layer.token, layer.depth + 1, layer.part)
 
 
 def _escape(m: re.Match) -> str:
@@ -188,6 +212,130 @@ def _lines(text: str, pieces: list[tuple[int, int, str]]) -> Iterator[tuple[tupl
         yield line, mine
 
 
+def chains(text: str, runs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The runs, and those of any length that only line breaks and indentation separate, together."""
+    joined: set[int] = set()
+    chain: list[tuple[int, int]] = []
+    for m in BREAK.finditer(text):
+        end, start = m.start(), m.end()
+        while end and text[end - 1] in " \t":
+            end -= 1
+        if not end or start == len(text) or text[end - 1] not in ALPHABET or text[start] not in ALPHABET:
+            continue
+        if not chain or chain[-1][1] != end:
+            if chain:
+                yield chain
+            first = end
+            while first and text[first - 1] in ALPHABET:
+                first -= 1
+            chain = [(first, end)]
+            joined.add(first)
+        chain.append((start, WORD.match(text, start).end()))
+        joined.add(start)
+    if chain:
+        yield chain
+    for a, b in runs:
+        if a not in joined:
+            yield [(a, b)]
+
+
+def _blocks(text: str, chain: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], bytes]]:
+    """Tokens that are wrapped as encoders do, and what they decode to: lines of one width, a shorter
+    one behind them, or before them where something else stood on its line."""
+    width = [b - a for a, b in chain]
+    i = 0
+    while i < len(chain):
+        j = i + 1
+        if j + 1 < len(chain) and 16 <= width[i] < width[j] and text[chain[i][1] - 2:chain[i][1]] != "--":
+            j += 1
+        w = width[j - 1]
+        while j < len(chain) and width[j] == w:
+            j += 1
+        j += j < len(chain) and width[j] < w
+        data = _base64("".join(text[a:b] for a, b in chain[i:j]))
+        if j - i > 1:
+            keep = j
+            try:
+                data.decode()
+            except UnicodeDecodeError as e:
+                # a word on the line behind a token, or tokens of their own on each line
+                if e.start * 8 // 6 >= sum(width[i:j - 1]) - 2:
+                    keep = j - 1
+                elif e.start and width[i] % 4:
+                    keep = i + 1
+            if MAGIC.match(data):
+                ends, keep = (_ends(data) * 8 + 5) // 6, i
+                while keep < j and ends > 0:
+                    ends -= width[keep]
+                    keep += 1
+            if keep != j:
+                j = keep
+                data = _base64("".join(text[a:b] for a, b in chain[i:j]))
+        yield chain[i:j], data
+        i = j
+
+
+def _tokens(layer: Layer, chain: list[tuple[int, int]]) -> Iterator[Layer]:
+    """What a chain decodes to: each of its tokens, and all of it from each of four characters on, for
+    tokens that begin inside. The spans of the latter reach from one of / - _ or a line end to the next."""
+    text, depth = layer.text, layer.depth + 1
+    if sum(b - a for a, b in chain) < 16:
+        return
+    whole = False
+    for block, data in _blocks(text, chain):
+        whole = len(block) == len(chain)
+        a, b = block[0][0], block[-1][1]
+        if b - a < 16 or not data:
+            continue
+        span = layer.span(a, b)
+        if _worth(data):
+            # a character a byte: no byte, whatever the text's encoding, hides those beside it
+            yield Layer(data.decode("latin-1"), token=span, depth=depth, part=layer.part)
+        for below in _unpacked(data):
+            yield Layer(below, token=span, depth=depth, part=layer.part)
+    joined = "".join(text[a:b] for a, b in chain)
+    bounds = None
+    for shift in range(whole, 4):
+        data = _base64(joined[shift:])
+        plain = _worth(data)
+        found = [m.start() for m in MAGIC.finditer(data)]
+        if not plain and not found:
+            continue
+        if bounds is None:
+            # of each character of the chain: the first and the last of its piece, in the layer's text
+            sizes = [b - a for a, b in chain]
+            at = np.concatenate([np.arange(a, b) for a, b in chain])
+            cuts = np.union1d(np.cumsum(sizes), [m.start() for m in BETWEEN.finditer(joined)]).astype(np.int64)
+            firsts = np.union1d(np.cumsum([0, *sizes[:-1]]), [m.end() for m in BETWEEN.finditer(joined)]).astype(np.int64)
+            bounds = at, firsts, cuts
+
+        def place(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Spans of the bytes first to last."""
+            at, firsts, cuts = bounds
+            c, d = shift + first * 8 // 6, np.minimum(shift + (last * 8 + 7) // 6, len(joined) - 1)
+            s = at[firsts[np.searchsorted(firsts, c, "right") - 1]]
+            e = at[np.maximum(cuts[np.minimum(np.searchsorted(cuts, d, "right"), len(cuts) - 1)] - 1, d)] + 1
+            return (s, e) if layer.starts is None else (layer.starts[s], layer.ends[e - 1])
+
+        if plain:
+            every = np.arange(len(data))
+            starts, ends = place(every, every)
+            yield Layer(data.decode("latin-1"), starts, ends, layer.token, depth, True)
+        behind = 0
+        for p in found:
+            if p < behind:
+                continue
+            span = None
+            for below in _unpacked(data, p):
+                if span is None:
+                    behind = _ends(data, p)
+                    s, e = place(np.array([p]), np.array([max(p, behind - 1)]))
+                    span = layer.token or (int(s[0]), int(e[0]))
+                yield Layer(below, token=span, depth=depth, part=True)
+            if behind == len(data):  # broken off, or noise: others may begin inside
+                behind = p + 1
+
+
 def unwrap(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
     """The layers right below this one."""
     text = layer.text
@@ -199,22 +347,36 @@ def unwrap(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
         pieces = _surrogates([(m.start(), m.end(), _escape(m)) for m in ESCAPE.finditer(text)], text)
         for line, mine in _lines(text, pieces):
             yield _replaced(layer, line, mine)
-    for a, b in runs:
-        data = _base64(text[a:b])
-        if not data:
-            continue
-        span = layer.span(a, b)
-        if _worth(data):
-            # a character a byte: no byte, whatever the text's encoding, hides those beside it
-            yield Layer(data.decode("latin-1"), token=span, depth=layer.depth + 1)
-        for below in _unpacked(data):
-            yield Layer(below, token=span, depth=layer.depth + 1)
+    for chain in chains(text, runs):
+        yield from _tokens(layer, chain)
+
+
+def _settled(found: dict[tuple[int, str, int], list[tuple[str, bool]]]) -> set[tuple[int, str, int]]:
+    """The spans, without those of parts whose secret a span of a whole token around or inside has."""
+    whole = {k: [(s, e, v) for (s, kind, e), values in found.items() if kind == k for v, part in values if not part] for k in KINDS}
+    out = set()
+    for k in KINDS:
+        mine = sorted(whole[k])
+        starts = [s for s, _, _ in mine]
+        far = np.maximum.accumulate([e for _, e, _ in mine]) if mine else []
+
+        def told(s: int, e: int, value: str) -> bool:
+            for i in range(bisect_left(starts, e) - 1, -1, -1):
+                if far[i] <= s:
+                    return False
+                a, b, v = mine[i]
+                if (a <= s and e <= b or s <= a and b <= e) and (v in value or value in v):
+                    return True
+            return False
+
+        out |= {x for x, values in found.items() if x[1] == k and not all(part and told(x[0], x[2], v) for v, part in values)}
+    return out
 
 
 def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(start, kind, end) of what the text itself holds, and of what the layers below add."""
     base: list[tuple[int, str, int]] = []
-    added: set[tuple[int, str, int]] = set()
+    added: dict[tuple[int, str, int], list[tuple[str, bool]]] = {}
     seen: set[bytes] = set()
 
     def scanned(layer: Layer) -> list[tuple[int, int]]:
@@ -222,7 +384,7 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
         for kind, a, b in find(layer.text, runs):
             if layer.depth:
                 s, e = layer.span(a, b)
-                added.add((s, kind, e))
+                added.setdefault((s, kind, e), []).append((layer.text[a:b], layer.part))
             else:
                 base.append((a, kind, b))
         return runs
@@ -241,7 +403,7 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
             work.append(unwrap(below, scanned(below)))
     def order(s):
         return s[0], KINDS.index(s[1]), s[2]
-    return sorted(base, key=order), sorted(added - set(base), key=order)
+    return sorted(base, key=order), sorted(_settled(added) - set(base), key=order)
 
 
 SPANS = "array<struct<kind: string, start: long, end: long, hidden: boolean>>"
