@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
 import re
 import urllib.parse
@@ -124,6 +125,37 @@ def test_run_with_a_character_too_many():
     assert scan(f"go {whole}Q on")[1] == [(3, "assign", 3 + len(whole) + 1)]
 
 
+PACKERS = [gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+@pytest.mark.parametrize("gap", [b"", b"\0\0\0\0"])
+def test_later_members(pack, gap):
+    token = b64(pack(b"the first ") + gap + pack(b"the second ") + pack(SECRET[:12].encode()) + pack(SECRET[12:].encode()))
+    assert scan(f"go {token} on")[1] == [(3, "assign", 3 + len(token))]
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+@pytest.mark.parametrize("how", ["percent", "quote", "form", "x", "repr", "json"])
+def test_escaped_compressed_bytes(pack, how):
+    data = pack(noisy(9) + LONG)
+    token = {
+        "percent": lambda: "".join(f"%{c:02X}" for c in data), "quote": lambda: urllib.parse.quote(data, safe=""), "form": lambda: urllib.parse.quote_plus(data),
+        "x": lambda: "".join(f"\\x{c:02x}" for c in data), "repr": lambda: repr(data)[2:-1], "json": lambda: json.dumps(data.decode("latin-1"))[1:-1]}[how]()
+    base, added = scan(f"line\n5% go {token} on\nnext")
+    assert (11, "assign", 11 + len(token)) in added
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+@pytest.mark.parametrize("form", [b64, lambda d: base64.encodebytes(d).decode(), urllib.parse.quote_from_bytes, lambda d: repr(d)[2:-1]])
+def test_nested_tokens_longer_than_the_overlap(monkeypatch, pack, form):
+    monkeypatch.setattr(secret_scan, "PART", 1 << 10)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 64)
+    inner = form(pack(b"".join(hashlib.sha256(bytes([i])).digest() for i in range(200)) + LONG))
+    token = b64(gzip.compress((". " * 300 + inner + " ." * 900).encode()))
+    assert (3, "assign", 3 + len(token)) in scan(f"go {token} on")[1]
+
+
 @pytest.mark.parametrize("text, what", [
     ("go password%3Dhunter22 on", "password%3Dhunter22"), ("go password%253Dhunter22 on", "password%253Dhunter22"),
     ("go \\" + "u0070assword=hunter22 on", "\\" + "u0070assword=hunter22"), ("go &#112;assword&#x3D;hunter22 on", "&#112;assword&#x3D;hunter22"),

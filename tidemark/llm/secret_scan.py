@@ -43,9 +43,17 @@ BETWEEN = re.compile("[/_-]")
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-#: One of these stands in any bytes that hold a secret or a further encoding.
-SIGN = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
-#: What a compressed layer is unpacked into at a time, and how much of it the next part repeats.
+PLUS = re.compile(r"\+")
+#: Bytes as languages print them.
+BYTE = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])""")
+ESCAPED = dict(zip("abfnrtv0\\'\"", (b"\a", b"\b", b"\f", b"\n", b"\r", b"\t", b"\v", b"\0", b"\\", b"'", b'"')))
+PADDING = re.compile(rb"\0*")
+#: A run of tokens or escapes, over line breaks, backwards.
+LAST_RUN = re.compile(rb"[A-Za-z0-9+/_=.%\\{}&#;-]*+(?:[ \t]*+[\r\n][ \t\r\n]*+[A-Za-z0-9+/_=.%\\{}&#;-]++)*+")
+#: A word, one of these, or sixteen of a run's characters stand in any bytes that hold a secret or a further encoding.
+SIGN = re.compile(rb"%[0-9A-Fa-f]{2}|\\[uUx]|&#")
+IN_RUN = bytes(120 if chr(c) in ALPHABET else 32 for c in range(256))
+#: What a compressed layer is unpacked into at a time, and how much of it the next part repeats at least.
 PART, OVERLAP = 1 << 20, 1 << 16
 #: Bytes that an unpacker is given at a time.
 CHUNK, ZSTD_CHUNK = 1 << 16, 1 << 8
@@ -89,7 +97,7 @@ def find(text: str, runs: list[tuple[int, int]] | None = None) -> Iterator[tuple
                 yield "hex", m.start(), m.end()
 
 
-def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
+def _member(data: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
     """The parts of the compressed member that begins at `at`, and where it ends once that is known.
     One that breaks off or is none ends with what came before."""
     first = data[at:at + 6]
@@ -123,25 +131,55 @@ def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
         return
 
 
+def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
+    """The parts of the member that begins at `at` and of all that follow it, see `_member`."""
+    while True:
+        end = None
+        for part, end in _member(data, at):
+            yield part, end
+        if end is None:
+            return
+        at = PADDING.match(data, end).end()
+
+
+def _unfinished(data: bytearray) -> int:
+    """Where that begins which more data may go on with: the last run, over line breaks, or a line with escaped bytes."""
+    at = len(data) - LAST_RUN.match(data[::-1]).end()
+    line = data.rfind(b"\n") + 1
+    return min(at, line) if any(x in data[line:] for x in (b"%", b"\\x", b"\\u00")) else at
+
+
 def _unpacked(data: bytes, at: int = 0) -> Iterator[str]:
-    """The parts of a compressed layer, each with the end of the one before it."""
-    tail, new = b"", 0
-    for part, end in _inflated(data, at):
+    """The parts of a compressed layer, each with the end of the one before it: OVERLAP, and what is
+    unfinished there, however long. Parts grow with what is carried, so that it is not read over and over."""
+    tail, carried = bytearray(), 0
+    for part, _ in _inflated(data, at):
         tail += part
-        new += len(part)
-        if new >= PART or end is not None:
+        if len(tail) - carried >= max(PART, carried):
             yield tail.decode("utf-8", "replace")
-            tail, new = tail[-OVERLAP:], 0
-    if new:
+            del tail[:max(0, min(len(tail) - OVERLAP, _unfinished(tail)))]
+            carried = len(tail)
+    if len(tail) > carried:
         yield tail.decode("utf-8", "replace")
 
 
-def _ends(data: bytes, at: int = 0) -> int:
-    """Where the compressed data that begins at `at` ends; all of it, if it breaks off."""
-    end = None
+def _ends(data: bytes, at: int = 0) -> int | None:
+    """Where the compressed data that begins at `at` ends, if it does."""
+    last = None
     for _, end in _inflated(data, at):
-        pass
-    return len(data) if end is None else end
+        last = end or last
+    return last
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, int, Iterator[str]]]:
+    """Compressed data that begins anywhere: from where to where, and its parts."""
+    behind = 0
+    for m in MAGIC.finditer(data):
+        if m.start() >= behind:
+            # if broken off, or noise, others may begin inside
+            end = _ends(data, m.start())
+            behind = end or m.start() + 1
+            yield m.start(), end or len(data), _unpacked(data, m.start())
 
 
 def _base64(token: str) -> bytes:
@@ -153,7 +191,10 @@ def _base64(token: str) -> bytes:
 
 def _worth(data: bytes) -> bool:
     """Whether decoded bytes can hold a secret or a further encoding; noise hardly ever can."""
-    return SIGN.search(data) is not None
+    low = data.lower()
+    if any(w.encode() in low for w in WORDS) or b"AKIA" in data or b"x" * 16 in data.translate(IN_RUN):
+        return True
+    return any(c in data for c in (b"%", b"\\", b"&")) and SIGN.search(data) is not None
 
 
 def _replaced(layer: Layer, line: tuple[int, int], pieces: list[tuple[int, int, str]]) -> Layer:
@@ -183,6 +224,16 @@ def _escape(m: re.Match) -> str:
     return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
 
 
+def _escaped_byte(m: re.Match) -> bytes:
+    code = m[1] or m[2]
+    return bytes.fromhex(code) if code else ESCAPED[m[3]]
+
+
+def _bytewise(a: int, b: int, data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """The pieces of a run of escapes of three characters, a byte each."""
+    return ((a + 3 * i, a + 3 * i + 3, data[i:i + 1]) for i in range((b - a) // 3))
+
+
 def _surrogates(pieces: list[tuple[int, int, str]], text: str) -> list[tuple[int, int, str]]:
     """Two \\u escapes of a surrogate pair, side by side, are one character."""
     out: list[tuple[int, int, str]] = []
@@ -264,7 +315,7 @@ def _blocks(text: str, chain: list[tuple[int, int]]) -> Iterator[tuple[list[tupl
                 elif e.start and width[i] % 4:
                     keep = i + 1
             if MAGIC.match(data):
-                ends, keep = (_ends(data) * 8 + 5) // 6, i
+                ends, keep = ((_ends(data) or len(data)) * 8 + 5) // 6, i
                 while keep < j and ends > 0:
                     ends -= width[keep]
                     keep += 1
@@ -298,8 +349,13 @@ def _tokens(layer: Layer, chain: list[tuple[int, int]]) -> Iterator[Layer]:
     for shift in range(whole, 4):
         data = _base64(joined[shift:])
         plain = _worth(data)
-        found = [m.start() for m in MAGIC.finditer(data)]
-        if not plain and not found:
+        if not plain and not MAGIC.search(data):
+            continue
+        if layer.token:
+            if plain:
+                yield Layer(data.decode("latin-1"), token=layer.token, depth=depth, part=True)
+            for _, _, parts in _streams(data):
+                yield from (Layer(below, token=layer.token, depth=depth, part=True) for below in parts)
             continue
         if bounds is None:
             # of each character of the chain: the first and the last of its piece, in the layer's text
@@ -320,33 +376,52 @@ def _tokens(layer: Layer, chain: list[tuple[int, int]]) -> Iterator[Layer]:
         if plain:
             every = np.arange(len(data))
             starts, ends = place(every, every)
-            yield Layer(data.decode("latin-1"), starts, ends, layer.token, depth, True)
-        behind = 0
-        for p in found:
-            if p < behind:
-                continue
-            span = None
-            for below in _unpacked(data, p):
-                if span is None:
-                    behind = _ends(data, p)
-                    s, e = place(np.array([p]), np.array([max(p, behind - 1)]))
-                    span = layer.token or (int(s[0]), int(e[0]))
-                yield Layer(below, token=span, depth=depth, part=True)
-            if behind == len(data):  # broken off, or noise: others may begin inside
-                behind = p + 1
+            yield Layer(data.decode("latin-1"), starts, ends, depth=depth, part=True)
+        for first, end, parts in _streams(data):
+            s, e = place(np.array([first]), np.array([end - 1]))
+            for below in parts:
+                yield Layer(below, token=(int(s[0]), int(e[0])), depth=depth, part=True)
+
+
+def _escaped_streams(layer: Layer, line: tuple[int, int], pieces: list[tuple[int, int, bytes]]) -> Iterator[Layer]:
+    """Compressed data among a line's bytes, some of which are escaped."""
+    a0, b0 = line
+    a, b = (np.array(x, np.int64) - a0 for x in list(zip(*pieces))[:2])
+    data = np.frombuffer(layer.text[a0:b0].encode("latin-1", "replace"), np.uint8).copy()
+    data[a] = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    end = np.arange(1, len(data) + 1)
+    end[a] = b
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, a + 1, 1)
+    np.add.at(inside, b, -1)
+    start = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    data, end, start = data[start].tobytes(), end[start] + a0, start + a0
+    if MAGIC.search(data):
+        for first, last, parts in _streams(data):
+            span = layer.span(int(start[first]), int(end[last - 1]))
+            for below in parts:
+                yield Layer(below, token=span, depth=layer.depth + 1, part=layer.part)
 
 
 def unwrap(layer: Layer, runs: list[tuple[int, int]]) -> Iterator[Layer]:
     """The layers right below this one."""
     text = layer.text
     if "%" in text:
-        pieces = [(m.start(), m.end(), binascii.unhexlify(m[0].replace("%", "")).decode("utf-8", "replace")) for m in URL.finditer(text)]
-        for line, mine in _lines(text, pieces):
+        found = [(m.start(), m.end(), binascii.unhexlify(m[0].replace("%", ""))) for m in URL.finditer(text)]
+        for line, mine in _lines(text, [(a, b, data.decode("utf-8", "replace")) for a, b, data in found]):
             yield _replaced(layer, line, mine)
+        for line, mine in _lines(text, [p for a, b, data in found for p in _bytewise(a, b, data)]):
+            yield from _escaped_streams(layer, line, mine)
+            if "+" in text[slice(*line)]:  # a form's space
+                spaces = [(m.start(), m.end(), b" ") for m in PLUS.finditer(text, *line)]
+                yield from _escaped_streams(layer, line, sorted(mine + spaces))
     if "\\" in text or "&#" in text:
         pieces = _surrogates([(m.start(), m.end(), _escape(m)) for m in ESCAPE.finditer(text)], text)
         for line, mine in _lines(text, pieces):
             yield _replaced(layer, line, mine)
+    if "\\x" in text or "\\u00" in text:
+        for line, mine in _lines(text, [(m.start(), m.end(), _escaped_byte(m)) for m in BYTE.finditer(text)]):
+            yield from _escaped_streams(layer, line, mine)
     for chain in chains(text, runs):
         yield from _tokens(layer, chain)
 
