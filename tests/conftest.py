@@ -19,6 +19,11 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def price_schema():
+    return PRICES
+
+
 @pytest.fixture(scope="session")
 def price_table(spark):
     def make(**closes):

@@ -109,7 +109,7 @@ def test_slope_is_least_squares(price_table):
 
 
 @pytest.fixture(scope="module")
-def crowded(spark):
+def crowded(spark, price_schema):
     """A third of all rows belongs to one code and its dates repeat."""
     rows = []
     for code, n in [("00001", 3000)] + [(f"{i:05d}", 300) for i in range(2, 22)]:
@@ -117,8 +117,7 @@ def crowded(spark):
             c = float(WALK[(i * 7 + int(code)) % 2500])
             day = datetime.date(2020, 1, 1) + datetime.timedelta(days=i // 4)
             rows.append((code, day, c, c + 1, c - 1, c, float(i % 13)))
-    from conftest import PRICES
-    return spark.createDataFrame(rows, PRICES)
+    return spark.createDataFrame(rows, price_schema)
 
 
 def test_place_equals_a_full_sort(crowded):
