@@ -18,7 +18,6 @@ import re
 import sys
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -34,6 +33,18 @@ simple = {
 }
 spaced = re.compile(r"\s*\S+|\s+").findall
 unsure = re.compile("[\x1c-\x1f]").search
+# What Python takes for white space besides space and line end, or the first bytes of it in UTF-8, and gaps of more than one.
+ODD_SPACE = (
+    *(bytes([c]) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20))),
+    b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+)
+WIDE_GAPS = b"  ", b"\n\n", b" \n", b"\n "
+
+
+def single_gaps(text: bytes) -> bool:
+    """Whether only single spaces and single line ends stand between its words, and none around them;
+    False also where that would take a closer look."""
+    return bool(text) and text[0] not in b" \n" and text[-1] not in b" \n" and not any(map(text.__contains__, WIDE_GAPS)) and not any(map(text.__contains__, ODD_SPACE))
 
 
 @lru_cache(maxsize=2)
@@ -125,12 +136,10 @@ class Encoder:
 
     def of_spaced(self, text: bytes) -> bytes:
         whole, kept = text.decode(), self.kept.__getitem__
-        lines = [line.split(" ") for line in whole.split("\n")]
-        if list(chain.from_iterable(lines)) != whole.split():
+        if not single_gaps(text):
             return b"".join(map(kept, [whole] if whole and unsure(whole) else spaced(whole)))
-        # single spaces and line ends between words, and no other white space
         out, after_space = [], self.after_space.__getitem__
-        for words in lines:
+        for words in (line.split(" ") for line in whole.split("\n")):
             out.append(kept("\n"))
             out.append(kept(words[0]))
             out.extend(map(after_space, words[1:]))

@@ -21,8 +21,8 @@ LENGTH, END = 2048, 1
 #: Text bytes of a group; padding hardly falls with larger ones.
 GROUP_BYTES = 16 << 20
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, width int, ids binary"
-PACKED = f"{PIECES}, sequence_id long, offset long"
+PLACES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long"
+IDS = ", width int, ids binary"
 
 
 class FreeRoom:
@@ -63,18 +63,21 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def _cutter(path: str, end: int, length: int):
+def _cutter(path: str, end: int, length: int, with_ids: bool):
+    names = NAMES if with_ids else NAMES[:5]
+
     def cut(batches):
         encode = encoder(path, "spaced")
         width = encode.dtype.itemsize
         last = np.array([end], encode.dtype).tobytes()
         for ids, texts in slices(batches):
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids_crc32", "width", "ids")}
+            rows: dict[str, list] = {k: [] for k in names}
             for doc, data in zip(ids, encode(texts)):
                 data += last
                 for at in range(0, len(data), length * width):
                     piece = data[at:at + length * width]
                     whole = np.frombuffer(piece, encode.dtype).astype("<u4").tobytes()
+                    # without ids, the last two stay behind
                     for k, v in zip(rows, (doc, at // width, len(piece) // width, len(data) // width, zlib.crc32(whole), width, piece)):
                         rows[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), KINDS)], list(rows))
@@ -82,6 +85,7 @@ def _cutter(path: str, end: int, length: int):
     return cut
 
 
+NAMES = "doc_id", "start", "length", "doc_tokens", "ids_crc32", "width", "ids"
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
@@ -96,9 +100,10 @@ def _packer(length: int):
     return pack
 
 
-def pack(docs: DataFrame, model_path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, model_path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = True) -> DataFrame:
     """The pieces of all docs(doc_id, text) with their ids (unsigned numbers of `width` bytes,
-    little-endian) and their place: sequence_id, and offset within it.
+    little-endian) and their place: sequence_id, and offset within it. with_ids: without it the
+    ids stay where they were made, and the columns `width` and `ids` are left out.
 
     A document is its ids and one end id; one longer than a sequence is cut at each `length` ids, and
     each part is a piece. A null or empty text has the end id alone. Rows of one doc_id stay apart,
@@ -107,6 +112,7 @@ def pack(docs: DataFrame, model_path: str | None = None, length: int = LENGTH, e
     path = model_path or tokenizer_path(MODEL)
     rows, size = text_bytes(docs)
     groups = max(1, -(-(size + 16 * rows) // GROUP_BYTES))
-    pieces = texts_of(docs).mapInArrow(_cutter(path, end, length), PIECES)
+    columns = PLACES + IDS * with_ids
+    pieces = texts_of(docs).mapInArrow(_cutter(path, end, length, with_ids), columns)
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(_packer(length), PACKED)
+    return dealt.groupBy("_group").applyInArrow(_packer(length), f"{columns}, sequence_id long, offset long")

@@ -58,7 +58,7 @@ def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(documents(spark, sf_dir))
+    pieces = pack(documents(spark, sf_dir), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
