@@ -45,4 +45,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or 100 * n_dup_lines > 50 * n_lines or 100 * letterless > 30 * n_words or 100 * shouted > 30 * n_words) as kept
 from judged"""
 
-ORACLE_SQL = {"op3_phrase_dedup": PHRASES, "op6_quality_cascade": QUALITY}
+# What separates the words of the contract.
+APART = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LEAKS = f"""
+with items as (select item_id, regexp_extract_all({LOWER}, '{APART}') as w from benchmark),
+wanted as (
+  select distinct item_id, least(len(w), 10) as size,
+    array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as x
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWER}, '{APART}') as w from documents),
+win as (
+  select rid, size, i, array_to_string(w[i:i + size - 1], ' ') as x
+  from (select rid, size, w, unnest(range(1, len(w) - size + 2)) as i
+        from d, (select distinct size from wanted) where len(w) >= size)),
+found as (select rid, size, i, item_id from win join wanted using (size, x)),
+hit as (select rid, count(distinct i + k) as n from (select distinct rid, size, i from found), range(10) r(k) where k < size group by rid),
+named as (select rid, count(distinct item_id) as n, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as t
+          from found group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
+  sha256(coalesce(t, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from d left join hit using (rid) left join named using (rid)"""
+
+ORACLE_SQL = {"op11_decontamination": LEAKS, "op3_phrase_dedup": PHRASES, "op6_quality_cascade": QUALITY}

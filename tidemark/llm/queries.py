@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import contamination
 from tidemark.llm.kd_sharding import kd_shards
 from tidemark.llm.learned_ann import nearest
 from tidemark.llm.mixing import mix
@@ -66,8 +67,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(documents(spark, sf_dir)))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_store, op3_phrase_dedup, op4_simhash_dedup, op5_learned_ann,
-    op6_quality_cascade, op7_kd_sharding, op8_entropy_mixing, op9_packing, op10_secret_scan)}
+    op6_quality_cascade, op7_kd_sharding, op8_entropy_mixing, op9_packing, op10_secret_scan,
+    op11_decontamination)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
