@@ -15,6 +15,7 @@ from tidemark.llm.phrase_dedup import without_repeats
 from tidemark.llm.quality import quality_features
 from tidemark.llm.secret_scan import digest, secret_spans
 from tidemark.llm.simhash_dedup import simhash_groups
+from tidemark.llm.token_alignment import align_tokens
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_store import read_store, write_store
 
@@ -74,9 +75,15 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = align_tokens(documents(spark, sf_dir), whole_groups=False)
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return groups.select("doc_id", *numbers, F.col("groups").cast("string").alias("groups_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_store, op3_phrase_dedup, op4_simhash_dedup, op5_learned_ann,
     op6_quality_cascade, op7_kd_sharding, op8_entropy_mixing, op9_packing, op10_secret_scan,
-    op11_decontamination)}
+    op11_decontamination, op12_token_alignment)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
