@@ -20,4 +20,4 @@ def test_sql(spark, name):
 def test_queries_are_registered():
     registered = queries()
     assert set(QUERIES) | {"pipeline"} <= set(registered)
-    assert [sum(n.startswith(f"op{i}_") for n in registered) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in registered) for i in range(1, 14)] == [1] * 13

@@ -68,4 +68,23 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, c
   sha256(coalesce(t, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
 from d left join hit using (rid) left join named using (rid)"""
 
-ORACLE_SQL = {"op11_decontamination": LEAKS, "op3_phrase_dedup": PHRASES, "op6_quality_cascade": QUALITY}
+NEGATIVES = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as hugeint)) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+  cast(row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as integer) as rank,
+  s.vec_id as negative_id, cast(p.score as bigint) as positive_score, cast(s.score as bigint) as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same
+  and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+qualify row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) <= 5"""
+
+ORACLE_SQL = {"op13_hard_negatives": NEGATIVES, "op11_decontamination": LEAKS, "op3_phrase_dedup": PHRASES, "op6_quality_cascade": QUALITY}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contamination
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.kd_sharding import kd_shards
 from tidemark.llm.learned_ann import nearest
 from tidemark.llm.mixing import mix
@@ -81,9 +82,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", *numbers, F.col("groups").cast("string").alias("groups_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_store, op3_phrase_dedup, op4_simhash_dedup, op5_learned_ann,
     op6_quality_cascade, op7_kd_sharding, op8_entropy_mixing, op9_packing, op10_secret_scan,
-    op11_decontamination, op12_token_alignment)}
+    op11_decontamination, op12_token_alignment, op13_hard_negatives)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
