@@ -91,3 +91,15 @@ def test_query(spark):
         w = want[r.doc_id]
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum) == (*w[1:5], *w[6:])
         assert r.groups_sha256 == (hashlib.sha256(w[5].encode()).hexdigest() if w[1] else "")
+
+
+def test_quick_ids_are_the_tokenizer_s():
+    """Where texts go to the faster library, and where they do not."""
+    side = token_alignment.FirstSide(public_tokenizers.path("byte_bpe_50k.json"))
+    assert side.quick is not None
+    r = random.Random(6)
+    parts = ["the", "The", "ÉTÉ", "don't", "x'S", "  ", "\n", "\t", " ", ",", ").", "123", "a1", "ß", "İ", "é", "日本", "한국", "🌍", "Привет", "αβγ", "<|endoftext|>", "—", "'", "ve", "½", "“q”", "\r\n", "ₓ", "\x1c", " "]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 30))) for _ in range(5000)] + ["x" * 3000, " " * 3000, "\n" * 3000]
+    want = [e.ids for e in side.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [ids.tolist() for ids in side(texts)] == want
+    assert 0 < sum(token_alignment.unsure(t) is not None for t in texts) < len(texts)

@@ -13,9 +13,11 @@ came to; a pair travels once a block, never once an occurrence."""
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -23,16 +25,30 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import block_number, slices, stored, texts_of, tokenizer_path
 from tidemark.llm.encoding import byte_letters
+from tidemark.llm.token_counts import MARK, model
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes whose tokens are aligned at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Characters without a space, or spaces, that tiktoken is given in a row.
+LONG_RUN = 1000
+WIDE_GAP = " " * LONG_RUN
+# Any character beyond these, whose classes have long been the same in all tables: Latin, Greek and Cyrillic letters,
+# punctuation and symbols, kana, Chinese characters, Hangul, pictures.
+unsure = re.compile("[^\t\n\r -~\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f5ff]").search
+#: Links of a group from which on its equal ids are counted before they are paired.
+LONG_GROUP = 256
 #: Bits of the second id in the key of a pair.
 SECOND_BITS = np.uint64(32)
 
 
 class FirstSide:
-    """Byte-level ids of a space and the text; strings of special tokens are plain text."""
+    """Byte-level ids of a space and the text; strings of special tokens are plain text.
+
+    Ids of merged tokens are numbered in the order of their merges, so tiktoken, given the entries as
+    ranks, makes the same merges much faster. Its tables of Unicode may differ from the other
+    library's, and it takes long over a long unbroken run, so only texts of well-known characters
+    and bounded runs go there."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,55 +61,86 @@ class FirstSide:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         entries = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = [bytes(of[c] for c in e) if all(c in of for c in e) else e.encode() for e in entries]
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        self.quick = self._ranked(path)
+
+    def _ranked(self, path: str):
+        """tiktoken's encoding of the same vocabulary, if it has the form that this asks for."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        bpe, cut = told["model"], told.get("pre_tokenizer") or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in bpe.get("merges", [])]
+        # single bytes first, then one entry for each merge, in their order
+        ordered = all(bpe["vocab"].get(x + y) == 256 + i for i, (x, y) in enumerate(merges))
+        if not (merges and ordered and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and told.get("normalizer") is None):
+            return None
+        ranks = {self.bytes[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            if self.quick is None or unsure(text) or WIDE_GAP in text or max(map(len, text.split(" "))) > LONG_RUN:
+                out.append(np.array(self.tokenizer.encode(" " + text, add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(self.quick.encode_to_numpy(" " + text, disallowed_special=()))
+        return out
 
 
 class SecondSide:
     """Pieces with a mark for each space; the model itself sets a space before the text."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model(path)
         self.bytes = [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
+            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode()
             for i, p in enumerate(map(self.model.id_to_piece, range(self.model.get_piece_size())))]
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
 
 
-class Side:
-    """A tokenizer's ids, their lengths in bytes, and their decimals with each ending of a group's text."""
+class Sides:
+    """Both tokenizers: the ids of texts, lengths in bytes, and decimals with each ending of a group's text."""
 
-    def __init__(self, ids_of, last: str):
-        self.ids_of = ids_of
-        self.lengths = np.array([len(b) for b in ids_of.bytes], np.int64)
+    def __init__(self, first: str, second: str):
+        self.both = FirstSide(first), SecondSide(second)
+        self.lengths = [np.array([len(b) for b in side.bytes], np.int64) for side in self.both]
         # a token that another of its side follows, and the side's last one of a group
-        self.texts = np.array([f"{i}{end}" for end in (",", last) for i in range(len(ids_of.bytes))], object)
-
-    def covers(self, ids: list[int], data: bytes) -> bool:
-        return b"".join(map(self.ids_of.bytes.__getitem__, ids)) == data
+        self.texts = [np.array([f"{i}{end}" for end in (",", last) for i in range(len(side.bytes))], object) for side, last in zip(self.both, "|;")]
 
+    def ids(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of a space and each text by both sides; none where a side's do not spell that."""
+        none = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        filled = [t for t in texts if t]
+        found = iter(list(zip(*(side([t.decode() for t in filled]) for side in self.both))))
+        pairs = [next(found) if t else none for t in texts]
+        return [pair if t and all(b"".join(map(side.bytes.__getitem__, ids.tolist())) == b" " + t for side, ids in zip(self.both, pair)) else none for t, pair in zip(texts, pairs)]
 
-@lru_cache(maxsize=2)
-def sides(first: str, second: str) -> tuple[Side, Side]:
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Side(FirstSide(first), "|"), Side(SecondSide(second), ";")
+@lru_cache(maxsize=1)
+def sides(first: str, second: str) -> Sides:
+    return Sides(first, second)
 
 
 def farthest(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     """For the ends of two rows of tokens that cover the same bytes: each token's successor, tokens of
     the second row counted after those of the first."""
-    over_a = np.searchsorted(b_ends, a_ends)  # the token of b that holds a's last byte
-    over_b = np.searchsorted(a_ends, b_ends)
-    a, b = np.arange(len(a_ends)), np.arange(len(b_ends))
-    to = np.concatenate([np.where(b_ends[over_a] == a_ends, a, len(a) + over_a), over_b])
-    return to if len(a) else b
+    def holds(ends: np.ndarray, last_bytes: np.ndarray) -> np.ndarray:
+        """The token that holds each of the bytes: as many as end before it stand before it."""
+        before = np.zeros(ends[-1] + 1, np.int32)
+        before[ends] = 1
+        return np.cumsum(before, dtype=np.int32)[last_bytes]
+
+    if not len(a_ends):
+        return np.zeros(0, np.int32)
+    over_a, over_b = holds(b_ends, a_ends - 1), holds(a_ends, b_ends - 1)
+    a = np.arange(len(a_ends), dtype=np.int32)
+    return np.concatenate([np.where(b_ends[over_a] == a_ends, a, len(a) + over_a), over_b]).astype(np.int32)
 
 
 def jumped(to: np.ndarray) -> np.ndarray:
@@ -115,20 +162,24 @@ def aligned(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _pairs(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group, key and number of the linked pairs of ids of each group: equal ids of a side in a group
-    are counted first, so that a long group of few ids has few pairs."""
+    """Group, key and number of the linked pairs of ids of each group. Where a group is long, equal ids
+    of a side are counted first, so that a long group of few ids has few pairs."""
     def counted(ids, group):
         key, n = np.unique(group.astype(np.uint64) << SECOND_BITS | ids.astype(np.uint64), return_counts=True)
         return (key >> SECOND_BITS).astype(np.int64), key & np.uint64(0xFFFFFFFF), n
 
-    ga, ia, na = counted(a, a_group)
-    gb, ib, nb = counted(b, b_group)
     groups = int(a_group[-1]) + 1 if len(a_group) else 0
+    sizes = np.bincount(a_group, minlength=groups) * np.bincount(b_group, minlength=groups)
+    if groups and sizes.max() > LONG_GROUP:
+        ga, ia, na = counted(a, a_group)
+        gb, ib, nb = counted(b, b_group)
+    else:
+        (ga, ia, na), (gb, ib, nb) = ((g, i.astype(np.uint64), np.ones(len(i), np.int64)) for g, i in ((a_group, a), (b_group, b)))
     many = np.bincount(gb, minlength=groups)  # partners of each entry of a
     begin = np.concatenate([[0], np.cumsum(many)[:-1]]) if groups else np.zeros(0, np.int64)
-    left = np.repeat(np.arange(len(ga)), many[ga])
-    inside = np.arange(len(left)) - np.repeat(np.cumsum(many[ga]) - many[ga], many[ga])
-    right = begin[ga[left]] + inside
+    partners = many[ga]
+    left = np.repeat(np.arange(len(ga)), partners)
+    right = np.arange(len(left)) + np.repeat(begin[ga] - np.cumsum(partners) + partners, partners)
     return ga[left], ia[left] << SECOND_BITS | ib[right], na[left] * nb[right]
 
 
@@ -139,7 +190,7 @@ BLOCK_DDL = "block long, docs binary, links binary, keys array<long>, docs_with
 DOCS = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [("groups", pa.binary())])
 
 
-def _groups_text(side_a: Side, side_b: Side, a, a_group, b, b_group) -> np.ndarray:
+def _groups_text(sides: Sides, a, a_group, b, b_group) -> np.ndarray:
     """The decimals of all tokens with what follows each, groups in order and in each the first side before the second."""
     out = np.empty(len(a) + len(b), object)
     a_last = np.append(a_group[1:] != a_group[:-1], True) if len(a) else np.zeros(0, bool)
@@ -147,40 +198,32 @@ def _groups_text(side_a: Side, side_b: Side, a, a_group, b, b_group) -> np.ndarr
     # before a token stand all of its side, and of the other side those of earlier groups, or of its own too
     at_a = np.arange(len(a)) + np.searchsorted(b_group, a_group, "left")
     at_b = np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
-    out[at_a] = side_a.texts[a + a_last * len(side_a.lengths)]
-    out[at_b] = side_b.texts[b + b_last * len(side_b.lengths)]
+    out[at_a] = sides.texts[0][a + a_last * len(sides.lengths[0])]
+    out[at_b] = sides.texts[1][b + b_last * len(sides.lengths[1])]
     return out
 
 
 def _aligner(first: str, second: str, whole_groups: bool):
     def align(batches):
-        side_a, side_b = sides(first, second)
+        both = sides(first, second)
         numbers = block_number()
         pack = zstandard.ZstdCompressor(3).compress
         for doc_ids, texts in slices(batches, BLOCK_BYTES):
-            plain = [t.decode() for t in texts]
-            filled = [i for i, t in enumerate(texts) if t]
-            ids = [side.ids_of([plain[i] for i in filled]) for side in (side_a, side_b)]
-            a_of, b_of = [[] for _ in texts], [[] for _ in texts]
-            for i, a, b in zip(filled, *ids):
-                if side_a.covers(a, data := b" " + texts[i]) and side_b.covers(b, data):
-                    a_of[i], b_of[i] = a, b
-            n_a, n_b = (np.fromiter(map(len, of), np.int64, len(texts)) for of in (a_of, b_of))
-            a, b = (np.fromiter((x for ids in of for x in ids), np.int64, int(n.sum())) for of, n in ((a_of, n_a), (b_of, n_b)))
-            a_group, b_group = aligned(np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b]))
+            (a, n_a), (b, n_b) = ((np.concatenate(of).astype(np.int64), np.array([len(x) for x in of], np.int64)) for of in zip(*both.ids(texts)))
+            a_group, b_group = aligned(np.cumsum(both.lengths[0][a]), np.cumsum(both.lengths[1][b]))
             # documents end where both sides end, so no group reaches from one into the next
             a_doc = np.repeat(np.arange(len(texts)), n_a)
             doc_of = a_doc[np.flatnonzero(np.append(a_group[1:] != a_group[:-1], True))] if len(a) else np.zeros(0, np.int64)
             n_groups = np.bincount(doc_of, minlength=len(texts))
             group, key, times = _pairs(a, a_group, b, b_group)
-            keys, where = np.unique(key, return_inverse=True)
+            where, keys = pd.factorize(key)
             # a pair's links of one document together: where it is among the keys, how often
-            link, at = np.unique(doc_of[group] * max(1, len(keys)) + where, return_inverse=True)
+            at, link = pd.factorize(doc_of[group] * max(1, len(keys)) + where)
             times = np.bincount(at, times, len(link)).astype(np.int64)
             doc, where = np.divmod(link, max(1, len(keys)))
             n_links = np.bincount(doc, times, len(texts)).astype(np.int64)
             docs_with = np.bincount(where, minlength=len(keys))
-            pieces = _groups_text(side_a, side_b, a, a_group, b, b_group)
+            pieces = _groups_text(both, a, a_group, b, b_group)
             ends = np.cumsum(n_a + n_b)
             told = []
             for n, end in zip((n_a + n_b).tolist(), ends.tolist()):
@@ -202,29 +245,25 @@ def _written(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _told(batches):
-    """Each document with the sums over its links."""
+TOLD = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, n_best long, count_sum long"
+
+
+def _told(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of a block, each with the sums over its links."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for i in range(batch.num_rows):
-            docs = pa.ipc.open_stream(unpack(batch.column("docs")[i].as_py())).read_all()
-            links = unpack(batch.column("links")[i].as_py())
-            n = docs.num_rows
-            per_doc = np.frombuffer(links, np.uint32, n).astype(np.int64)
-            total = int(per_doc.sum())
-            where = np.frombuffer(links, np.uint32, total, 4 * n)
-            times = np.frombuffer(links, np.int64, total, 4 * (n + total))
-            answer = batch.column("answers")[i]
-            count, best = np.zeros((2, len(answer.values) if answer.is_valid else 0), np.int64)
-            if len(count):
-                at = answer.values.field("at").to_numpy()
-                count[at], best[at] = answer.values.field("count").to_numpy(), answer.values.field("best").to_numpy(zero_copy_only=False)
-            # sums of long numbers over the links of each document
-            ends = np.cumsum(per_doc)
-            sums = [np.concatenate([[0], np.cumsum(times * x[where])]) for x in (best, count)]
-            n_best, count_sum = (s[ends] - s[ends - per_doc] for s in sums)
-            out = docs.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
-            yield from out.combine_chunks().to_batches()
+    docs = pa.ipc.open_stream(unpack(block.column("docs")[0].as_py())).read_all()
+    links, n = unpack(block.column("links")[0].as_py()), docs.num_rows
+    per_doc = np.frombuffer(links, np.uint32, n).astype(np.int64)
+    total = int(per_doc.sum())
+    where = np.frombuffer(links, np.uint32, total, 4 * n)
+    times = np.frombuffer(links, np.int64, total, 4 * (n + total))
+    ends = np.cumsum(per_doc)
+    for name, column in (("n_best", "best"), ("count_sum", "count")):
+        of_key = np.zeros(answers.num_rows, np.int64)
+        of_key[answers.column("at").to_numpy()] = answers.column(column).to_numpy()
+        sums = np.concatenate([[0], np.cumsum(times * of_key[where])])
+        docs = docs.append_column(name, pa.array(sums[ends] - sums[ends - per_doc]))
+    return docs
 
 
 def align_tokens(docs: DataFrame, first: str | None = None, second: str | None = None, whole_groups: bool = True) -> DataFrame:
@@ -244,6 +283,6 @@ def align_tokens(docs: DataFrame, first: str | None = None, second: str | None =
     # the pairs of one first id are no more than the second tokenizer has ids
     same_first = Window.partitionBy(F.shiftright("key", int(SECOND_BITS)))
     known = stored(counts.withColumn("best", F.col("count") == F.max("count").over(same_first)), "linked-pairs")
-    answers = asked.join(known, "key").groupBy("block").agg(F.collect_list(F.struct("at", "count", "best")).alias("answers"))
-    whole = blocks.select("block", "docs", "links").join(answers, "block", "left").select("docs", "links", "answers")
-    return whole.mapInArrow(_told, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, n_best long, count_sum long")
+    answers = asked.join(known, "key").select("block", "at", "count", F.col("best").cast("int").alias("best"))
+    whole = blocks.select(F.col("block").alias("of"), "docs", "links").groupBy("of").cogroup(answers.groupBy("block"))
+    return whole.applyInArrow(_told, TOLD)
