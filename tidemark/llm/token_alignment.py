@@ -29,7 +29,7 @@ from tidemark.llm.token_counts import MARK, model
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes whose tokens are aligned at a time.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 #: Characters without a space, or spaces, that tiktoken is given in a row.
 LONG_RUN = 1000
 WIDE_GAP = " " * LONG_RUN
@@ -258,9 +258,9 @@ def _told(block: pa.Table, answers: pa.Table) -> pa.Table:
     where = np.frombuffer(links, np.uint32, total, 4 * n)
     times = np.frombuffer(links, np.int64, total, 4 * (n + total))
     ends = np.cumsum(per_doc)
-    for name, column in (("n_best", "best"), ("count_sum", "count")):
-        of_key = np.zeros(answers.num_rows, np.int64)
-        of_key[answers.column("at").to_numpy()] = answers.column(column).to_numpy()
+    told = np.zeros(answers.num_rows, np.int64)
+    told[answers.column("at").to_numpy()] = answers.column("told").to_numpy()
+    for name, of_key in (("n_best", told & 1), ("count_sum", told >> 1)):
         sums = np.concatenate([[0], np.cumsum(times * of_key[where])])
         docs = docs.append_column(name, pa.array(sums[ends] - sums[ends - per_doc]))
     return docs
@@ -282,7 +282,9 @@ def align_tokens(docs: DataFrame, first: str | None = None, second: str | None =
     counts = asked.groupBy("key").agg(F.sum("n").alias("count"))
     # the pairs of one first id are no more than the second tokenizer has ids
     same_first = Window.partitionBy(F.shiftright("key", int(SECOND_BITS)))
-    known = stored(counts.withColumn("best", F.col("count") == F.max("count").over(same_first)), "linked-pairs")
-    answers = asked.join(known, "key").select("block", "at", "count", F.col("best").cast("int").alias("best"))
+    best = F.col("count") == F.max("count").over(same_first)
+    # a pair's documents, and in the last bit whether it is the best of its first id
+    known = stored(counts.select("key", (F.col("count") * 2 + best.cast("int")).alias("told")), "linked-pairs")
+    answers = asked.join(known, "key").select("block", "at", "told")
     whole = blocks.select(F.col("block").alias("of"), "docs", "links").groupBy("of").cogroup(answers.groupBy("block"))
     return whole.applyInArrow(_told, TOLD)
