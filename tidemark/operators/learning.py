@@ -9,7 +9,7 @@ they are stored for the bounded number of rows that a model is fitted on, and no
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (MultilayerPerceptronClassificationModel,
@@ -53,6 +53,8 @@ class Learning:
     params: LearnParams
     trends: TrendParams
     fitted: DataFrame
+    #: Losses on the validating rows of models that were trained step by step.
+    losses: dict[str, list[float]] = field(default_factory=dict)
 
     def sequences(self, split: str) -> DataFrame:
         """One sequence for every row of a part, made where they are read and never stored."""
@@ -100,12 +102,43 @@ def prepare_learning(prices: DataFrame, p: TrendParams = DEFAULT,
     return Learning(table, scaler, l, p, stored(chosen_sequences(table, l), "sequences"))
 
 
-def train_trend_classifier(data: Learning, kind: str) -> Model:
+def log_loss(model: Model, rows: DataFrame) -> float | None:
+    """The mean of what each row's true class was thought unlikely by; none without rows."""
+    told = model.transform(rows).select(vector_to_array(model.getProbabilityCol()).alias("p"), F.col(model.getLabelCol()).cast("int").alias("y"))
+    return told.agg(F.avg(-F.log(F.greatest(F.get("p", F.col("y")), F.lit(1e-15))))).head()[0]
+
+
+def fit_with_patience(learner, steps: int, each: int, patience: int, train: DataFrame,
+                      held: DataFrame) -> tuple[Model, list[float | None]]:
+    """Trains `each` iterations at a time, every time from the weights reached so far, and judges them
+    on the held rows. It ends after `steps` iterations, after `patience` judgements without a better
+    one, or when the weights no longer change; the best weights are returned with all judgements.
+    Without held rows it trains to the end."""
+    best, losses, least, weights = None, [], None, None
+    while len(losses) * each < steps:
+        some = learner.copy().setMaxIter(min(each, steps - len(losses) * each))
+        model = (some.setInitialWeights(weights) if weights is not None else some).fit(train)
+        loss = log_loss(model, held)
+        settled = weights is not None and model.weights == weights
+        weights = model.weights
+        losses.append(loss)
+        if best is None or loss is None or loss < least:
+            best, least, waited = model, loss, 0
+        else:
+            waited += 1
+        if settled or waited >= patience:
+            break
+    return best, losses
+
+
+def train_trend_classifier(data: Learning, kind: str) -> tuple[Model, list[float]]:
+    """The classifier at its best step, and its losses on the validating rows step by step."""
     l = data.params
     layers = [l.lookback * len(FEATURES), *l.hidden_layers, 3]
     learner = MultilayerPerceptronClassifier(
-        labelCol=f"{kind}_trend_label", layers=layers, maxIter=l.max_iter, seed=l.seed)
-    return learner.fit(data.fitted.where("not validates"))
+        labelCol=f"{kind}_trend_label", layers=layers, seed=l.seed)
+    train, held = (data.fitted.where(F.col("validates") == v) for v in (False, True))
+    return fit_with_patience(learner, l.max_iter, l.step_iter, l.patience, train, held)
 
 
 def train_reversal_regressor(data: Learning, kind: str) -> Model:
@@ -125,7 +158,9 @@ def train_confidence(data: Learning) -> Model:
 
 
 def train_models(data: Learning) -> dict[str, Model]:
-    models = {f"{k}_trend_classifier": train_trend_classifier(data, k) for k in KINDS}
+    models = {}
+    for k in KINDS:
+        models[f"{k}_trend_classifier"], data.losses[f"{k}_trend_classifier"] = train_trend_classifier(data, k)
     models.update({f"{k}_reversal_regressor": train_reversal_regressor(data, k) for k in KINDS})
     models["confidence_estimator"] = train_confidence(data)
     return models
@@ -147,19 +182,20 @@ def evaluate_models(models: dict[str, Model], rows: DataFrame) -> DataFrame:
     return told.agg(F.array(*parts).alias("m")).select(F.explode("m").alias("m")).select("m.*")
 
 
-def histories(models: dict[str, Model], fitted: DataFrame) -> DataFrame:
-    """How each model's loss fell while it was trained, where its learner tells."""
-    rows = []
+def histories(models: dict[str, Model], data: Learning) -> DataFrame:
+    """Each model's loss on the validating rows step by step while it was trained; the deviance of
+    one that is fitted at once."""
+    rows, fitted = [], data.fitted
     for name, m in models.items():
         losses: list[float] = []
-        if isinstance(m, MultilayerPerceptronClassificationModel) and m.hasSummary:
-            losses = list(m.summary().objectiveHistory)
+        if name in data.losses:
+            losses = data.losses[name]
         elif isinstance(m, GBTRegressionModel):
             held = fitted.where("validates").select("features", F.col(MODELS[name][0]).alias(m.getLabelCol()))
             losses = list(m.evaluateEachIteration(held, "squared")) if not held.isEmpty() else []
         elif m.hasSummary:
             losses = [m.summary.deviance]
-        rows += [(name, i, float(x)) for i, x in enumerate(losses)]
+        rows += [(name, i, None if x is None else float(x)) for i, x in enumerate(losses)]
     return fitted.sparkSession.createDataFrame(rows, "model string, step int, loss double")
 
 
@@ -196,7 +232,7 @@ def save_models(models: dict[str, Model], metrics: DataFrame, data: Learning, ro
     for name, model in models.items():
         model.write().save(f"{root}/{name}")
     metrics.write.json(f"{root}/metrics")
-    histories(models, data.fitted).write.json(f"{root}/history")
+    histories(models, data).write.json(f"{root}/history")
     data.scaler.write.parquet(f"{root}/scaler")
     told = json.dumps({"learning": asdict(data.params), "trends": asdict(data.trends)})
     spark.createDataFrame([(told,)], "parameters string").write.text(f"{root}/parameters")
@@ -204,11 +240,14 @@ def save_models(models: dict[str, Model], metrics: DataFrame, data: Learning, ro
                           "model string, training_date string").write.json(f"{root}/contents")
 
 
-def load_models(spark: SparkSession, root: str) -> dict[str, Model]:
+def load_contents(spark: SparkSession, root: str) -> list[str]:
     """The models listed in the table of contents (at most the five known names)."""
     listed = spark.read.schema("model string").json(f"{root}/contents")
-    names = [r.model for r in listed.where(F.col("model").isin(list(MODELS))).collect()]
-    return {name: MODELS[name][1].load(f"{root}/{name}") for name in names}
+    return [r.model for r in listed.where(F.col("model").isin(list(MODELS))).collect()]
+
+
+def load_models(spark: SparkSession, root: str) -> dict[str, Model]:
+    return {name: MODELS[name][1].load(f"{root}/{name}") for name in load_contents(spark, root)}
 
 
 def load_saved(spark: SparkSession, root: str) -> Saved:

@@ -75,6 +75,10 @@ class LearnParams:
     lookback: int = 60
     hidden_layers: tuple = (64, 32, 16)
     max_iter: int = 100
+    # A classifier is judged after so many iterations, and trained on while one of the last
+    # `patience` judgements was the best so far.
+    step_iter: int = 20
+    patience: int = 2
     tree_iter: int = 20
     tree_depth: int = 4
     seed: int = 42
@@ -83,5 +87,5 @@ class LearnParams:
     fit_rows: int = 2000
 
     def __post_init__(self):
-        if min(self.lookback, self.max_iter, self.tree_iter, self.fit_rows) < 1:
-            raise ValueError("lookback, max_iter, tree_iter and fit_rows must be positive")
+        if min(self.lookback, self.max_iter, self.step_iter, self.patience, self.tree_iter, self.fit_rows) < 1:
+            raise ValueError("lookback, iterations, patience and fit_rows must be positive")

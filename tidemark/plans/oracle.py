@@ -657,6 +657,10 @@ judged_rows as (select count(*) as rows from l1 where i > floor(n * cast(0.8 as
 select model, cast(1020 as integer) as inputs, cast(outputs as integer) as outputs, rows from judged_rows,
   (values ('short_trend_classifier', 3), ('long_trend_classifier', 3), ('short_reversal_regressor', 1),
           ('long_reversal_regressor', 1), ('confidence_estimator', 1)) m(model, outputs)"""),
+        "model_table_scores": sql(BARS, """
+select model, count(distinct stock_code) as codes, cast(0 as bigint) as differing
+from bars, (values ('short_trend_classifier'), ('long_trend_classifier'), ('short_reversal_regressor'),
+                   ('long_reversal_regressor'), ('confidence_estimator')) m(model) group by 1"""),
         "model_roundtrip": sql(LISTED, """
 select (select count(*) from listed) + (select count(*) from nation) as codes, cast(0 as bigint) as differing"""),
         "full_pipeline_errors": sql(LISTED, """

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.series import CODE, lay_out, settle, with_position
 from ..functions.ewm import macd
-from ..operators import cleaning, ensembles, features, forecasts, indicators, learning
+from ..operators import cleaning, ensembles, features, forecasts, indicators, learning, model_tables
 from ..operators import reversals as turns
 from ..operators import selection, trends
 from ..operators.evaluation import eval_classification, eval_regression
@@ -735,7 +735,8 @@ def eval_regression_fixed(spark, d):
 QUERIES["eval_regression"] = QUERIES.pop("eval_regression_fixed")
 
 
-# What one session has trained on one folder: the queries that look at models share it.
+# The folder that one session has saved models of one input to: the queries that only read saved
+# models share it. Those that train do so each time.
 _TRAINED: dict[tuple[str, str], tuple] = {}
 
 
@@ -749,9 +750,8 @@ def trained(spark, d):
     return _TRAINED[key]
 
 
-def judged(spark, d, name: str) -> DataFrame:
-    _, models, data, _ = trained(spark, d)
-    return learning.evaluate_models({name: models[name]}, data.sequences("test"))
+def judged(data: learning.Learning, name: str, model) -> DataFrame:
+    return learning.evaluate_models({name: model}, data.sequences("test"))
 
 
 @query
@@ -775,17 +775,21 @@ def learning_scaler(spark, d):
 
 @query
 def train_trend_classifier(spark, d):
-    return judged(spark, d, "short_trend_classifier")
+    data = learning.prepare_learning(bars(spark, d), WIDE)
+    model, _ = learning.train_trend_classifier(data, "short")
+    return judged(data, "short_trend_classifier", model)
 
 
 @query
 def train_reversal_regressor(spark, d):
-    return judged(spark, d, "short_reversal_regressor")
+    data = learning.prepare_learning(bars(spark, d), WIDE)
+    return judged(data, "short_reversal_regressor", learning.train_reversal_regressor(data, "short"))
 
 
 @query
 def train_confidence(spark, d):
-    return judged(spark, d, "confidence_estimator")
+    data = learning.prepare_learning(bars(spark, d), WIDE)
+    return judged(data, "confidence_estimator", learning.train_confidence(data))
 
 
 def model_inputs(spark, d) -> tuple[dict, DataFrame]:
@@ -806,9 +810,19 @@ def predict_reversal_model(spark, d):
     return learning.predict_reversal(answers, forecasts.profile(bars(spark, d), WIDE), "long")
 
 
+@query
+def model_table_scores(spark, d):
+    """For how many codes the answers of the saved models' tables, by joins and sums over layers,
+    trees and coefficients, differ from those of the models."""
+    root = trained(spark, d)[0]
+    models, inputs = model_inputs(spark, d)
+    return model_tables.table_differences(models, spark, root, tables.stored(inputs, "inputs"))
+
+
 @query
 def update_models(spark, d):
-    return trained(spark, d)[3]
+    from .pipeline import update_models as update
+    return update(bars(spark, d), workspace(spark, "models"), RUN_TS, WIDE)[2]
 
 
 @query
