@@ -116,3 +116,46 @@ def test_forecasts_of_sliced_series(price_table):
         for c in ("short_reversal_price", "long_reversal_price", "short_confidence", "long_confidence"):
             assert [r[c] for r in a] == pytest.approx([r[c] for r in b])
         assert [(r.short_trend, r.long_trend) for r in a] == [(r.short_trend, r.long_trend) for r in b]
+
+
+def greedy(rows, distance):
+    """Highest first, the later one first among equals; rows are (pos, height)."""
+    taken, kept = set(), []
+    for pos, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True):
+        if not any(x in taken for x in range(pos - distance + 1, pos + distance)):
+            taken.add(pos)
+            kept.append(pos)
+    return sorted(kept)
+
+
+def heights(n, seed=None):
+    """A rising chain, or steps up and down with many equal heights."""
+    rng = np.random.default_rng(seed)
+    pos = np.cumsum(rng.integers(2, 6, n))
+    h = np.arange(n, dtype=float) if seed is None else rng.integers(-2, 4, n).cumsum().astype(float)
+    return [(int(p), float(x)) for p, x in zip(pos, h)]
+
+
+def test_chains_over_many_slabs(spark, monkeypatch):
+    """What hangs on its neighbour all along a series is decided a slab at a time."""
+    monkeypatch.setattr(rev, "SPAN", 2048)
+    series = {"00001": heights(6000), "00002": heights(3000, 1), "00003": heights(3000, 2), "00004": heights(1)}
+
+    rows = [(code, "peak" if x else "trough", None, p, h if x else -h, 1.0, p // 2048) for code, of in series.items() for p, h in of for x in (True, False)]
+    found = spark.createDataFrame(rows, "stock_code string, type string, date date, pos long, v double, close double, slab long")
+    out = rev.keep_apart(found, 12)
+    assert out.columns == found.columns
+    got = out.collect()
+    for code, of in series.items():
+        for kind in ("peak", "trough"):
+            assert sorted(r.pos for r in got if r[CODE] == code and r.type == kind) == greedy(of, 12), (code, kind)
+
+
+def test_a_slab_sees_no_more_than_its_borders():
+    """Rows of other slabs stay open, so a slab never says more than it knows."""
+    import pyarrow as pa
+    rows = [(5, 1.0, True, False), (12, 2.0, True, False), (20, 3.0, False, False), (40, 1.0, True, False), (47, 9.0, False, True)]
+    table = pa.table({"pos": [r[0] for r in rows], "h": [r[1] for r in rows], "own": [r[2] for r in rows], "kept": [r[3] for r in rows]})
+    out = rev._decide(10)(table).to_pydict()
+    # 12 hangs on 20, and 5 on 12; 40 is near a kept one
+    assert list(zip(out["pos"], out["state"])) == [(5, rev.OPEN), (12, rev.OPEN)]

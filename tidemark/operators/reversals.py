@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.series import (CODE, is_sliced, position_columns, prior, series_window,
                                 slab_of, ties, with_neighbours)
 from ..params import KINDS, TrendParams
+from ..session import workspace
 from .indicators import DEFAULT, ensure_ma, ma_columns
 from .selection import union_sources
 
@@ -81,32 +87,14 @@ def sliced_extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
 
 def with_tops(found: DataFrame, distance: int) -> DataFrame:
     """Adds ``top``, ``beaten`` and ``stretch`` (the position of the last top so far)."""
-    sliced = is_sliced(found)
-    if sliced:
-        margin = 2 * distance
-        at, own = F.col("pos") % SPAN, F.col("slab")
-        copies = F.array_compact(F.array(own, F.when(at < margin, own - 1),
-                                         F.when(at >= SPAN - margin, own + 1)))
-        found = found.withColumn("slab", F.explode(copies))
-    keys = [CODE, "type"] + (["slab"] if sliced else [])
-    order = Window.partitionBy(*keys).orderBy("pos")
+    order = Window.partitionBy(CODE, "type").orderBy("pos")
     near = order.rangeBetween(1 - distance, distance - 1)
     top = F.max(F.struct("h", "pos")).over(near)["pos"] == F.col("pos")
     found = found.withColumn("top", top).withColumn(
         "beaten", ~F.col("top") & F.max("top").over(near))
-    if sliced:
-        found = found.where(F.col("slab") == slab_of("pos", SPAN))
     top_at = F.when(F.col("top"), F.col("pos"))
-    found = found.withColumn("stretch", F.max(top_at).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)))
-    if sliced:
-        tops = found.groupBy(*keys).agg(F.max(top_at).alias("last"))
-        past = (Window.partitionBy(CODE, "type").orderBy("slab")
-                .rowsBetween(Window.unboundedPreceding, -1))
-        tops = tops.select(*keys, F.max("last").over(past).alias("carried"))
-        found = found.join(tops.hint("merge"), keys).withColumn(
-            "stretch", F.coalesce("stretch", "carried"))
-    return found.withColumn("stretch", F.coalesce("stretch", F.lit(-1)))
+    return found.withColumn("stretch", F.coalesce(F.max(top_at).over(
+        order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)))
 
 
 def keep_apart(found: DataFrame, distance: int) -> DataFrame:
@@ -115,21 +103,79 @@ def keep_apart(found: DataFrame, distance: int) -> DataFrame:
 
     An extreme that is the highest within ``distance`` on both sides is certainly kept and
     certainly removes its neighbours, so nothing acts across it: the series falls apart
-    into short independent stretches and only those are folded, each by itself."""
+    into short independent stretches and only those are folded, each by itself. A series in
+    slabs, whose stretches may be of any length, is decided slab by slab in rounds."""
     if distance <= 2:
         return found  # two strict extremes of one type are never closer than that
     height = F.when(F.col("type") == "peak", F.col("v")).otherwise(-F.col("v"))
-    sliced = is_sliced(found)
-    found = with_tops(found.withColumn("h", height), distance)
+    found = found.withColumn("h", height)
+    if is_sliced(found):
+        return keep_apart_in_rounds(found, distance).drop("h")
+    found = with_tops(found, distance)
     stretch = found.where(~F.col("beaten")).groupBy(CODE, "type", "stretch").agg(
         F.sort_array(F.collect_list(F.struct("h", "pos", "date", "v", "close")), asc=False)
         .alias("all"))
     clear = lambda kept, x: ~F.exists(kept, lambda k: F.abs(k["pos"] - x["pos"]) < distance)
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(
         clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    out = (stretch.select(CODE, "type", F.explode(kept).alias("x"))
-           .select(CODE, "type", "x.date", "x.pos", "x.v", "x.close"))
-    return out.withColumn("slab", slab_of("pos", SPAN)) if sliced else out
+    return (stretch.select(CODE, "type", F.explode(kept).alias("x"))
+            .select(CODE, "type", "x.date", "x.pos", "x.v", "x.close"))
+
+
+# What is known of an extreme: a lower one that was not looked at yet, or a dropped one, acts on none.
+SILENT, KEPT, OPEN = 0, 1, 2
+
+
+def _decide(distance: int):
+    """What a slab alone can say of its own extremes, highest first: one near a kept one goes, one
+    near a higher one that another slab has yet to decide stays open, any other one is kept."""
+    def decide(table: pa.Table) -> pa.Table:
+        pos, h = table.column("pos").to_numpy(), table.column("h").to_numpy()
+        order = np.argsort(pos, kind="stable")
+        pos, h = pos[order], h[order]
+        own, kept = (table.column(c).to_numpy()[order] for c in ("own", "kept"))
+        start, end = np.searchsorted(pos, pos - distance, "right"), np.searchsorted(pos, pos + distance)
+        state = np.zeros(len(pos), np.int8)
+        for i in np.lexsort((pos, h))[::-1]:
+            if kept[i]:
+                state[i] = KEPT
+            elif not own[i]:
+                state[i] = OPEN
+            else:
+                near = state[start[i]:end[i]]
+                state[i] = SILENT if (near == KEPT).any() else OPEN if (near == OPEN).any() else KEPT
+        told = own & ~kept & (state != SILENT)
+        rows = table.drop_columns(["own", "kept"]).take(pa.array(order[told]))
+        return rows.append_column("state", pa.array(state[told].astype(np.int32)))
+    return decide
+
+
+def keep_apart_in_rounds(found: DataFrame, distance: int) -> DataFrame:
+    """``keep_apart`` for a series in slabs of ``SPAN`` positions. A slab sees its own extremes and those of
+    its neighbours within ``distance`` of the border. What hangs on a neighbour's open ones waits
+    for the next round, to which only open extremes and kept ones at a border go on. The
+    highest open extreme is decided in each round, and with it all that hangs on it within its
+    slab: a chain over many slabs takes a round a slab, and no task holds more than one."""
+    spark, root = found.sparkSession, workspace(found.sparkSession, "kept-apart")
+    columns = found.columns
+    schema = T.StructType([*found.schema.fields, T.StructField("state", T.IntegerType())])
+    at = F.col("pos") % SPAN
+    before, after = at < distance, at >= SPAN - distance
+    play = found.withColumn("kept", F.lit(False))
+    for step in itertools.count():
+        copies = F.array_compact(F.array(
+            F.struct(F.col("slab").alias("to"), F.lit(True).alias("own")),
+            F.when(before, F.struct((F.col("slab") - 1).alias("to"), F.lit(False).alias("own"))),
+            F.when(after, F.struct((F.col("slab") + 1).alias("to"), F.lit(False).alias("own")))))
+        near = play.withColumn("copy", F.explode(copies)).withColumns({"slab": F.col("copy.to"), "own": F.col("copy.own")}).drop("copy")
+        told = near.groupBy(CODE, "type", "slab").applyInArrow(_decide(distance), schema)
+        told.write.parquet(f"{root}/step={step}")
+        done = spark.read.schema(schema).parquet(f"{root}/step={step}")
+        if done.where(F.col("state") == OPEN).isEmpty():
+            break
+        kept = F.col("state") == KEPT
+        play = done.where(~kept | before | after).withColumn("kept", kept).drop("state")
+    return spark.read.schema(schema).parquet(f"{root}/*").where(F.col("state") == KEPT).select(*columns)
 
 
 def reversals(prices: DataFrame, kind: str = "short", p: TrendParams = DEFAULT) -> DataFrame:
