@@ -1,3 +1,4 @@
+import re
 import numpy as np
 import pandas as pd
 import pytest
@@ -153,3 +154,33 @@ def test_numbers_are_not_java_literals(spark):
 def test_last_day_with_times(spark):
     df = spark.sql("select timestamp_ntz'2025-01-02 15:00:00' as date union all select timestamp_ntz'2025-01-03 00:00:00'")
     assert selection.date_filter(df, "2025-01-02", "2025-01-02").count() == 1
+
+
+def test_every_row_is_kept_or_rejected_with_its_first_fault(spark, tmp_path):
+    rows = [("1", "2024-01-02", "10", "12", "9", "11", "5"), ("2", "2024-01-02", "10", "12", "9", "11", "x"),
+            ("3", "2024-13-02", "a", "12", "9", "11", "5"), ("4", "2024-01-02", "a", "8", "9", "11", "5"),
+            ("5", "2024-01-02", "10", "8", "9", "11", "5"), ("6", "2024-01-02", "10", "9.5", "9", "9", "5"),
+            ("7", "2024-01-02", "10", "12", "10.5", "11", "5"), ("8", "2024-01-02", "0", "12", "0", "11", "5"),
+            ("9", "2024-01-02", "10", "12", "9", None, "5"), ("9", "2024-01-02", "10", "12", "9", None, "5")]
+    raw = spark.createDataFrame(rows, "stock_code string, Date string, Open string, High string, Low string, Close string, Volume string")
+    path = str(tmp_path / "judged")
+    cleaning.write_judged(raw, path)
+    kept, rejected = cleaning.read_kept(spark, path), cleaning.read_rejected(spark, path)
+    as_rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert as_rows(kept) == as_rows(cleaning.clean_prices(raw))
+    told = sorted((r[CODE], r.reason) for r in rejected.collect())
+    assert told == [("3", "no date"), ("4", "no open"), ("5", "high below low"), ("6", "high below open"),
+                    ("7", "low above open"), ("8", "price not positive"), ("9", "no close"), ("9", "no close")]
+    assert kept.count() + rejected.count() == len(rows)
+    assert {r[CODE]: tuple(r.raw) for r in rejected.collect()}["3"] == ("2024-13-02", "a", "12", "9", "11", "5")
+    empty = str(tmp_path / "none")
+    cleaning.write_judged(raw.limit(0), empty)
+    assert spark.read.schema(raw.schema).parquet(empty).count() == 0
+
+
+def test_texts_are_parsed_once(spark):
+    raw = spark.createDataFrame([("1", "2024-01-02", "10", "12", "9", "11", "5")], "stock_code string, Date string, Open string, High string, Low string, Close string, Volume string")
+    plan = cleaning.clean_prices(raw).where("close > 1")._jdf.queryExecution().optimizedPlan().toString()
+    for column in ("Open", "High", "Low", "Close", "Volume"):
+        assert len(re.findall(rf"cast\({column}#\d+ as double\)", plan)) <= 2, plan  # the value, and whether it is NaN
+    assert "Generate inline" in plan

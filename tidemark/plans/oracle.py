@@ -424,6 +424,18 @@ from (select cast(s_suppkey as varchar) as code from supplier
         "invalid_ohlc_counts": sql(RAW, """
 select stock_code, count(*) filter (where bad) as invalid_rows, count(*) as total_rows
 from judged group by 1"""),
+        "rejected_prices": sql(RAW, f"""
+select reason, count(*) as rows, {r('sum(close)', 1, 'closes')}, {r('sum(volume)', 1, 'volumes')}
+from (select case when date is null then 'no date' when open is null then 'no open' when high is null then 'no high'
+               when low is null then 'no low' when close is null then 'no close'
+               when high < low then 'high below low' when high < open then 'high below open'
+               when high < close then 'high below close' when low > open then 'low above open'
+               when low > close then 'low above close'
+               when least(open, high, low, close) <= 0 then 'price not positive' else 'kept' end as reason,
+        close, case when date is not null and open is not null and high is not null and low is not null
+               and close is not null and not (high < low or high < open or high < close or low > open or low > close
+               or least(open, high, low, close) <= 0) then coalesce(volume, 0) else volume end as volume
+      from raw) group by 1"""),
         "date_filter": bars_of(("close", "volume"),
                                "where date between date '1996-01-01' and date '1997-12-31'"),
         "min_history": bars_of(("close",), """

@@ -177,6 +177,19 @@ def invalid_ohlc_counts(spark, d):
     return cleaning.invalid_ohlc_counts(cleaning.parse_prices(with_code(spark, d)))
 
 
+@query
+def rejected_prices(spark, d):
+    """What cleaning left out, by the first rule that a row breaks, and what it kept."""
+    path = workspace(spark, "judged")
+    cleaning.write_judged(with_code(spark, d), path)
+    kept, rejected = cleaning.read_kept(spark, path), cleaning.read_rejected(spark, path)
+    told = selection.union_sources(
+        kept.select(F.lit("kept").alias("reason"), "close", "volume"),
+        rejected.select("reason", F.col("raw.close").try_cast("double").alias("close"), F.col("raw.volume").try_cast("double").alias("volume")))
+    return rounded(told.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("close").alias("closes"), F.sum("volume").alias("volumes")), 1)
+
+
 @query
 def date_filter(spark, d):
     return pick(selection.date_filter(bars(spark, d), "1996-01-01", "1997-12-31"), "close", "volume")
