@@ -424,6 +424,11 @@ from (select cast(s_suppkey as varchar) as code from supplier
         "invalid_ohlc_counts": sql(RAW, """
 select stock_code, count(*) filter (where bad) as invalid_rows, count(*) as total_rows
 from judged group by 1"""),
+        "ticks_to_bars": f"""
+select cast(user_id as varchar) as stock_code, cast(ts as date) as date,
+  {r('arg_min(value, row(ts, event_id))', 4, 'open')}, {r('max(value)', 4, 'high')}, {r('min(value)', 4, 'low')},
+  {r('arg_max(value, row(ts, event_id))', 4, 'close')}, cast(count(*) as double) as volume, count(*) as ticks
+from events where user_id is not null and ts is not null and value is not null group by 1, 2""",
         "rejected_prices": sql(RAW, f"""
 select reason, count(*) as rows, {r('sum(close)', 1, 'closes')}, {r('sum(volume)', 1, 'volumes')}
 from (select case when date is null then 'no date' when open is null then 'no open' when high is null then 'no high'

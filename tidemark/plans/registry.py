@@ -17,6 +17,7 @@ from ..operators.evaluation import eval_classification, eval_regression
 from ..params import KINDS, TrendParams
 from ..session import workspace
 from ..sources import landed_json, price_files, tables
+from ..streaming import bars as stream_bars
 from .fixtures import bars, raw_prices, stock_list, table
 
 # Prices of the derived bars jump by hundreds a day and their volumes are small, so the
@@ -90,6 +91,19 @@ def discover_codes(spark, d):
     return price_files.discover_codes(spark, raw_files(spark, d))
 
 
+@query
+def ticks_to_bars(spark, d):
+    """Daily bars of the events' values, built by a stream that ends with what is there now."""
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    ticks = events.select(F.col("user_id").cast("string").alias(CODE), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+                          F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    out = workspace(spark, "bars")
+    stream_bars.write_bars(ticks, out, workspace(spark, "bars-checkpoint"), lateness="40 days").awaitTermination()
+    made = stream_bars.latest_bars(spark, out)
+    return rounded(made.select(CODE, F.to_date("start").alias("date"), *stream_bars.VALUES))
+
+
 @query
 def resolve_sources(spark, d):
     raw = raw_prices(spark, d).withColumn(CODE, cleaning.norm_code(F.col("Code")))
