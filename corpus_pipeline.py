@@ -1,10 +1,11 @@
 """From raw documents to packed training sequences, a stage at a time.
 
 STAGES: (name, function); a function takes (spark, docs, sf_dir) and returns the next stage's
-documents, the last one the packed pieces. Each stage's result is written and read again.
+documents, the last one the packed pieces with their token ids. Each stage's result is written and
+read again.
 
-Null texts, and texts that a quality rule rejects, go in the first stage; a null doc_id, repeated rows
-and an empty table pass as the operators say. Columns that documents have besides doc_id, text and
+Null texts, and texts that a quality rule rejects, go in the first stage; a null doc_id, repeated rows,
+ties, very long texts and an empty table pass as the operators say. Columns that documents have besides doc_id, text and
 source stay as they are."""
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = pack(docs)
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "width", "ids")
 
 
 STAGES = [
