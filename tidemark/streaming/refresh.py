@@ -40,8 +40,10 @@ def current_prices(spark: SparkSession, store: str, upto: int,
 
 
 def refresh_predictions(raw: DataFrame, store: str, out: str, checkpoint: str,
-                        p: TrendParams = TrendParams(), once: bool = True) -> StreamingQuery:
-    """Starts a refresh from a stream of raw price rows that carry their ``stock_code``."""
+                        p: TrendParams = TrendParams(), once: bool = True,
+                        ensembles: bool = True) -> StreamingQuery:
+    """Starts a refresh from a stream of raw price rows that carry their ``stock_code``; without
+    ``ensembles`` the predictions have no votes."""
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         columns = [c.split()[0] for c in PRICES.split(", ")]
@@ -50,7 +52,7 @@ def refresh_predictions(raw: DataFrame, store: str, out: str, checkpoint: str,
         new = spark.read.schema(PRICES + ", bucket int").parquet(f"{store}/batch={number}")
         buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
         prices = semi_join_codes(current_prices(spark, store, number, buckets), distinct_codes(new))
-        predict_stock(prices, p, ensembles=False).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        predict_stock(prices, p, ensembles=ensembles).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
