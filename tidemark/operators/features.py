@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.series import (CODE, check_margins, is_sliced, series_window, settle,
+from ..functions.series import (CODE, check_margins, is_sliced, safe_ratio, series_window, settle,
                                 with_position)
 from ..params import KINDS, MODEL_FEATURES, SplitParams, TrendParams
 from .indicators import DEFAULT
@@ -105,7 +105,7 @@ def training_targets(features: DataFrame, p: TrendParams = DEFAULT) -> DataFrame
     """The five labels: two trend classes, two forward returns, one confidence."""
     check_margins(features, 0, p.long_window)
     w = series_window(features)
-    ahead = lambda k: F.coalesce(F.lead("close", k).over(w) / F.col("close") - 1, F.lit(0.0))
+    ahead = lambda k: F.coalesce(safe_ratio(F.lead("close", k).over(w), F.col("close")) - 1, F.lit(0.0))
     sure = (F.coalesce("short_trend_strength", F.lit(0.0))
             * F.coalesce("short_trend_consistency", F.lit(0.5)))
     return features.withColumns({

@@ -692,4 +692,5 @@ select count(*) as rows, floor((avg(pow(close - ma_5, 2))) * 1e2 + 0.50001) / 1e
   floor((1 - sum(pow(close - ma_5, 2)) / (sum(close * close) - count(*) * pow(avg(close), 2))) * 1e6 + 0.50001) / 1e6 + 0.0 as r2
 from l4 where ma_5 is not null"""),
     }
+    out["scaler_by_batches"] = out["scaler_params"]
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.series import CODE, lay_out, settle, with_position
 from ..functions.ewm import macd
-from ..operators import cleaning, ensembles, features, forecasts, indicators, learning, model_tables
+from ..operators import cleaning, ensembles, features, forecasts, indicators, learning, model_tables, moments
 from ..operators import reversals as turns
 from ..operators import selection, trends
 from ..operators.evaluation import eval_classification, eval_regression
@@ -561,6 +561,14 @@ def scaler_params(spark, d):
     return rounded(features.scaler_params(indicators.candle_features(bars(spark, d))), 3)
 
 
+@query
+def scaler_by_batches(spark, d):
+    """The scaler of all rows, merged from the moments that each year's rows left apart."""
+    df = indicators.candle_features(bars(spark, d))
+    parts = moments.moments(df.withColumn("year", F.year("date")), features.numeric_columns(df), "year")
+    return rounded(moments.scaler_of(tables.stored(parts, "moments")), 3)
+
+
 @query
 def scale_features(spark, d):
     df = features.scale_features(indicators.candle_features(bars(spark, d)))
