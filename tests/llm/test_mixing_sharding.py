@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kd_sharding, mixing
 from tidemark.llm.common import numbered
 from tidemark.llm.kd_sharding import kd_shards
-from tidemark.llm.mixing import histograms, mix, mixed_documents, solve_tilts, targets
+from tidemark.llm.mixing import copies_by_size, histograms, mix, mixed_documents, solve_tilts, targets
 
 
 def shared_out(sizes):
@@ -40,7 +40,9 @@ def test_targets(spark, sizes):
     assert out.keys() == want.keys() and all(math.isclose(out[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
 
 
-def test_tilts_solve_the_constraints(spark):
+@pytest.mark.parametrize("sizes_a_part", [1, 2, 1024])
+def test_tilts_solve_the_constraints(spark, monkeypatch, sizes_a_part):
+    monkeypatch.setattr(mixing, "PART_SIZES", sizes_a_part)
     sizes = [("0a", s, n) for s, n in ((1, 5), (10, 40), (100, 7), (5000, 1))] + [("0b", 3, 10), ("0c", 7, 1), ("0c", 9, 2)]
     whole = {s: sum(x * n for a, x, n in sizes if a == s) for s in ("0a", "0b", "0c")}
     wanted = [("0a", whole["0a"], whole["0a"] * 0.4), ("0b", whole["0b"], whole["0b"] * 3.0), ("0c", whole["0c"], whole["0c"] * 1.7)]
@@ -51,6 +53,29 @@ def test_tilts_solve_the_constraints(spark):
         assert math.isclose(made, t, rel_tol=1e-6)
 
 
+def test_many_sizes_of_one_source(spark):
+    """40,000 distinct sizes: no row holds a source, the copies meet the target, and the sums are those of brute force."""
+    sizes = spark.range(1, 40_001).selectExpr("'0hot' as _source", "id as size", "1 + id % 3 as n")
+    total = sum(i * (1 + i % 3) for i in range(1, 40_001))
+    wanted = spark.createDataFrame([("0hot", total, total * 0.37)], "_source string, source_size long, target double")
+    parts = histograms(sizes, wanted).cache()
+    held = parts.selectExpr("_part", "size(_steps) as k", "_steps[0].size as most").orderBy("_part").collect()
+    assert sum(r.k for r in held) == 40_000 and max(r.k for r in held) <= mixing.PART_SIZES
+    assert [r.most for r in held] == sorted((r.most for r in held), reverse=True)
+    tilts = solve_tilts(parts)
+    t = tilts.first()
+    assert math.isclose(sum(i * (1 + i % 3) * min(3, math.exp(t.tilt * i / t._mean)) for i in range(1, 40_001)), total * 0.37, rel_tol=1e-8)
+    made = copies_by_size(parts, tilts).collect()
+    assert len({r["size"] for r in made}) == 40_000 == len(made) and all(0 <= r.copies <= 3 * (1 + r["size"] % 3) for r in made)
+    assert abs(sum(r["size"] * r.copies for r in made) - total * 0.37) <= 100
+
+
+def test_parts_change_no_target(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_SIZES", 3)
+    out = mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("k"), F.max("size").alias("most")).collect()
+    assert all(abs(r.k - r.target) <= r.most / 2 for r in out)
+
+
 def test_mix(docs, rows):
     out = mix(docs)
     got = out.select("doc_id", "size", "source_size", "target", "taken").collect()

@@ -3,8 +3,9 @@
 Each document gets a rate: how often it is to be taken. Of all rates between 0 and MOST that meet
 every source's token target, balancing takes those nearest to 1 in relative entropy. They are
 exponentially tilted, exp(tilt * size), and the tilts solve a convex dual problem, one unknown for
-each source, by Newton steps over the sources' histograms of sizes. Rates are then rounded into copies, and
-what one size rounds off is handed on to the next smaller size of the source."""
+each source, by Newton steps whose sums are taken over the sources' histograms of sizes, in parts. Rates are
+then rounded into copies, and what one size rounds off is handed on to the next smaller size of its part, what
+is left of the parts to the part of the smallest sizes."""
 
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Newton steps at most, and the share of its target that a source's tokens may be off.
 STEPS, NEAR = 60, 1e-9
+#: Distinct sizes of one source that one row holds.
+PART_SIZES = 1024
 #: Documents of one source and size that are numbered in one task.
 PART_ROWS = 20_000
 
@@ -59,12 +62,20 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def histograms(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each source with words: its target, the mean and the least size, and its documents as
-    (size, n), the largest size first. A source has a row, however many documents it has."""
-    steps = sizes.filter("size > 0").groupBy("_source").agg(
-        (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("_mean"), F.min("size").alias("_least"),
+    """The documents with words of each source as (size, n), the largest size first, in even parts of at
+    most PART_SIZES sizes: _source, _part (0 holds the largest sizes), _parts and _steps; and of the whole
+    source its target, _tokens, _mean and _least size."""
+    known = sizes.filter("size > 0")
+    whole = known.groupBy("_source").agg(
+        F.sum(F.col("n") * F.col("size")).alias("_tokens"), (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("_mean"),
+        F.min("size").alias("_least"), F.count(F.lit(1)).alias("_sizes"))
+    whole = whole.join(wanted.select("_source", "target"), "_source").withColumn("_parts", F.ceil(F.col("_sizes") / PART_SIZES))
+    # ranked by ranges of sizes, so that no task sorts all sizes of a source
+    ranked = numbered(known.withColumn("_range", F.floor(-F.col("size") / PART_SIZES)), ["_source"], [F.desc("size")], "_range", "_rank")
+    part = F.floor(F.col("_rank") * F.col("_parts") / F.col("_sizes")).alias("_part")
+    steps = ranked.join(whole.select("_source", "_sizes", "_parts"), "_source").groupBy("_source", part).agg(
         F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("_steps"))
-    return wanted.select("_source", "target").join(steps, "_source")
+    return steps.join(whole.drop("_sizes"), "_source")
 
 
 def _rate(tilt: Column, size: Column, mean: Column) -> Column:
@@ -76,59 +87,77 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def solve_tilts(sources: DataFrame) -> DataFrame:
-    """sources (see `histograms`) and their tilt.
+def _sums(tilt: Column) -> Column:
+    """Of one part: its tokens at a tilt, and how fast they rise with it."""
+    mean = F.col("_mean")
+
+    def add(a: Column, s: Column) -> Column:
+        return _bound(_rate(tilt, s["size"], mean), lambda rate: F.struct(
+            (a.tokens + s.n * s["size"] * rate).alias("tokens"),
+            (a.slope + F.when(rate < MOST, s.n * s["size"] * rate * s["size"] / mean).otherwise(0.0)).alias("slope")))
+
+    return F.aggregate("_steps", F.struct(F.lit(0.0).alias("tokens"), F.lit(0.0).alias("slope")), add)
+
+
+def solve_tilts(parts: DataFrame) -> DataFrame:
+    """_source, _mean and tilt of each source of parts (see `histograms`).
 
     For one source, tokens(tilt) = sum of n * size * min(MOST, exp(tilt * x)), x being size over the
-    source's mean size, rise with the tilt: the gradient of its dual. A Newton step that leaves the
-    bounds known so far is replaced by their middle. All sources iterate side by side, each where its
-    histogram lies, and the sums go over (size, n) in a fixed order, so reruns agree to the last bit."""
-    mean, target = F.col("_mean"), F.col("target")
-    start = F.struct(
-        F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("low"),
-        # here every document is at MOST
-        (F.lit(log(MOST)) * mean / F.col("_least") + 1e-9).alias("high"), F.lit(False).alias("done"))
-
-    def sums(tilt: Column) -> Column:
-        def add(a: Column, s: Column) -> Column:
-            return _bound(_rate(tilt, s["size"], mean), lambda rate: F.struct(
-                (a.tokens + s.n * s["size"] * rate).alias("tokens"),
-                (a.slope + F.when(rate < MOST, s.n * s["size"] * rate * s["size"] / mean).otherwise(0.0)).alias("slope")))
-
-        return F.aggregate("_steps", F.struct(F.lit(0.0).alias("tokens"), F.lit(0.0).alias("slope")), add)
-
-    def stepped(a: Column, x: Column) -> Column:
-        over = x.tokens > target
-        low, high = F.when(over, a.low).otherwise(a.tilt), F.when(over, a.tilt).otherwise(a.high)
-        newton = a.tilt + (target - x.tokens) / F.when(x.slope > 0, x.slope)
-        done = F.abs(x.tokens - target) <= NEAR * target
-        tilt = F.when(done, a.tilt).when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        return F.struct(tilt.alias("tilt"), low.alias("low"), high.alias("high"), done.alias("done"))
-
-    def iterate(a: Column, _: Column) -> Column:
-        return F.when(a.done, a).otherwise(_bound(sums(a.tilt), lambda x: stepped(a, x)))
-
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, iterate, lambda a: a.tilt)
-    return sources.withColumn("tilt", solved)
-
-
-def copies_by_size(tilted: DataFrame) -> DataFrame:
-    """_source, size, n and copies, the copies of all n documents of one source and size together.
-
-    Sizes are rounded from the largest down, and each takes on the tokens that those before rounded
-    off, so that a source ends off its target by about half of its smallest document. The fold holds
-    the distinct sizes of a source, whatever the number of its documents."""
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("made"))
+    source's mean size, rise with the tilt: the gradient of its dual. A step is one job for all sources
+    that are not there yet: each part sums its sizes, the parts of a source are added up in their order,
+    so reruns agree to the last bit, and a Newton step that leaves the bounds known so far is replaced by
+    their middle. The state, a row a source, is written after each step."""
+    target = F.col("target")
+    # here every document is at MOST
+    high = F.lit(log(MOST)) * F.col("_mean") / F.col("_least") + 1e-9
+    state = stored(
+        parts.filter("_part = 0").withColumn("high", high).select(
+            "_source", "_mean", "target", F.when(target >= F.col("_tokens") * MOST * (1 - NEAR), F.col("high")).otherwise(0.0).alias("tilt"),
+            F.lit(-1e4).alias("low"), "high", F.lit(False).alias("done")).coalesce(1), "mixing-tilts")
+    for _ in range(STEPS):
+        each = parts.join(state.filter("not done").select("_source", "tilt"), "_source").select("_source", "_part", _sums(F.col("tilt")).alias("s"))
+        summed = each.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_part", "s.tokens", "s.slope"))).alias("s")).select("_source", *(
+            F.aggregate(f"s.{c}", F.lit(0.0), lambda a, x: a + x).alias(c) for c in ("tokens", "slope")))
+        over = F.col("tokens") > target
+        moved = (
+            state.join(summed, "_source", "left").withColumn("done", F.col("done") | (F.abs(F.col("tokens") - target) <= NEAR * target))
+            .withColumn("low", F.when(over | F.col("done"), F.col("low")).otherwise(F.col("tilt")))
+            .withColumn("high", F.when(over & ~F.col("done"), F.col("tilt")).otherwise(F.col("high")))
+            .withColumn("newton", F.col("tilt") + (target - F.col("tokens")) / F.when(F.col("slope") > 0, F.col("slope")))
+            .withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton"))
+                        .otherwise((F.col("low") + F.col("high")) / 2))
+        )
+        state = stored(moved.select(*state.columns), "mixing-tilts")
+        if state.filter("not done").isEmpty():
+            break
+    return state.select("_source", "_mean", "tilt")
+
+
+def copies_by_size(parts: DataFrame, tilts: DataFrame) -> DataFrame:
+    """_source, size and copies, the copies of all documents of one source and size together.
+
+    Sizes are rounded from the largest of a part down, and each takes on the tokens that those before
+    rounded off. What the other parts are left with, at most half a document of their smallest size
+    each, the part of the smallest sizes starts with."""
+    tilted = parts.join(tilts.select("_source", "tilt"), "_source")
+
+    def rounded(a: Column, s: Column) -> Column:
+        real = s.n * _rate(F.col("tilt"), s["size"], F.col("_mean"))
+        copies = F.greatest(F.lit(0), F.least(s.n * MOST, F.round(real + a / s["size"]).cast("long"))).cast("long")
+        return _bound(copies, lambda c: F.struct(c.alias("copies"), (a + (real - c) * s["size"]).alias("carry")))
+
+    left = tilted.select("_source", "_part", "_parts", F.aggregate("_steps", F.lit(0.0), lambda a, s: rounded(a, s).carry).alias("_left"))
+    # a row a part
+    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = left.withColumn("_start", F.when(F.col("_part") == F.col("_parts") - 1, F.sum("_left").over(before))).select("_source", "_part", F.coalesce("_start", F.lit(0.0)).alias("_start"))
+    start = F.struct(F.col("_start").alias("carry"), F.array().cast("array<struct<size:bigint,copies:bigint>>").alias("made"))
 
     def step(a: Column, s: Column) -> Column:
-        real = s.n * _rate(F.col("tilt"), s["size"], F.col("_mean"))
-        copies = F.greatest(F.lit(0), F.least(s.n * MOST, F.round(real + a.carry / s["size"]).cast("long"))).cast("long")
-        return _bound(copies, lambda c: F.struct(
-            (a.carry + (real - c) * s["size"]).alias("carry"),
-            F.concat(a.made, F.array(F.struct(s["size"].alias("size"), s.n.alias("n"), c.alias("copies")))).alias("made")))
+        return _bound(rounded(a.carry, s), lambda r: F.struct(
+            r.carry.alias("carry"), F.concat(a.made, F.array(F.struct(s["size"].alias("size"), r.copies.alias("copies")))).alias("made")))
 
-    made = tilted.select("_source", F.explode(F.aggregate("_steps", start, step, lambda a: a.made)).alias("m"))
-    return made.select("_source", "m.size", "m.n", "m.copies")
+    made = tilted.join(handed, ["_source", "_part"]).select("_source", F.explode(F.aggregate("_steps", start, step, lambda a: a.made)).alias("m"))
+    return made.select("_source", "m.size", "m.copies")
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
@@ -148,11 +177,12 @@ def mix(docs: DataFrame) -> DataFrame:
     of any share of the rows is split by size, and one size by the hash."""
     light = stored(
         _row_keys(docs).select("doc_id", source_key(F.col("source")).alias("_source"), size_of(F.col("text")).alias("size"), "_h", "_c"), "mixing-rows")
-    sizes = light.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(light.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-sizes")
     wanted = stored(targets(sizes.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "mixing-targets")
-    copies = copies_by_size(solve_tilts(histograms(sizes, wanted)))
+    parts = stored(histograms(sizes, wanted), "mixing-parts")
+    copies = copies_by_size(parts, solve_tilts(parts))
     plan = stored(
-        sizes.join(copies.drop("n"), ["_source", "size"], "left").join(wanted, "_source")
+        sizes.join(copies, ["_source", "size"], "left").join(wanted, "_source")
         .select("_source", "size", "n", F.coalesce("copies", F.lit(0)).alias("_copies"), "source_size", "target"), "mixing-copies")
     parts = F.ceil(F.col("n") / PART_ROWS)
     rows = light.join(plan, ["_source", "size"]).withColumn("_part", F.pmod(F.xxhash64("_h", "_c"), parts))
