@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import CODE, settle
+from .medians import median_by_selection
 
 
 def date_filter(prices: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -59,8 +60,11 @@ def liquidity_filter(prices: DataFrame, threshold: float = 50_000) -> DataFrame:
 def median_volume(prices: DataFrame) -> DataFrame:
     """Exact median volume per code from counts of equal volumes.
 
-    Equal volumes are counted before the shuffle and a code's distinct volumes are ranked
-    by a window, which spills; no group of raw rows is held in memory."""
+    Equal volumes are counted before the shuffle. A daily code has no more distinct volumes
+    than the calendar has days, and a window ranks them; a series in slabs may be of any
+    length, and its median is found by selection."""
+    if "slab" in prices.columns:
+        return median_by_selection(settle(prices), CODE, "volume", "median_volume")
     counts = (settle(prices).where(F.col("volume").isNotNull())
               .groupBy(CODE, "volume").agg(F.count(F.lit(1)).alias("rows")))
     up = Window.partitionBy(CODE).orderBy("volume").rowsBetween(Window.unboundedPreceding, 0)

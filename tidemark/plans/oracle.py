@@ -449,6 +449,8 @@ where stock_code in (select stock_code from bars group by 1 having count(*) >= 5
 select stock_code, date, {rs(('close', 'volume'))} from bars
 where stock_code in (select stock_code from liquid)"""),
         "median_volume": sql(BARS, f"select stock_code, {r('median(volume)', 4, 'median_volume')} from bars group by 1"),
+        "median_volume_sliced": sql(BARS, SHARED, f"select stock_code, {r('median(volume)', 4, 'median_volume')} from shared group by 1"),
+        "median_price_by_flag": f"select l_returnflag, {r('median(l_extendedprice)', 3, 'median_price')} from lineitem group by 1",
         "semi_join_codes": sql(BARS, LISTED, f"""
 select stock_code, date, {rs(('close',))} from bars where stock_code in (
   select code from listed where market_name = 'ASIA' or industry_name like '%1%')"""),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.series import CODE, lay_out, settle, with_position
 from ..functions.ewm import macd
-from ..operators import cleaning, ensembles, features, forecasts, indicators, learning, model_tables, moments
+from ..operators import cleaning, ensembles, features, forecasts, indicators, learning, medians, model_tables, moments
 from ..operators import reversals as turns
 from ..operators import selection, trends
 from ..operators.evaluation import eval_classification, eval_regression
@@ -224,6 +224,19 @@ def median_volume(spark, d):
     return rounded(selection.median_volume(bars(spark, d)))
 
 
+@query
+def median_volume_sliced(spark, d):
+    """Of series in slabs, by selection."""
+    return rounded(selection.median_volume(cut_bars(spark, d)))
+
+
+@query
+def median_price_by_flag(spark, d):
+    """Few keys, of which one holds half of all rows, and about as many prices as rows."""
+    return rounded(medians.median_by_selection(
+        table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "median_price", most=2048), 3)
+
+
 @query
 def semi_join_codes(spark, d):
     s = cleaning.clean_stock_list(stock_list(spark, d))
