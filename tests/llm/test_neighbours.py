@@ -67,6 +67,19 @@ def test_one_vector_many_times(spark, monkeypatch):
         assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == [i for i in range(12) if i != q][:10]
 
 
+def test_queries_of_small_parts_go_on(spark, monkeypatch):
+    """Part 0 holds four ids, one of them thirty times and a query; part 1 the rest, parts 2 to 7 nothing."""
+    x = [np.array([1.0, i / 100]) for i in range(4)] + [np.array([0.1, 5 + i]) for i in range(396)]
+    rows = table(spark, [*range(400), *[0] * 29], [*x, *[x[0]] * 29])
+    small = learned_ann.Router(np.zeros(2), 1.0, (np.array([[1.0], [0.0]]), np.zeros(1), np.eye(1, 8), np.array([-0.5] + [0.0] * 7)), 1)
+    monkeypatch.setattr(learned_ann, "learn", lambda x, parts: small)
+    out = nearest(rows, F.col("vec_id") % 100 == 0).collect()
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 0] == [*range(1, 11)]
+    assert all(sum(r.query_id == q for r in out) == 10 for q in (0, 100, 200, 300))
+    few = nearest(rows.filter("vec_id < 6"), F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+
+
 def test_rows_that_take_no_part(spark):
     x = clusters(300, 7, 6)
     good = table(spark, range(300), x)

@@ -193,8 +193,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     Queries are the rows where `is_query` holds. Rows whose vector is null, zero, or has a null or
     non-finite component take no part, nor do rows with a null vec_id or a vector of another length
-    than most have. A query never finds its own vec_id; other repeated rows are found like any. A
-    table without usable rows gives an empty result; other columns are ignored. Every row is indexed;
+    than most have. A query never finds its own vec_id; other repeated rows are found like any, and a
+    repeated query asks once. A query gets k rows wherever the table has as many of other ids: it goes
+    on along its ranked parts until they hold them. A table without usable rows gives an empty result;
+    other columns are ignored. Every row is indexed;
     rows and queries meet in blocks of bounded size, so a part of any share of the rows is split."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -209,14 +211,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     def routed(batches):
         for batch in batches:
-            m = _matrix(batch.column("vector"), d)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            best = router.best(m, router.probes)
-            probes = pa.array([b if a else None for a, b in zip(asks, best.tolist())], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(best[:, 0].astype(np.int32)), probes], ["vec_id", "vector", "part", "probes"])
-
-    index = stored(rows.mapInArrow(routed, "vec_id long, vector array<double>, part int, probes array<int>"), "ann-index")
-    queries = index.filter("probes is not null").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.explode("probes").alias("part"))
+            part = router.best(_matrix(batch.column("vector"), d), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vector", "asks")), pa.array(part.astype(np.int32))], ["vec_id", "vector", "asks", "part"])
+
+    index = stored(rows.mapInArrow(routed, "vec_id long, vector array<double>, asks boolean, part int"), "ann-index")
+    # a number a part, and no more parts than SAMPLE allows
+    sizes = np.zeros(router.layers[3].size, np.int64)
+    for r in index.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+
+    def probed(batches):
+        """A query searches its most probable parts: so many as the recall needs, and on until they hold k rows of other ids."""
+        for batch in batches:
+            ranks = router.best(_matrix(batch.column("query"), d), len(sizes))
+            before = np.cumsum(sizes[ranks], 1) - sizes[ranks]
+            searched = (np.arange(len(sizes)) < router.probes) | (before < k + batch.column("own").to_numpy()[:, None])
+            parts = pa.array([r[s].tolist() for r, s in zip(ranks, searched)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("query"), parts], ["query_id", "query", "parts"])
+
+    asking = index.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
+    own = index.join(asking.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("query_id")).agg(F.count(F.lit(1)).alias("own"))
+    queries = stored(asking.join(own, "query_id").mapInArrow(probed, "query_id long, query array<double>, parts array<int>"), "ann-queries")
+    queries = queries.select("query_id", "query", F.explode("parts").alias("part"))
     held = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks"))
     wanted = queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("query_blocks"))
     # one row a part, and no more parts than SAMPLE allows
