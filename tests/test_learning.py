@@ -79,3 +79,30 @@ def test_conf_grows_with_the_input():
         partitions, each = int(conf["spark.sql.shuffle.partitions"]), int(conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
         assert partitions * each >= size and 4000 <= partitions <= 50_000
     assert recommended_conf(1, 16)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_training_shuffles_the_feature_rows_once(spark, run, tmp_path):
+    """They lie in buckets by code: neither scaling nor the sequences of the judged rows move them, and
+    those are made of the rows they see alone."""
+    data = learning.prepare_learning(run[0], P, l=SMALL)
+    judged = data.sequences("test")
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("Exchange hashpartitioning")[1:] if "learning_" in x.split("Exchange")[0]]
+    assert "Bucketed: true" in plan and not moved and "floor" in plan.split("PushedFilters")[0].lower()
+    assert data.fitted.rdd.getNumPartitions() <= 4
+
+
+def test_members_stay_with_their_series(run):
+    """The votes of copies told apart by a member are those of copies that are series of their own."""
+    from tidemark.operators.ensembles import member_predictions
+    prices, codes, root, done = run
+    saved = learning.load_saved(prices.sparkSession, root)
+    answer = learning.model_answers(saved)
+    of = prices.sparkSession.createDataFrame([(f"00001#{i}", "00001") for i in range(5)], f"{CODE} string, of string")
+    scaler = of.join(saved.scaler.withColumnRenamed(CODE, "of"), "of").drop("of")
+    alone = learning.model_answers(learning.Saved(saved.models, scaler, saved.params, saved.trends))
+    one = prices.where("stock_code = '00001'")
+    cols = ["short_trend", "long_reversal_price", "long_reversal_confidence"]
+    key = lambda df: sorted((r.member, r[1], round(r[2], 9), round(r[3], 9)) for r in df.select("member", *cols).collect())
+    near, far = (key(member_predictions(one, P, m)) for m in (answer, lambda df, p: alone(df, p)))
+    assert len(near) == 5 and near == far
