@@ -184,3 +184,12 @@ def test_texts_are_parsed_once(spark):
     for column in ("Open", "High", "Low", "Close", "Volume"):
         assert len(re.findall(rf"cast\({column}#\d+ as double\)", plan)) <= 2, plan  # the value, and whether it is NaN
     assert "Generate inline" in plan
+
+
+def test_a_code_is_one_file_whatever_its_decades(spark, tmp_path):
+    from tidemark.sources.price_files import read_price_files, write_price_files
+    rows = [(c, f"{y}-01-02", 1.0, 1.0, 1.0, 1.0, 1.0) for c in ("00001", "00002") for y in (1989, 1995, 2005, 2015)]
+    prices = spark.createDataFrame(rows, "stock_code string, date string, open double, high double, low double, close double, volume double")
+    write_price_files(prices.repartition(3), str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").glob("*/*.csv"))) == 2
+    assert read_price_files(spark, str(tmp_path / "p")).count() == 8

@@ -124,9 +124,8 @@ def load_prices(raw: DataFrame, codes: DataFrame | None = None, start: str | Non
 
 
 def write_price_files(prices: DataFrame, path: str) -> None:
-    """One folder per code. Rows are brought together by code and decade first, so a folder
-    gets few files and no task has to write more than ten years of one code."""
-    day = next((c for c in prices.columns if c.lower() == "date"), None)
-    decade = F.substring(F.col(day).cast("string"), 1, 3) if day else F.lit("")
-    (prices.withColumn("_decade", decade).repartition(CODE, "_decade").drop("_decade")
-     .write.partitionBy(CODE).option("header", True).csv(path))
+    """One folder per code. Rows are brought together by code first, so a folder gets one file;
+    only what is too much for a task, as of a code with any share of the rows, is divided among
+    several. Each task moves its files to their place itself."""
+    (prices.hint("rebalance", CODE).write.partitionBy(CODE).option("header", True)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path))
