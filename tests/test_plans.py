@@ -101,3 +101,13 @@ def test_gaps_inside_a_series_leave_windows_empty(spark, price_table):
     df = price_table(_00001=range(1, 60)).withColumn("volume", F.when(F.dayofyear("date") % 7 != 0, 100.0))
     known = {r.volume_ma_5 for r in indicators.volume_features(df).collect()}
     assert known == {None, 100.0}
+
+
+def test_rows_of_a_task_do_not_grow_with_the_bars(spark, tmp_path, monkeypatch):
+    from tidemark.plans import fixtures, registry
+    rows = spark.range(4000).selectExpr("id as l_orderkey", "id % 7 as l_partkey", "id % 40 as l_suppkey", "1 as l_linenumber", "2.0D as l_quantity",
+                                        "id + 10.0D as l_extendedprice", "timestamp'1995-01-01' + make_interval(0, 0, 0, cast(id div 40 as int)) as l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    plan = registry.QUERIES["ema_wide"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(stock_code") == 1 and "REPARTITION_BY_NUM" in plan and ", 40)" in plan
