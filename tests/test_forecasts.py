@@ -170,3 +170,21 @@ def test_analyzer_path(table):
     assert all(one[c].long_reversal_price == two[c].price for c in one)
     with pytest.raises(ValueError):
         forecasts.predict_stock(table, P, method="other")
+
+
+def test_indicators_of_the_last_rows(spark, price_table):
+    """They are those of whole series, though windows see only the rows that these look back at."""
+    import math
+
+    from tidemark.functions.series import CODE
+    from tidemark.operators.trends import indicators
+    wave = [100 + 7 * math.sin(i / 3) + i % 11 for i in range(400)]
+    prices = price_table(_00001=wave, _00002=wave[:130:-1], _00003=wave[:40])
+    whole = {(r[CODE], r.date): r.asDict() for r in indicators(prices).collect()}
+    ends = indicators(prices, last=60).collect()
+    assert sorted((r[CODE], r.pos) for r in ends) == sorted(
+        (c, i) for c, n in (("00001", 400), ("00002", 269), ("00003", 40)) for i in range(max(0, n - 60), n))
+    for r in ends:
+        for c, x in whole[r[CODE], r.date].items():
+            assert r[c] == x if not isinstance(x, float) else abs(r[c] - x) < 1e-9, c
+    assert "(n#" in indicators(prices, last=60)._jdf.queryExecution().executedPlan().toString()
