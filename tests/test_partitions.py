@@ -1,5 +1,7 @@
 """Rows of a task do not grow with the table, and copies of a series stay with it."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -50,4 +52,5 @@ def test_the_analyzer_knows_members(prices):
     key = lambda df: sorted(map(str, df.select(CODE, "member", "short_trend", "long_trend", "short_reversal_price",
                                               "long_reversal_price", "long_reversal_confidence").collect()))
     assert key(own) == key(beside) and len(key(own)) == 5 * P.ensemble_size
-    assert "concat_ws(#" in plan(own) and "concat_ws(#" not in plan(beside)
+    by_member = re.compile(r"hashpartitioning\(stock_code#\d+, member#")
+    assert by_member.search(plan(beside)) and not by_member.search(plan(own))
