@@ -106,3 +106,13 @@ def test_members_stay_with_their_series(run):
     key = lambda df: sorted((r.member, r[1], round(r[2], 9), round(r[3], 9)) for r in df.select("member", *cols).collect())
     near, far = (key(member_predictions(one, P, m)) for m in (answer, lambda df, p: alone(df, p)))
     assert len(near) == 5 and near == far
+
+
+def test_models_are_fitted_on_all_training_rows(spark, price_table):
+    """More rows than any bound that was once set: every training row with a whole sequence is fitted on."""
+    made = {f"_{i:05d}": (100 + RNG.normal(0, 1, 200).cumsum() + 50).round(2).tolist() for i in range(16)}
+    l = LearnParams(lookback=3)
+    data = learning.prepare_learning(price_table(**made), P, l=l)
+    assert l.fit_rows is None and data.fitted.count() == 16 * (160 - 3) > 2000
+    key = lambda df: sorted((r[CODE], r.date, r.validates) for r in df.collect())
+    assert key(data.fitted) == key(data.sequences("train"))
