@@ -159,3 +159,15 @@ def test_a_slab_sees_no_more_than_its_borders():
     out = rev._decide(10)(table).to_pydict()
     # 12 hangs on 20, and 5 on 12; 40 is near a kept one
     assert list(zip(out["pos"], out["state"])) == [(5, rev.OPEN), (12, rev.OPEN)]
+
+
+def test_slabs_are_laid_out_once_for_the_analyzer(spark, price_table):
+    """The profile and both kinds of reversals read the slabs from one stored table, in buckets by slab."""
+    rng = np.random.default_rng(11)
+    table = price_table(_00001=(500 + rng.normal(0, 3, 2500).cumsum()).round(2).tolist())
+    made = forecasts.predict_stock(lay_out(table, 1100, rows=2500), method="analyzer", ensembles=False)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan and "/slabs-" in plan and "/extremes-" in plan
+    kept = forecasts.kept_slabs(lay_out(table, 1100, rows=2500))
+    assert kept.schema["slab"].metadata["behind"] == 1024
+    assert "Exchange hashpartitioning" not in kept.groupBy(CODE, "slab").count()._jdf.queryExecution().executedPlan().toString()

@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import (CODE, full_window, keys_of, position_columns, recency,
+from ..functions.series import (CODE, full_window, is_sliced, keys_of, position_columns, recency,
                                 series_window, settle, tail)
 from ..params import KINDS, TrendParams
+from ..sources.tables import stored_by_code
 from .indicators import DEFAULT, change, ma_columns
 from .reversals import reversal_stats, reversals
 from .trends import symbol_of_slope, trend_as_of
@@ -214,9 +215,19 @@ def next_reversal(prices: DataFrame, kind: str, p: TrendParams = DEFAULT) -> Dat
         CODE, next_reversal_of(kind, p).alias("next")).select(CODE, "next.*")
 
 
+def kept_slabs(prices: DataFrame) -> DataFrame:
+    """What the profile and the reversals look at of a series in slabs, stored in buckets by slab: they
+    look at it a dozen times, and would lay it out each time. A daily series passes unchanged."""
+    if not is_sliced(prices):
+        return prices
+    told = prices.schema["slab"].metadata
+    made = prices.select(CODE, "slab", "home", "late", "date", "close", "pos", "n")
+    return stored_by_code(made, "slabs", told.get("parts"), "slab").withMetadata("slab", told)
+
+
 def with_both_next(prices: DataFrame, p: TrendParams) -> DataFrame:
     """The profile with both expected reversals and the latest reversals beside it."""
-    prices, keys = with_code(prices), keys_of(prices)
+    prices, keys = kept_slabs(with_code(prices)), keys_of(prices)
     df = profile(prices, p)
     for kind in KINDS:
         stats = reversal_stats(reversals(prices, kind, p)).drop("trend_type")

@@ -14,6 +14,7 @@ from ..functions.series import (CODE, is_sliced, keys_of, position_columns, prio
                                 slab_of, ties, with_neighbours)
 from ..params import KINDS, TrendParams
 from ..session import workspace
+from ..sources.tables import stored
 from .indicators import DEFAULT, ensure_ma, ma_columns
 from .selection import union_sources
 
@@ -81,7 +82,8 @@ def sliced_extremes(prices: DataFrame, p: TrendParams, kind: str) -> DataFrame:
     out = [CODE, "type", "date", "pos", "v", "close"]
     single = runs.where("middle = pos").select(*out)
     middles = runs.where("middle <> pos").select(CODE, "type", F.col("middle").alias("pos"))
-    wide = middles.join(df.select(CODE, "pos", "date", "v", "close"), [CODE, "pos"])
+    inside = df.where(F.col("before") == F.col("v"))  # a row behind the first one of its plateau
+    wide = middles.join(inside.select(CODE, "pos", "date", "v", "close"), [CODE, "pos"])
     return single.unionByName(wide.select(*out)).withColumn("slab", slab_of("pos", SPAN))
 
 
@@ -105,8 +107,8 @@ def keep_apart(found: DataFrame, distance: int) -> DataFrame:
     certainly removes its neighbours, so nothing acts across it: the series falls apart
     into short independent stretches and only those are folded, each by itself. A series in
     slabs, whose stretches may be of any length, is decided slab by slab in rounds."""
-    if distance <= 2:
-        return found  # two strict extremes of one type are never closer than that
+    if distance <= 2:  # two strict extremes of one type are never closer than that
+        return stored(found, "extremes") if is_sliced(found) else found
     height = F.when(F.col("type") == "peak", F.col("v")).otherwise(-F.col("v"))
     found = found.withColumn("h", height)
     if is_sliced(found):
