@@ -166,3 +166,14 @@ def test_last_rows_are_cut_before_the_shuffle(price_table):
 def test_position_counts_rows(price_table):
     df = with_position(price_table(_00001=WALK[:4]))
     assert [(r.pos, r.n) for r in df.orderBy("date").collect()] == [(i, 4) for i in range(4)]
+
+
+def test_margins_are_left_out_where_only_own_rows_are_asked_for(crowded):
+    """The same indicators of the rows of each slab, from less than its two margins."""
+    cut = lay_out(crowded, rows_per_slab=1100)
+    key = lambda df: df.toPandas().sort_values([CODE, "pos"]).reset_index(drop=True)
+    own = trends.indicators(cut, own=True)
+    pd.testing.assert_frame_equal(key(settle(own)), key(settle(trends.indicators(cut))), rtol=1e-9)
+    assert own.groupBy(CODE, "slab").count().agg(F.max("count")).first()[0] <= 1100 + 120
+    daily = crowded.dropDuplicates([CODE, "date"])
+    assert trends.indicators(daily, own=True).count() == daily.count()

@@ -476,7 +476,7 @@ def data_summary_sliced(spark, d):
 
 @query
 def indicators_sliced(spark, d):
-    return pick(settle(trends.indicators(cut_bars(spark, d))), "pos", *INDICATORS, **FINE)
+    return pick(settle(trends.indicators(cut_bars(spark, d), own=True)), "pos", *INDICATORS, **FINE)
 
 
 @query
