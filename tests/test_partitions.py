@@ -1,5 +1,7 @@
 """Rows of a task do not grow with the table, and copies of a series stay with it."""
 
+import hashlib
+import math
 import re
 
 import numpy as np
@@ -54,3 +56,15 @@ def test_the_analyzer_knows_members(prices):
     assert key(own) == key(beside) and len(key(own)) == 5 * P.ensemble_size
     by_member = re.compile(r"hashpartitioning\(stock_code#\d+, member#")
     assert by_member.search(plan(beside)) and not by_member.search(plan(own))
+
+
+def test_a_digest_is_made_once_for_each_copy_of_a_close(prices):
+    """And the noise is the one that the code, date, member and column tell."""
+    made = ensembles.members(prices, P, "analyzer").select(CODE, "date", "member", "close")
+    assert plan(made).count("md5") == 1 and plan(made).count("date_format") == 1
+    plain = {(r[CODE], r.date): r.close for r in prices.collect()}
+    for r in made.where("date < '2020-01-20'").collect():
+        digest = hashlib.md5(f"{r[CODE]}|{r.date}|{r.member}|close".encode()).hexdigest()
+        a, b = (int(digest[:8], 16) + 1) / (2.0 ** 32 + 1), int(digest[8:16], 16) / 2.0 ** 32
+        noise = math.sqrt(-2 * math.log(a)) * math.cos(2 * math.pi * b)
+        assert r.close == pytest.approx(plain[r[CODE], r.date] * (1 + ensembles.NOISE * noise))
