@@ -97,3 +97,15 @@ def test_patience(spark):
     assert learning.log_loss(best, turned) == pytest.approx(min(losses))
     _, whole = learning.fit_with_patience(learner, 10, 4, 2, df, df.limit(0))
     assert whole == [None] * 3
+
+
+def test_scores_read_a_row_an_input_once(spark, run):
+    """A layer's join has a row for each input of a code, whatever the outputs; no layer is computed twice, and
+    what the trees ask of a code is looked up in its vector, without a shuffle of its inputs."""
+    root, _, _, inputs = run
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    layers = plan(model_tables.score_layers(model_tables.layer_weights(spark, root), inputs))
+    assert "SortMergeJoin" not in layers
+    steps = layers.count("Generate posexplode(array(") + layers.count("Generate posexplode(concat(")
+    trees = plan(model_tables.score_trees(model_tables.tree_nodes(spark, root), inputs, 2))
+    assert steps <= 4 and "Generate" not in trees and "SortMergeJoin" not in trees and "Union" not in trees.split("BroadcastExchange")[0]
